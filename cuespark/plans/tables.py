@@ -89,7 +89,7 @@ def candidates(spark, sf) -> DataFrame:
     return b.select(
         F.col("item_id").alias("sentence_id"), "target", "cand_ix", F.col("text").alias("source_text"),
         F.expr("""case cand_ix when 0 then text when 1 then left(text, length(text) div 4)
-                  when 2 then upper(text) else repeat(text, 4) end""").alias("text"),
+                  when 2 then lower(text) else repeat(text, 4) end""").alias("text"),
         F.expr("((item_id * 31 + cand_ix * 17) % 100) / 100.0D").alias("score"))
 
 

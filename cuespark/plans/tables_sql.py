@@ -41,11 +41,11 @@ d0 as (
   select vec_id % 20 as track_id, vec_id // 20 as id, (vec_id // 20) * 4000 as start_ms,
     (vec_id // 20) * 4000 + 600 + (vec_id * 37) % 3000 as end_ms,
     ((vec_id // 20) * 4000) / 1000.0 as "start", ((vec_id // 20) * 4000 + 600 + (vec_id * 37) % 3000) / 1000.0 as "end",
-    list_transform(range(0, len(embedding)), i -> embedding[i + 1]::double * 2.4 + case when i = label then 4.0 else 0.0 end) as vector,
+    list_transform(range(0, len(embedding)), lambda i: embedding[i + 1]::double * 2.4 + case when i = label then 4.0 else 0.0 end) as vector,
     label as voice from embeddings)"""),
     "d3": ((), """d3 as (
   select item_id as sentence_id, target, cand_ix, text as source_text,
-    case cand_ix when 0 then text when 1 then left(text, length(text) // 4) when 2 then upper(text) else repeat(text, 4) end as text,
+    case cand_ix when 0 then text when 1 then left(text, length(text) // 4) when 2 then lower(text) else repeat(text, 4) end as text,
     ((item_id * 31 + cand_ix * 17) % 100) / 100.0 as score
   from benchmark, (select unnest(['ur', 'fr']) as target) t, (select unnest(range(0, 4)) as cand_ix) c)"""),
     "d4": ((), """d4 as (
