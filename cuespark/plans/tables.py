@@ -14,7 +14,13 @@ from ..operators.ordered import ordered
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """One table. A table stored in fewer pieces than there are cores is spread first.
+
+    At scale a table has many more pieces than cores and nothing is shuffled.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def cues(spark, sf) -> DataFrame:
