@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 
+# Every character Unicode calls white space, and the ASCII separators that split text as well.
+WHITE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+         + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def char_class(chars: str) -> str:
     """A regular-expression class holding exactly the given characters."""
     return "[" + re.sub(r"([\\\[\]^&~-])", r"\\\1", chars) + "]"
@@ -32,7 +37,7 @@ def collapse(text) -> Column:
 
 def trim_ws(text) -> Column:
     """Drop white space of every kind from both ends."""
-    return F.regexp_replace(_col(text), r"(?U)^\s+|\s+\z", "")
+    return F.btrim(_col(text), F.lit(WHITE))
 
 
 def is_no_space(language) -> Column:
@@ -43,22 +48,25 @@ def is_no_space(language) -> Column:
 
 def closed_text(text) -> Column:
     """Text without trailing white space and closing marks."""
-    t = F.regexp_replace(_col(text), r"(?U)\s+\z", "")
-    return F.regexp_replace(t, char_class(K.CLOSING_MARKS) + r"+\z", "")
+    return F.rtrim(F.rtrim(_col(text), F.lit(WHITE)), F.lit(K.CLOSING_MARKS))
 
 
 def ends_sentence(text) -> Column:
-    """True when the text ends a sentence; abbreviations and initials do not end one."""
+    """True when the text ends a sentence; abbreviations and initials do not end one.
+
+    The last character decides nearly always; the last word is only looked at behind a dot.
+    """
     t = closed_text(text)
-    word = F.regexp_replace(
-        F.regexp_extract(t, r"(?U)(\S+)\.\z", 1), "^" + char_class(K.OPENING_MARKS) + "+", "")
+    last = F.right(t, F.lit(1))
+    word = F.ltrim(F.regexp_extract(t, r"(?U)(\S+)\.\z", 1), F.lit(K.OPENING_MARKS))
     shortened = F.lower(word).isin(K.ABBREVIATIONS) | (
         word.rlike(r"^\p{Lu}$") & ~word.isin("I", "A"))
-    return t.rlike(char_class(K.SENTENCE_END) + r"\z") & (F.endswith(t, F.lit("..")) | ~shortened)
+    return (F.when(~last.isin(list(K.SENTENCE_END)), False).when(last != ".", True)
+            .when(F.endswith(t, F.lit("..")), True).otherwise(~shortened))
 
 
 def ends_with_mark(token, marks: str = K.SENTENCE_END + K.CLAUSE_END) -> Column:
-    return F.coalesce(_col(token).rlike(char_class(marks) + r"\z"), F.lit(False))
+    return F.coalesce(F.right(_col(token), F.lit(1)).isin(list(marks)), F.lit(False))
 
 
 # --- times ---------------------------------------------------------------------------

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.python_text import lcs_length, normalize_speech
-from ..functions.text import let
 from ..session import settle
 
 ACCURACY = 10000
@@ -70,59 +69,50 @@ def line_errors(lines: DataFrame, heard: str = "hyp", text: str = "ref", languag
     return c.withColumn("line_error", error).drop("_names", "_h", "_r", "_lcs")
 
 
-def ngram_matches(hyp, ref, order: int = 6) -> Column:
-    """Per n = 1..order: (n-grams of hyp, of ref, in both), white space ignored.
+def ngrams(rows: DataFrame, text: str, order: int = 6, piece: int = 64) -> DataFrame:
+    """One row per character n-gram (columns n, g), n = 1..order, white space ignored.
 
-    Both sides' n-grams are tagged, sorted together and counted in one fold, so a text costs
-    n log n in its own row and nothing is shuffled.
+    A text is first cut into short overlapping pieces, so that a row never carries a long text
+    and taking a gram costs the same wherever it stands.
     """
-    def chars(c):
-        bare = F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"(?U)\s+", "")
-        return F.filter(F.split(bare, ""), lambda x: x != "")
-
-    def grams(cs, n, side):
-        count = F.size(cs) - (n - 1)
-        spots = F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(spots, lambda i: F.struct(
-            F.array_join(F.slice(cs, i, F.lit(n)), "").alias("g"), F.lit(side).alias("s")))
-
-    def per_order(s, n):
-        tagged = F.sort_array(F.concat(grams(s["h"], n, 0), grams(s["r"], n, 1)))
-        start = F.struct(F.lit("").alias("g"), F.lit(0).alias("left"), F.lit(0).alias("m"))
-
-        def step(a, x):
-            same = a["g"] == x["g"]
-            left = F.when(same, a["left"]).otherwise(0)
-            hit = (x["s"] == 1) & (left > 0)
-            return F.struct(
-                x["g"].alias("g"),
-                F.when(x["s"] == 0, left + 1).when(hit, left - 1).otherwise(left).alias("left"),
-                (a["m"] + hit.cast("int")).alias("m"))
-
-        m = F.aggregate(tagged, start, step, lambda a: a["m"])
-        return F.struct(F.greatest(F.size(s["h"]) - (n - 1), F.lit(0)).cast("bigint").alias("h"),
-                        F.greatest(F.size(s["r"]) - (n - 1), F.lit(0)).cast("bigint").alias("r"),
-                        m.cast("bigint").alias("m"))
-
-    return let(F.struct(chars(hyp).alias("h"), chars(ref).alias("r")),
-               lambda s: F.array(*[per_order(s, n) for n in range(1, order + 1)]))
-
-
-def chrf(rows: DataFrame, keys: Sequence[str], hyp: str = "hyp", ref: str = "ref",
+    keep = [c for c in rows.columns if c != text]
+    r = rows.withColumn("_t", F.regexp_replace(text, r"(?U)\s+", ""))
+    r = r.withColumn("_c", F.filter(F.split("_t", ""), lambda x: x != "")).where(F.size("_c") > 0)
+    starts = F.sequence(F.lit(1), F.size("_c"), F.lit(piece))
+    pieces = F.transform(starts, lambda i: F.array_join(F.slice("_c", i, F.lit(piece + order - 1)), ""))
+    r = r.select(*keep, F.explode(pieces).alias("_p"))
+    r = r.select(*keep, "_p", F.length("_p").alias("_l"))
+    r = r.select("*", F.explode(F.sequence(F.lit(1), F.least(F.col("_l"), F.lit(piece)))).alias("_i"))
+    r = r.select(*keep, "_l", "_i", F.substr("_p", F.col("_i"), F.lit(order)).alias("_g"))
+    r = r.select(*keep, "_g", F.explode(F.sequence(F.lit(1), F.length("_g"))).alias("n"))
+    return r.select(*keep, "n", F.substr("_g", F.lit(1), F.col("n")).alias("g"))
+
+
+def chrf(rows: DataFrame, keys: Sequence[str], row_key: str = "clip_id", hyp: str = "hyp", ref: str = "ref",
          order: int = 6, beta: float = 2.0) -> DataFrame:
-    """Corpus chrF per group: character n-gram F-score, precision and recall averaged over orders."""
-    g = rows.select(*keys, ngram_matches(hyp, ref, order).alias("_g"))
-    g = g.groupBy(*keys).agg(*[
-        F.sum(F.col("_g")[n][f]).alias(f"{f}{n}") for n in range(order) for f in ("h", "r", "m")])
-    orders = F.array(*[F.struct(F.col(f"h{n}").alias("h"), F.col(f"r{n}").alias("r"), F.col(f"m{n}").alias("m"))
-                       for n in range(order)])
-    g = g.withColumn("_o", F.filter(orders, lambda o: (o["h"] > 0) & (o["r"] > 0)))
-    total = lambda side: F.aggregate("_o", F.lit(0.0), lambda a, o: a + o["m"] / o[side])
-    p, r = total("h") / F.size("_o"), total("r") / F.size("_o")
+    """Corpus chrF per group: character n-gram F-score, precision and recall averaged over orders.
+
+    Grams are matched inside a sentence pair only. So the texts are partitioned by pair before
+    they are cut up: the grams, a dozen rows per character, are counted where they arise and
+    never shuffled; only the totals per group and order are.
+    """
+    keys = list(keys)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = rows.select(*keys, row_key, F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col(hyp).alias("text")),
+        F.struct(F.lit(1).alias("side"), F.col(ref).alias("text")))).alias("_s"))
+    r = r.select(*keys, row_key, "_s.side", "_s.text").repartition(parts, row_key)
+    g = ngrams(r, "text", order).groupBy(*keys, row_key, "n", "g").agg(
+        F.sum(F.expr("if(side = 0, 1, 0)")).alias("h"), F.sum("side").alias("r"))
+    t = g.groupBy(*keys, "n").agg(F.sum("h").alias("h"), F.sum("r").alias("r"), F.sum(F.least("h", "r")).alias("m"))
+    both = (F.col("h") > 0) & (F.col("r") > 0)
+    t = t.groupBy(*keys).agg(F.avg(F.when(both, F.col("m") / F.col("h"))).alias("p"),
+                             F.avg(F.when(both, F.col("m") / F.col("r"))).alias("rc"))
     f2 = beta ** 2
-    score = F.when((F.size("_o") > 0) & (p + r > 0), 100 * (1 + f2) * p * r / (f2 * p + r)).otherwise(0.0)
-    return g.select(*keys, score.alias("chrf"))
+    score = F.when(F.col("p") + F.col("rc") > 0, 100 * (1 + f2) * F.col("p") * F.col("rc") / (f2 * F.col("p") + F.col("rc")))
+    scored = t.select(*keys, F.coalesce(score, F.lit(0.0)).alias("chrf"))
+    return rows.select(*keys).distinct().join(scored, keys, "left").select(
+        *keys, F.coalesce("chrf", F.lit(0.0)).alias("chrf"))
 
 
 # --- group summaries ---------------------------------------------------------------------------------

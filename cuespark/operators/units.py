@@ -44,7 +44,7 @@ def _block_maps(limit: int):
     summarized by: the entry cue -> the unit open when the block ends, and its length. A unit
     holds at most limit + 1 cues, hence at most limit + 2 entries, whatever the block's size.
     """
-    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         ids = pdf["id"].to_numpy(np.int64)
         ln = pdf["n"].to_numpy(np.int64)
@@ -65,7 +65,7 @@ def _block_maps(limit: int):
 
 def _chain(limit: int):
     """Walk the block summaries of one island in order; give each block the unit open at its edge."""
-    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(BLK)
         opened, unit, out = 0, -1, []
         for need, open_len, open_id, total in zip(pdf["need"], pdf["open_len"], pdf["open_id"], pdf["total"]):

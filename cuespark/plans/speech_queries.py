@@ -259,7 +259,7 @@ cs as (select track_id, id, sum(n)::bigint as n_samples, sum(n) * sqrt(sum(sumsq
 
 def frame_cues(spark, sf):
     u = t.read(spark, sf, "events").select(F.col("user_id").alias("track_id")).distinct()
-    u = u.select("track_id", F.explode(F.sequence(F.lit(0), F.lit(11))).cast("bigint").alias("id"))
+    u = u.select("track_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(11).cast("bigint"))).alias("id"))
     return u.select("track_id", "id", ((F.col("id") * 7 + F.col("track_id") % 5) / 1000.0).alias("start"),
                     ((F.col("id") * 7 + F.col("track_id") % 5 + 6 + F.col("id")) / 1000.0).alias("end"),
                     (F.col("id") % 3).alias("speaker"))
