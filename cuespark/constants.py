@@ -176,3 +176,18 @@ WEIGHT_BLOCKS = [
 UPPER_CJK_FROM = 0x20000
 DEFAULT_REFERENCE_TEXT = "Nice to meet you."
 DEFAULT_REFERENCE_TOKENS = 25
+
+# --- routes between languages: (source, target) -> model, target token ----------------
+PIVOT_LANGUAGE = "en"
+LEGS = [
+    ("en", "ar", "en-ar", ">>ara<<"), ("en", "de", "en-de", ">>deu<<"), ("en", "es", "en-es", ""),
+    ("en", "fr", "en-fr", ""), ("en", "hi", "en-iir", ">>hin<<"), ("en", "pt", "en-pt", ">>por<<"),
+    ("en", "ru", "en-ru", ">>rus<<"), ("en", "tr", "en-tr", ""), ("en", "ur", "en-iir", ">>urd<<"),
+    ("ar", "en", "ar-en", ""), ("de", "en", "de-en", ""), ("es", "en", "roa-en", ""),
+    ("fr", "en", "fr-en", ""), ("hi", "en", "inc-en", ""), ("ja", "en", "ja-en", ""),
+    ("pt", "en", "roa-en", ""), ("ru", "en", "ru-en", ""), ("tr", "en", "tr-en", ""),
+    ("ur", "en", "inc-en", ""), ("zh", "en", "zh-en", ""),
+]
+DIRECT_SOURCES = ["ja", "ko"]
+DIRECT_TARGETS = ["ja", "ko", "zh"]
+GRADES = ["A", "A-", "B+", "B", "B-", "C+", "C", "C-", "D+", "D", "D-", "F+", "F", "unrated"]
