@@ -55,34 +55,34 @@ def ordered(
 
     aggs, carried = [], []
     if lead:
-        aggs.append(F.min_by(packed(lead), order).alias("_first"))
-        carried.append(F.lead("_first").over(along).alias("_next"))
+        aggs.append(F.min_by(packed(lead), order).alias("__first"))
+        carried.append(F.lead("__first").over(along).alias("__next"))
     if lag:
-        aggs.append(F.max_by(packed(lag), order).alias("_last"))
-        carried.append(F.lag("_last").over(along).alias("_prev"))
+        aggs.append(F.max_by(packed(lag), order).alias("__last"))
+        carried.append(F.lag("__last").over(along).alias("__prev"))
     for n, c in sums.items():
-        aggs.append(F.sum(c).alias("_s_" + n))
-        carried.append(F.sum("_s_" + n).over(earlier).alias("_c_" + n))
+        aggs.append(F.sum(c).alias("__s_" + n))
+        carried.append(F.sum("__s_" + n).over(earlier).alias("__c_" + n))
     for n, c in maxs.items():
-        aggs.append(F.max(c).alias("_m_" + n))
-        carried.append(F.max("_m_" + n).over(earlier).alias("_c_" + n))
+        aggs.append(F.max(c).alias("__m_" + n))
+        carried.append(F.max("__m_" + n).over(earlier).alias("__c_" + n))
     summary = df.groupBy(*keys, BLK).agg(*aggs).select(*keys, BLK, *carried)
     names = [c for c in summary.columns if c not in (*keys, BLK)]
     summary = summary.where(" or ".join(f"`{c}` is not null" for c in names))
 
     local = []
     if lead:
-        local.append(F.lead(packed(lead)).over(within).alias("_ln"))
+        local.append(F.lead(packed(lead)).over(within).alias("__ln"))
     if lag:
-        local.append(F.lag(packed(lag)).over(within).alias("_lp"))
-    local += [F.sum(c).over(before).alias("_l_" + n) for n, c in sums.items()]
-    local += [F.max(c).over(before).alias("_l_" + n) for n, c in maxs.items()]
+        local.append(F.lag(packed(lag)).over(within).alias("__lp"))
+    local += [F.sum(c).over(before).alias("__l_" + n) for n, c in sums.items()]
+    local += [F.max(c).over(before).alias("__l_" + n) for n, c in maxs.items()]
     out = df.select("*", *local).join(summary, [*keys, BLK], "left")
 
-    added = [F.coalesce("_ln", "_next")[n].alias(n) for n in lead]
-    added += [F.coalesce("_lp", "_prev")[n].alias(n) for n in lag]
-    added += [(F.coalesce("_l_" + n, F.lit(0)) + F.coalesce("_c_" + n, F.lit(0))).alias(n) for n in sums]
-    added += [F.greatest("_l_" + n, "_c_" + n).alias(n) for n in maxs]
+    added = [F.coalesce("__ln", "__next")[n].alias(n) for n in lead]
+    added += [F.coalesce("__lp", "__prev")[n].alias(n) for n in lag]
+    added += [(F.coalesce("__l_" + n, F.lit(0)) + F.coalesce("__c_" + n, F.lit(0))).alias(n) for n in sums]
+    added += [F.greatest("__l_" + n, "__c_" + n).alias(n) for n in maxs]
     return out.select(*[F.col(f"`{c}`") for c in original], *added)
 
 
@@ -105,7 +105,7 @@ def runs(
     keys = list(keys)
     original = df.columns
     packed = F.struct(*[c.alias(n) for n, c in probe.items()])
-    d = blocked(df, order, block).withColumn("_p", packed)
+    d = blocked(df, order, block).withColumn("__p", packed)
     within = Window.partitionBy(*keys, BLK).orderBy(order)
     along = Window.partitionBy(*keys).orderBy(BLK)
 
@@ -113,19 +113,19 @@ def runs(
         new = is_new(lambda n: F.col(prev)[n], lambda n: F.col(cur)[n])
         return F.col(prev).isNull() | F.coalesce(new, F.lit(False))
 
-    d = d.withColumn("_q", F.lag("_p").over(within))
-    d = d.withColumn("_s", F.when(differs("_q", "_p"), F.col(order)))
+    d = d.withColumn("__q", F.lag("__p").over(within))
+    d = d.withColumn("__s", F.when(differs("__q", "__p"), F.col(order)))
     edges = d.groupBy(*keys, BLK).agg(
-        F.min_by("_p", order).alias("_f"), F.max_by("_p", order).alias("_l"),
-        F.min(order).alias("_a"), F.max("_s").alias("_z"))
-    edges = edges.withColumn("_w", F.lag("_l").over(along))
-    edges = edges.withColumn("_new", differs("_w", "_f"))
-    edges = edges.withColumn("_own", F.when(F.col("_new") | (F.col("_z") != F.col("_a")), F.col("_z")))
-    edges = edges.withColumn("_go", F.max("_own").over(along.rowsBetween(Window.unboundedPreceding, -1)))
-    edges = edges.where(~F.col("_new")).select(*keys, BLK, "_a", "_go")
-    d = d.withColumn("_r", F.max("_s").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+        F.min_by("__p", order).alias("__f"), F.max_by("__p", order).alias("__l"),
+        F.min(order).alias("__a"), F.max("__s").alias("__z"))
+    edges = edges.withColumn("__w", F.lag("__l").over(along))
+    edges = edges.withColumn("__new", differs("__w", "__f"))
+    edges = edges.withColumn("__own", F.when(F.col("__new") | (F.col("__z") != F.col("__a")), F.col("__z")))
+    edges = edges.withColumn("__go", F.max("__own").over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    edges = edges.where(~F.col("__new")).select(*keys, BLK, "__a", "__go")
+    d = d.withColumn("__r", F.max("__s").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.join(edges, [*keys, BLK], "left")
-    run = F.when(F.col("_r") == F.col("_a"), F.col("_go")).otherwise(F.col("_r"))
+    run = F.when(F.col("__r") == F.col("__a"), F.col("__go")).otherwise(F.col("__r"))
     return d.select(*[F.col(f"`{c}`") for c in original], run.alias(name))
 
 

@@ -41,8 +41,8 @@ def _parts(rows: DataFrame, entry: Column, block: int, header: str = "") -> Data
     rows = blocked(rows, "id", block)
     parts = rows.groupBy("track_id", BLK).agg(
         F.array_sort(F.collect_list(F.struct("id", entry.alias("e")))).alias("_e"),
-        F.count(F.lit(1)).alias("n_cues"))
-    parts = ordered(parts, sums={"part": F.lit(1).cast("bigint")}, order=BLK)
+        F.count(F.lit(1)).alias("n_cues")).withColumnRenamed(BLK, "_at")
+    parts = ordered(parts, sums={"part": F.lit(1).cast("bigint")}, order="_at")
     body = F.array_join(F.transform("_e", lambda s: s["e"]), "\n")
     if header:
         body = F.when(F.col("part") == 0, F.concat(F.lit(header), body)).otherwise(body)

@@ -68,13 +68,14 @@ def _load(state: GroupState, empty: dict) -> dict:
     return json.loads(state.get[0]) if state.exists else empty
 
 
-def cue_builder_stream(words: DataFrame, layout: Layout = Layout(), timeout_ms: int = 600_000) -> DataFrame:
+def cue_builder_stream(words: DataFrame, layout: Layout = Layout(), timeout_ms: int | None = None) -> DataFrame:
     """Cues as their segments arrive: (track_id, id, pos, start, end, text, language).
 
     Takes word rows (operators.build.word_rows) with `final`, true on the last segment of a track.
     Segments are taken in id order from 0: early ones wait in the state, repeated ones are
     dropped. The state holds the unfinished tail, less than half a cue, and what waits. The end of
-    the track, or silence for `timeout_ms`, releases the tail.
+    the track, or silence for `timeout_ms` if one is given, releases the tail. With a timeout the
+    query keeps running batches, so it does not go with an available-now trigger.
     """
     cols = ["pos", "start", "end", "text", "language"]
 
@@ -110,15 +111,16 @@ def cue_builder_stream(words: DataFrame, layout: Layout = Layout(), timeout_ms:
             yield frame
         s.update(id=s["id"] + len(out), tail=b.tail, lang=b.tail_language)
         state.update((json.dumps(s),))
-        if not over:
+        if timeout_ms and not over:
             state.setTimeoutDuration(timeout_ms)
 
     return words.groupBy("track_id").applyInPandasWithState(
         fn, "track_id long, id long, pos long, start double, end double, text string, language string",
-        "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        "state string", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
-def sentence_unit_stream(cues: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
+def sentence_unit_stream(cues: DataFrame) -> DataFrame:
     """The sentence unit of every cue as it arrives: (track_id, id, unit_id).
 
     Takes (track_id, id, number, start, end, n, ends): `number` counts the cues of a track from 1,
@@ -142,12 +144,11 @@ def sentence_unit_stream(cues: DataFrame, timeout_ms: int = 600_000) -> DataFram
             if ends:
                 s["unit"] = None
         state.update((json.dumps(s),))
-        state.setTimeoutDuration(timeout_ms)
         if out:
             yield pd.DataFrame(out, columns=["track_id", "id", "unit_id"])
 
     return cues.groupBy("track_id").applyInPandasWithState(
-        fn, "track_id long, id long, unit_id long", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        fn, "track_id long, id long, unit_id long", "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 # --- files ---------------------------------------------------------------------------------------------
@@ -157,7 +158,8 @@ def file_arrival_stream(spark: SparkSession, root: str, pattern: str = "*", file
 
     Only names and sizes are read. Paths already seen are dropped by the stream's own state.
     """
-    f = (spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    f = (spark.readStream.format("binaryFile")
+         .schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
          .option("maxFilesPerTrigger", files_per_batch).load(root))
     f = f.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("bytes"))
     return classify(f.withColumn("path", normal_path("path"))).dropDuplicates(["path"])
