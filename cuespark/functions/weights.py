@@ -42,12 +42,13 @@ def char_weights(chars: DataFrame, char: str = "ch") -> DataFrame:
 def text_weights(texts: DataFrame, keys, text: str = "text") -> DataFrame:
     """Sum of the character weights of every text: (keys, weight).
 
-    Equal characters of one text are counted first, in the task that holds the text, so what is
-    joined and summed is one row per distinct character of a text, not one per character.
+    Texts are partitioned by their key first, so equal characters of one text are counted where
+    they arise and are not shuffled: what is joined and summed is one row per distinct character.
     """
     keys = list(keys)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cs = F.filter(F.split(text, ""), lambda c: c != "")
-    c = texts.select(*keys, F.explode_outer(cs).alias("ch")).groupBy(*keys, "ch").agg(F.count("ch").alias("n"))
+    c = texts.select(*keys, text).repartition(parts, *keys).select(*keys, F.explode_outer(cs).alias("ch")).groupBy(*keys, "ch").agg(F.count("ch").alias("n"))
     w = char_weights(c.where("ch is not null"))
     return c.join(w, "ch", "left").groupBy(*keys).agg(
         F.coalesce(F.sum(F.col("n") * F.col("weight")), F.lit(0.0)).alias("weight"))

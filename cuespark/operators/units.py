@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -80,23 +82,22 @@ def _chain(limit: int):
     return fn
 
 
-def _pack_block(limit: int):
-    """The unit of every cue of one block, given the unit open at its edge."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy(np.int64)
-        ln = pdf["n"].to_numpy(np.int64)
-        opened = int(pdf["opened"].iloc[0])
-        nxt = _next_start(ln, limit)
-        unit = np.full(len(ln), int(pdf["open_unit"].iloc[0]), dtype=np.int64)
-        i = 0
-        if opened:
-            used = np.concatenate([[0], np.cumsum(ln + 1)])
-            i = int(np.searchsorted(used[:-1] + ln, limit - opened, side="right"))
-        while i < len(ln):
-            unit[i:nxt[i]] = ids[i]
-            i = int(nxt[i])
-        return pd.DataFrame({"track_id": pdf["track_id"].to_numpy(), "id": ids, "unit_id": unit})
+def _pack(limit: int):
+    """The unit of every cue, for cues sorted by (track, island, block, id); a block starts with the
+    unit that is open at its edge."""
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, used, unit = None, 0, -1
+        for pdf in batches:
+            out = []
+            cols = [pdf[c].tolist() for c in ("track_id", "island", BLK, "id", "n", "opened", "open_unit")]
+            for track, island, blk, cue, n, opened, open_unit in zip(*cols):
+                if (track, island, blk) != key:
+                    key, used, unit = (track, island, blk), opened, open_unit
+                if used == 0 or used + n > limit:
+                    used, unit = 0, cue
+                used += n + 1
+                out.append(unit)
+            yield pd.DataFrame({"track_id": pdf["track_id"], "id": pdf["id"], "unit_id": out})
     return fn
 
 
@@ -104,9 +105,9 @@ def sentence_units(cues: DataFrame, *, max_chars: int = K.UNIT_MAX_CHARS, block:
     """Add `unit_id`, the id of the first cue of the sentence unit every cue belongs to.
 
     Islands between hard breaks that fit the length limit are units as they are. Longer islands
-    are packed first-fit. That packing depends on where it began, so blocks of an island are
-    summarized in parallel, the summaries (one row per block) are chained, and the blocks are
-    packed in parallel: no island is ever gathered in one task. The islands are written to the
+    are packed first-fit. That packing depends on where it began, so if an island has several
+    blocks, they are summarized in parallel, the summaries (one row per block) are chained, and
+    the blocks are packed in parallel: no island is ever gathered in one task. The islands are written to the
     shared folder once, since several branches read them.
     """
     columns = cues.columns
@@ -116,16 +117,19 @@ def sentence_units(cues: DataFrame, *, max_chars: int = K.UNIT_MAX_CHARS, block:
         F.sum(F.col("_n") + 1).alias("_tot"), F.count(F.lit(1)).alias("_cnt"))
     whole = Window.partitionBy("track_id", "island")
     spots = spots.select("track_id", "island", BLK, (
-        (F.sum("_tot").over(whole) - 1 > max_chars) & (F.sum("_cnt").over(whole) > 1)).alias("_long"))
+        (F.sum("_tot").over(whole) - 1 > max_chars) & (F.sum("_cnt").over(whole) > 1)).alias("_long"),
+        (F.count(F.lit(1)).over(whole) > 1).alias("_multi"))
     c = c.join(spots, ["track_id", "island", BLK])
-    parts = c.where("_long").select("track_id", "id", "island", BLK, F.col("_n").alias("n"))
-    maps = parts.groupBy("track_id", "island", BLK).applyInPandas(
+    parts = c.where("_long").select("track_id", "id", "island", BLK, "_multi", F.col("_n").alias("n"))
+    maps = parts.where("_multi").groupBy("track_id", "island", BLK).applyInPandas(
         _block_maps(max_chars), f"track_id long, island long, {BLK} long, need array<long>, "
                                 "open_len array<long>, open_id array<long>, total long")
     entry = maps.groupBy("track_id", "island").applyInPandas(
         _chain(max_chars), f"track_id long, island long, {BLK} long, opened long, open_unit long")
-    packed = parts.join(entry, ["track_id", "island", BLK]).groupBy("track_id", "island", BLK).applyInPandas(
-        _pack_block(max_chars), "track_id long, id long, unit_id long")
+    parts = parts.join(entry, ["track_id", "island", BLK], "left").withColumns({
+        "opened": F.coalesce("opened", F.lit(0)), "open_unit": F.coalesce("open_unit", F.lit(-1))})
+    parts = parts.repartition("track_id", "island", BLK).sortWithinPartitions("track_id", "island", BLK, "id")
+    packed = parts.mapInPandas(_pack(max_chars), "track_id long, id long, unit_id long")
     packed = blocked(packed, "id", block).withColumnRenamed("unit_id", "_packed")
     c = c.join(packed, ["track_id", BLK, "id"], "left")
     return c.select(*columns, F.coalesce("_packed", "island").alias("unit_id"))

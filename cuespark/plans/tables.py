@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import ordered
+from ..session import fresh_path
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,8 +24,26 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, derive) -> DataFrame:
+    """An input table that is derived once per session and kept in the shared folder, as a stored
+    input would be. Operators that read their input in several branches then read files."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _stored:
+        path = fresh_path(spark, name)
+        derive(spark, sf).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def cues(spark, sf) -> DataFrame:
     """Cue tracks: five tokens of a conversation turn per cue, with pauses and overlaps."""
+    return stored(spark, sf, "cues", _cues)
+
+
+def _cues(spark, sf) -> DataFrame:
     c = read(spark, sf, "conversations")
     c = c.select(
         F.col("conv_id").alias("track_id"), "turn", "role",
