@@ -130,9 +130,9 @@ def runs(
 
 
 def renumber(df: DataFrame, name: str = "id", *, keys: Sequence[str] = ("track_id",),
-             order: str = "id", start: int = 0) -> DataFrame:
+             order: str = "id", start: int = 0, block: int = BLOCK) -> DataFrame:
     """Number the rows of every track densely in `order`."""
-    out = ordered(df, sums={"_n": F.lit(1).cast("bigint")}, keys=keys, order=order)
+    out = ordered(df, sums={"_n": F.lit(1).cast("bigint")}, keys=keys, order=order, block=block)
     return out.withColumn(name, F.col("_n") + F.lit(start)).drop("_n")
 
 

@@ -80,13 +80,14 @@ def segments(spark, sf) -> DataFrame:
     d = read(spark, sf, "documents").select(
         F.col("doc_id").alias("track_id"), F.col("lang").alias("language"),
         F.expr(r"filter(split(text, '[ \n\t]+'), t -> t <> '')").alias("tk"))
-    d = d.where("size(tk) > 0").select(
-        "*", F.explode(F.expr("sequence(0, (size(tk) - 1) div 20)")).alias("seg"))
+    # Cut the tokens up before exploding, so that no row carries its whole document along.
+    d = d.where("size(tk) > 0").select("track_id", "language", F.posexplode(F.expr(
+        "transform(sequence(0, (size(tk) - 1) div 20), s -> slice(tk, cast(s * 20 + 1 as int), 20))")).alias("seg", "part"))
     d = d.withColumn("words", F.expr(
-        """transform(sequence(cast(seg * 20 as int), cast(least(seg * 20 + 19, size(tk) - 1) as int)), i -> struct(
-             concat(' ', tk[i]) as word,
-             (i * 300L + 1000L * (i div 25)) / 1000.0D as start,
-             (i * 300L + 1000L * (i div 25) + 270) / 1000.0D as `end`))"""))
+        """transform(part, (x, j) -> struct(
+             concat(' ', x) as word,
+             ((seg * 20 + j) * 300L + 1000L * ((seg * 20 + j) div 25)) / 1000.0D as start,
+             ((seg * 20 + j) * 300L + 1000L * ((seg * 20 + j) div 25) + 270) / 1000.0D as `end`))"""))
     return d.select(
         "track_id", F.col("seg").cast("bigint").alias("id"), F.col("words")[0]["start"].alias("start"),
         F.element_at("words", -1)["end"].alias("end"),

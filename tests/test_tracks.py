@@ -138,7 +138,7 @@ def test_build_in_stretches_equals_one_pass(spark):
         t = (ws[-1][2] if ws else t + 1) + r.choice([0.0, 0.1, 1.5])
         segs.append((0, i, t, t + 1, toks, ws, "en"))
     df = spark.createDataFrame(segs, SEG)
-    got = [(c.start, c.text) for c in build.build_cues(df, timing=False, block_segments=2).orderBy("id").collect()]
+    got = [(c.start, c.text) for c in build.build_cues(df, timing=False, block=2).orderBy("id").collect()]
     rows, want, b = build.word_rows(df).orderBy("pos").toPandas(), [], build.Builder(build.Layout())
     for _, part in rows.groupby("seg"):
         if part.iloc[0].n_words == 0:
