@@ -132,7 +132,8 @@ def split_point(ranges: DataFrame, lengths: DataFrame, max_ms: int = 15000, min_
     Tracks no longer than `over_ms` and tracks without sound are left whole.
     """
     late = ranges.where(F.col("end") > max_ms).groupBy("track_id").agg(F.min("start").alias("_stop"))
-    r = ranges.join(late, "track_id", "left")
+    from .ordered import attach
+    r = attach(ranges, late, order="start", block=BLOCK_MS)
     best = r.groupBy("track_id").agg(F.max(F.when(
         (F.col("start") <= max_ms) & (F.col("start") <= F.coalesce("_stop", F.lit(2**62))), F.col("start"))).alias("_best"))
     out = lengths.join(best.withColumn("_some", F.lit(True)), "track_id", "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.spread import distribute_text, spread_parts
 from ..functions.text import ends_sentence, is_no_space, trim_ws
-from ..session import settle
+from ..session import key_type, settle
 from .ordered import BLK, BLOCK, attach, blocked, ordered, runs
 from .timing import joined_text
 
@@ -110,7 +110,7 @@ def sentence_units(cues: DataFrame, *, max_chars: int = K.UNIT_MAX_CHARS, block:
     the blocks are packed in parallel: no island is ever gathered in one task. The islands are written to the
     shared folder once, since several branches read them.
     """
-    columns = cues.columns
+    columns, kt = cues.columns, key_type(cues)
     c = settle(sentence_islands(cues, block).withColumn("_n", F.length("text").cast("bigint")), "islands")
     c = blocked(c, "id", block)
     spots = c.groupBy("track_id", "island", BLK).agg(
@@ -122,14 +122,14 @@ def sentence_units(cues: DataFrame, *, max_chars: int = K.UNIT_MAX_CHARS, block:
     c = c.join(spots, ["track_id", "island", BLK])
     parts = c.where("_long").select("track_id", "id", "island", BLK, "_multi", F.col("_n").alias("n"))
     maps = parts.where("_multi").groupBy("track_id", "island", BLK).applyInPandas(
-        _block_maps(max_chars), f"track_id long, island long, {BLK} long, need array<long>, "
+        _block_maps(max_chars), f"track_id {kt}, island long, {BLK} long, need array<long>, "
                                 "open_len array<long>, open_id array<long>, total long")
     entry = maps.groupBy("track_id", "island").applyInPandas(
-        _chain(max_chars), f"track_id long, island long, {BLK} long, opened long, open_unit long")
+        _chain(max_chars), f"track_id {kt}, island long, {BLK} long, opened long, open_unit long")
     parts = parts.join(entry, ["track_id", "island", BLK], "left").withColumns({
         "opened": F.coalesce("opened", F.lit(0)), "open_unit": F.coalesce("open_unit", F.lit(-1))})
     parts = parts.repartition("track_id", "island", BLK).sortWithinPartitions("track_id", "island", BLK, "id")
-    packed = parts.mapInPandas(_pack(max_chars), "track_id long, id long, unit_id long")
+    packed = parts.mapInPandas(_pack(max_chars), f"track_id {kt}, id long, unit_id long")
     packed = blocked(packed, "id", block).withColumnRenamed("unit_id", "_packed")
     c = c.join(packed, ["track_id", BLK, "id"], "left")
     return c.select(*columns, F.coalesce("_packed", "island").alias("unit_id"))

@@ -8,6 +8,7 @@ same derivations in SQL.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..operators.ordered import ordered
@@ -31,10 +32,13 @@ def stored(spark: SparkSession, sf: str, name: str, derive) -> DataFrame:
     """An input table that is derived once per session and kept in the shared folder, as a stored
     input would be. Operators that read their input in several branches then read files."""
     key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _stored:
-        path = fresh_path(spark, name)
-        derive(spark, sf).write.parquet(path)
-        _stored[key] = path
+    if key in _stored:
+        try:
+            return spark.read.parquet(_stored[key])
+        except AnalysisException:           # the folder was cleaned: derive it again
+            pass
+    _stored[key] = fresh_path(spark, name)
+    derive(spark, sf).write.parquet(_stored[key])
     return spark.read.parquet(_stored[key])
 
 

@@ -32,3 +32,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def key_type(df: DataFrame, key: str = "track_id") -> str:
+    """SQL type of a key column, for the output schema of Python operators."""
+    return df.schema[key].dataType.simpleString()

@@ -18,7 +18,7 @@ from .. import constants as K
 from ..operators.build import ROW, Builder, Layout
 from ..operators.files import classify, normal_path
 from ..operators.jobs import status_columns
-from ..session import fresh_path
+from ..session import fresh_path, key_type
 
 
 def stream_table(spark: SparkSession, path: str, schema, files_per_batch: int = 4) -> DataFrame:
@@ -115,7 +115,7 @@ def cue_builder_stream(words: DataFrame, layout: Layout = Layout(), timeout_ms:
             state.setTimeoutDuration(timeout_ms)
 
     return words.groupBy("track_id").applyInPandasWithState(
-        fn, "track_id long, id long, pos long, start double, end double, text string, language string",
+        fn, f"track_id {key_type(words)}, id long, pos long, start double, end double, text string, language string",
         "state string", "append",
         GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
@@ -148,7 +148,7 @@ def sentence_unit_stream(cues: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["track_id", "id", "unit_id"])
 
     return cues.groupBy("track_id").applyInPandasWithState(
-        fn, "track_id long, id long, unit_id long", "state string", "append", GroupStateTimeout.NoTimeout)
+        fn, f"track_id {key_type(cues)}, id long, unit_id long", "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 # --- files ---------------------------------------------------------------------------------------------

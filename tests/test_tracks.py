@@ -286,3 +286,15 @@ def test_guard_runaway(spark):
     assert (guard(6.0, 1.3).attempt, guard(6.0, 1.3).ran_on) == (1, False)
     r = guard(7.0, 5.0, 6.0)
     assert r.attempt == 1 and r.ran_on and 24000 <= r.kept_samples <= 1.8 * 24000
+
+
+def test_tracks_may_have_names(spark):
+    rows = [("movie.srt", *x[1:]) for x in track(40, 4, 0.0)]
+    df = spark.createDataFrame(rows, CUE.replace("track_id long", "track_id string"))
+    u = units.sentence_units(df, max_chars=50, block=6)
+    assert {r.track_id for r in u.collect()} == {"movie.srt"}
+    lines = units.slot_ends(units.spoken_lines(u)).withColumn("samples", F.lit(30000)).withColumnRenamed("line_id", "line_no")
+    assert layout.layout_track(lines).where("track_id = 'movie.srt'").count() == lines.count()
+    segs = [("a.mp4", 0, 0.0, 1.0, "", words("Hello there. And more"), "en")]
+    built = build.build_cues(spark.createDataFrame(segs, SEG.replace("track_id long", "track_id string")))
+    assert [r.track_id for r in built.collect()] == ["a.mp4"]
