@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import files as fl, jobs as jb, routing as rt
 from ..operators.timing import latest_cues
-from ..sources import results as rs
+from ..session import fresh_path
+from ..sources import results as rs, writers
 from . import tables as t
 from .registry import query
 from .tables_sql import quoted
@@ -233,3 +234,24 @@ def q_utterances(spark, sf):
         "\t", F.lit("id"), F.concat(F.lit("rec"), (F.col("clip_id") % 40).cast("string"), F.lit(".wav")),
         F.regexp_replace("ref", "[\t\n]", " "), F.lit("n"), F.lit("l"), F.lit("0"), "gender").alias("value"))
     return rs.parse_utterances(lines).select("file", "text", "gender")
+
+
+@query("scan_files", sql="select concat('track', conv_id) as name, 'subtitle' as kind from (select distinct conv_id from conversations)")
+def q_scan(spark, sf):
+    """Subtitle files of all tracks, written to the shared folder and found again."""
+    docs = writers.write_srt(t.cues(spark, sf))
+    path = fresh_path(spark, "library")
+    docs.select(F.concat(F.lit("track"), F.col("track_id").cast("string")).alias("name"), F.col("document").alias("value")).write.partitionBy(
+        "name").text(path)
+    found = fl.scan_files(spark, [path], ["TXT"]).where("bytes > 0")
+    return found.select(F.regexp_extract("path", r"name=([^/]*)/", 1).alias("name"), F.lit("subtitle").alias("kind")).distinct()
+
+
+@query("load_results", needs=("d7",), sql="""
+select engine, language, count(*) as count, round(avg(length(ref)), 6) as chrf, case when engine = 'beta' then 'no such pair' end as unsupported from d7 group by engine, language""")
+def q_results(spark, sf):
+    """Results stored as JSON lines and loaded again under the result schema."""
+    path = fresh_path(spark, "results")
+    c = t.clips(spark, sf).groupBy("engine", "language").agg(F.count(F.lit(1)).alias("count"), F.round(F.avg(F.length("ref")), 6).alias("chrf"))
+    c.withColumn("unsupported", F.when(F.col("engine") == "beta", "no such pair")).write.json(path)
+    return rs.load_results(spark, path, multi_line=False).select("engine", "language", "count", "chrf", "unsupported")

@@ -10,9 +10,9 @@ RESULT = ("engine string, source string, target string, language string, model s
           "meaning struct<mean:double,median:double,p90:double,min:double,max:double,n:long>, unsupported string")
 
 
-def load_results(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
-    """All result rows stored as JSON under a path or glob; one object per file or per line."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def load_results(spark: SparkSession, path: str, schema: str = RESULT, multi_line: bool = True) -> DataFrame:
+    """All result rows stored as JSON under a path or glob: one object per file, or per line."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def parse_utterances(lines: DataFrame, order: str = "n") -> DataFrame:
