@@ -7,13 +7,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folders: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder all executors see: spark.checkpoint.dir.
+
+    Where it is unset, a session whose executors all run inside the driver (master `local[...]`,
+    as in tests) gets a temporary folder of its own. On a cluster that would be a different disk
+    for each executor, so there the missing setting is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_folders[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
