@@ -30,7 +30,7 @@ def words(text) -> Column:
 
 def word_count(text) -> Column:
     """Number of words() without making the array twice."""
-    bare = F.regexp_replace(text_of(text), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    bare = F.btrim(text_of(text), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, BLANKS))).cast("long")
 
 

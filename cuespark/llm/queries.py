@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, mixing
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -41,3 +41,9 @@ from doc left join word using (r) left join named using (r)
 def op10(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.find_items(docs, table(spark, sf, "benchmark")))
+
+
+@query("op5_mix")
+def op5(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
