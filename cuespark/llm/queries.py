@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing
+from . import decontaminate, langid, mixing
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -47,3 +47,9 @@ def op10(spark, sf):
 def op5(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_langid")
+def op4(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
