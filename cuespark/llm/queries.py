@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing
+from . import decontaminate, langid, mixing, neardup
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -53,3 +53,8 @@ def op5(spark, sf):
 def op4(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     return langid.identify(docs).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_neardup")
+def op9(spark, sf):
+    return neardup.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
