@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, neardup
+from . import decontaminate, langid, mixing, neardup, quality
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -58,3 +58,10 @@ def op4(spark, sf):
 @query("op9_neardup")
 def op9(spark, sf):
     return neardup.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op8_quality")
+def op8(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                      "base_failed", "kept")
