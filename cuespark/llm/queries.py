@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, neardup, quality
+from . import decontaminate, langid, mixing, neardup, pii, quality
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -65,3 +65,8 @@ def op8(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                       "base_failed", "kept")
+
+
+@query("op7_pii")
+def op7(spark, sf):
+    return pii.digest(pii.find(table(spark, sf, "documents").select("doc_id", "text")))
