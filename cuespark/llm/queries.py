@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, neardup, pii, quality
+from . import chat, decontaminate, langid, licenses, mixing, neardup, pii, quality, urls
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -70,3 +70,45 @@ def op8(spark, sf):
 @query("op7_pii")
 def op7(spark, sf):
     return pii.digest(pii.find(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+@query("op1_licenses", licenses.scan_sql())
+def op1(spark, sf):
+    return licenses.digest(licenses.scan(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+CHAT_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e as (select *, length(role) + length(regexp_replace(role, '[^\\<\[\r]', '', 'g')) + length(text)
+        + length(regexp_replace(text, '[^\\<\[\r]', '', 'g')) + 13 as chars from t)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars) as bigint) as formatted_chars
+from e group by conv_id
+"""
+
+
+@query("op2_chat", CHAT_SQL)
+def op2(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digest(chat.read_back(chat.format_chats(turns.unionByName(extra))))
+
+
+URL_RULES = [urls.Rule("org", "/", "allow"), urls.Rule("example.org", "/es/", "block"), urls.Rule("example.org", "/en/1", "block"),
+             urls.Rule("com", "/fr/", "allow"), urls.Rule("com", "/de/", "block")]
+# Hosts with these words are bad examples for the templates.
+BAD_HOSTS = r"(?:^|[.-])(?:casino|bets|pills|spam|adult|ads)(?:[.-]|$)"
+
+
+@query("op3_urls")
+def op3(spark, sf):
+    label = F.when(F.col("ruled") == "allow", True).when((F.col("ruled") == "block") | F.col("host").rlike(BAD_HOSTS), False)
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return urls.filter_urls(pages, URL_RULES, label).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
