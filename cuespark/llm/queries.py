@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, mixing, neardup, pii, quality, urls
-from .common import table
+from . import chat, decontaminate, katz, langid, licenses, mixing, neardup, pii, quality, urls
+from .common import crc_remainder, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 CONTAMINATED_SQL = r"""
@@ -112,3 +112,12 @@ def op3(spark, sf):
     label = F.when(F.col("ruled") == "allow", True).when((F.col("ruled") == "block") | F.col("host").rlike(BAD_HOSTS), False)
     pages = table(spark, sf, "pages").select("page_id", "url")
     return urls.filter_urls(pages, URL_RULES, label).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+@query("op6_katz")
+def op6(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = crc_remainder(F.col("doc_id"), 10) == 0
+    model = katz.train(docs.where(~out))
+    return katz.score(docs, model).select("doc_id", out.alias("held_out"), "n_tokens", "n_known",
+                                          F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
