@@ -169,7 +169,8 @@ def _verified(docs: DataFrame, sketch: DataFrame, doc: str, text: str, depth: in
         "knot", "node", "m", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
         F.col("one.mark").alias("mark"), F.col("one.doc").alias("doc"))
     d = docs.select(F.xxhash64(F.col(text)).alias("d_mark"), F.col(doc).alias("d_doc"), F.col(text).alias("text"))
-    one = (d.join(plan, (F.col("d_mark") == F.col("mark")) & F.col("d_doc").eqNullSafe(F.col("doc")))
+    # a merge join at every size: the candidates grow with the corpus and are not to be broadcast
+    one = (d.join(plan.hint("merge"), (F.col("d_mark") == F.col("mark")) & F.col("d_doc").eqNullSafe(F.col("doc")))
            .select("knot", "node", "m", "blocks", "block", F.transform(words("text"), lambda w: F.xxhash64(w)).alias("w")))
     pair = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("with")
     blocks = one.select("*", pair).select(
