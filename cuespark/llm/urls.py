@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 DEPTH = 8               # deeper segments belong to the template as one open tail
 MANY = 8                # children of a node with variable segments
 COMMON = 0.05           # share of its node from which a child is no variable
@@ -72,8 +74,9 @@ def templates(paths: DataFrame) -> DataFrame:
     """host, path, n, good, bad and template, parent: the tree walked level by level."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     p = paths.withColumn("segments", segments).withColumn("template", F.lit("")).withColumn("parent", F.lit(""))
+    p = settle(p, "url-paths")
     deepest = min(DEPTH, p.agg(F.max(F.size("segments"))).first()[0] or 0)
-    for d in range(deepest):
+    for d in range(deepest):        # a level is read three times by the next: it is written
         segment = F.get("segments", F.lit(d))
         p = p.withColumn("segment", segment)
         child = (p.where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("child_n")))
@@ -86,6 +89,7 @@ def templates(paths: DataFrame) -> DataFrame:
         p = p.withColumn("next", F.when(F.col("segment").isNotNull(), F.concat("template", F.lit("/"), mark)))
         p = (p.withColumn("parent", F.when(F.col("next").isNotNull(), F.col("template")).otherwise(F.col("parent")))
              .withColumn("template", F.coalesce("next", "template")).drop("next", "varies", "segment"))
+        p = settle(p, "url-paths")
     tail = F.when(F.size("segments") > DEPTH, F.lit("/**")).otherwise(F.when(F.col("path").endswith("/"), F.lit("/")).otherwise(F.lit("")))
     return p.withColumn("template", F.concat("template", tail)).drop("segments")
 
