@@ -98,7 +98,7 @@ def search(words: list[bytes], tables: list[Matcher], spans: list[int], items: s
 
 def _blocks(benchmark: DataFrame, item: str, text: str, size: int, block_words: int):
     """Pattern tables of at most about `block_words` words each, read block by block."""
-    b = benchmark.select(F.col(item).cast("string").alias("item"), bytes_of(text).alias("text"))
+    b = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), bytes_of(text).alias("text"))
     total = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     count = max(1, -(-int(total) // (2 * block_words)))         # a word and its blank have two bytes at least
     for k in range(count):
