@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from . import weak
 from .common import text_of, words
 
@@ -110,19 +111,25 @@ def votes() -> list[Column]:
     ]
 
 
-def judge(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents' columns, the measures, base_failed, quality (posterior) and kept.
+def judge(docs: DataFrame, text: str = "text", least: float = 0.5, keep_text: bool = False) -> DataFrame:
+    """The documents' columns and the measures, base_failed, quality (posterior) and kept.
 
     A null, empty or blank text has no word and fails. Repeated rows are judged each (and count
     each in the estimation). A result replaces an input column of its name. The reliabilities are
     estimated from all documents given; of an empty table nothing is estimated.
+
+    Without the text the measures are written once and read for estimation and judgement; with it
+    they are computed twice, so that texts are not written.
     """
     rules = votes()
-    patterns = weak.counted(measures(docs.select(text), text), rules)
+    if keep_text:
+        measured, seen = measures(docs, text), measures(docs.select(text), text)
+    else:
+        measured = seen = settle(measures(docs, text).drop(text), "quality")
+    patterns = weak.counted(seen, rules)
     total = sum(n for _, n in patterns)
     r = weak.estimate(patterns, len(rules), prior=0.8, on_positive=0.98, on_negative=0.8, smoothing=TRUST * total)
     w = F.col("n_words")
-    return (measures(docs, text)
-            .withColumn("base_failed", (w < 10) | (100 * F.col("n_repeat_words") > 20 * w))
+    return (measured.withColumn("base_failed", (w < 10) | (100 * F.col("n_repeat_words") > 20 * w))
             .withColumn("quality", weak.posterior(rules, r))
             .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least)))
