@@ -19,10 +19,16 @@ BLOCK_MS = 65536
 
 
 def frame_energy(samples: DataFrame, rate: int = 16000) -> DataFrame:
-    """Sum of squares per millisecond of samples in -1..1, in 16-bit units, clipped."""
+    """Sum of squares per millisecond of samples in -1..1, in 16-bit units, clipped.
+
+    Millisecond k holds the samples from k * rate / 1000 to (k + 1) * rate / 1000, both rounded down;
+    one that lacks samples, as the last of a track may, is left out.
+    """
     x = F.least(F.greatest(F.col("x") * FULL_SCALE, F.lit(-32768.0)), F.lit(32767.0))
-    ms = F.floor(F.col("i") * 1000 / rate)
-    return samples.groupBy("track_id", ms.alias("ms")).agg(F.sum(x * x).alias("sumsq"), F.count(F.lit(1)).alias("n"))
+    ms = F.expr(f"((i + 1) * 1000 + {rate} - 1) div {rate} - 1")
+    whole = F.expr(f"(ms + 1) * {rate} div 1000 - ms * {rate} div 1000")
+    f = samples.groupBy("track_id", ms.alias("ms")).agg(F.sum(x * x).alias("sumsq"), F.count(F.lit(1)).alias("n"))
+    return f.where(F.col("n") >= whole)
 
 
 def track_lengths(frames: DataFrame) -> DataFrame:

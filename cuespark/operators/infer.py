@@ -99,4 +99,8 @@ def infer_route(units: DataFrame, load, run, *, hops: int = 2, legs: str = "legs
             best = choose_candidate(score(options), keys=keys, spoken_from=spoken_from).select(*keys, F.col("text").alias("_best"))
             many = many.join(best, list(keys), "left").withColumn("_cur", F.coalesce(F.trim("_best"), F.lit("")))
             u = u.unionByName(many.withColumn("_err", F.col("error")).drop("_new", "error", "_best"))
+    left = F.size(legs) - hops          # a longer route ends in a language on the way: that is no translation
+    unfinished = F.concat(F.lit("the route has "), left.cast("string"), F.lit(" more legs than hops"))
+    u = u.withColumn("_err", F.when(F.col("_err").isNull() & (left > 0), unfinished).otherwise(F.col("_err")))
+    u = u.withColumn("_cur", F.when(left > 0, F.lit(None)).otherwise(F.col("_cur")))
     return u.withColumnRenamed("_cur", "translated").withColumnRenamed("_err", "error")

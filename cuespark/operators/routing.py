@@ -19,7 +19,6 @@ def translation_routes(pairs: DataFrame, legs: DataFrame, pivot: str = K.PIVOT_L
     The direct leg if there is one, else two legs through the pivot language unless one side is
     the pivot itself. A missing leg is an error that names it.
     """
-    legs = F.broadcast(legs)                       # a catalog: size bounded by languages squared
     d = legs.select("source", "target", F.lit(True).alias("_direct"))
     a = legs.where(F.col("target") == pivot).select("source", F.lit(True).alias("_in"))
     b = legs.where(F.col("source") == pivot).select("target", F.lit(True).alias("_out"))
@@ -38,7 +37,7 @@ def translation_routes(pairs: DataFrame, legs: DataFrame, pivot: str = K.PIVOT_L
 def models_for(routes: DataFrame, legs: DataFrame) -> DataFrame:
     """Models a route needs, each once, in route order: (source, target, position, model)."""
     r = routes.where("error is null").select("source", "target", F.posexplode("legs").alias("at", "leg"))
-    m = F.broadcast(legs.select(F.concat("source", F.lit("-"), "target").alias("leg"), "model"))   # catalog
+    m = legs.select(F.concat("source", F.lit("-"), "target").alias("leg"), "model")
     r = r.join(m, "leg").groupBy("source", "target", "model").agg(F.min("at").alias("at"))
     w = Window.partitionBy("source", "target").orderBy("at")          # two rows at most
     return r.select("source", "target", (F.row_number().over(w) - 1).alias("position"), "model")
@@ -91,8 +90,7 @@ def resolve_voice(requests: DataFrame, voices: DataFrame, engines: list[tuple[st
     w = Window.partitionBy("engine", "language").orderBy(F.col("preferred").desc(), grade, "ord")
     best = voices.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("engine", "language", F.col("voice_id").alias("best"))
     able = best.join(order, "engine")
-    per_lang = F.broadcast(able.groupBy("language").agg(            # engines x languages of the catalog
-        F.array_sort(F.collect_list(F.struct("eo", "engine", "clones", "best"))).alias("able")))
+    per_lang = able.groupBy("language").agg(F.array_sort(F.collect_list(F.struct("eo", "engine", "clones", "best"))).alias("able"))
     r = requests.join(per_lang, "language", "left").join(F.broadcast(order.select(
         F.col("engine"), F.col("clones").alias("_clones"))), "engine", "left")
     able_ = F.coalesce("able", F.array().cast("array<struct<eo:int,engine:string,clones:boolean,best:string>>"))
@@ -101,7 +99,7 @@ def resolve_voice(requests: DataFrame, voices: DataFrame, engines: list[tuple[st
     pick = F.when(own, F.get(F.filter(able_, lambda a: a["engine"] == F.col("engine")), F.lit(0))).otherwise(
         F.get(F.filter(able_, lambda a: ~a["clones"]), F.lit(0)))
     r = r.withColumn("_p", pick)
-    named = F.broadcast(voices.select(F.col("engine").alias("_ve"), F.col("voice_id").alias("voice"), F.col("language").alias("_vl")))
+    named = voices.select(F.col("engine").alias("_ve"), F.col("voice_id").alias("voice"), F.col("language").alias("_vl"))
     r = r.join(named, (r["voice"] == named["voice"]) & (r["engine"] == named["_ve"]), "left").drop(named["voice"])
     by_name = own & (F.col("voice") != "auto") & ~F.col("_clones")
     cloner = F.get(F.filter(able_, lambda a: a["clones"]), F.lit(0))["engine"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import weights as wt
 from ..operators import build, frames as fr, layout, prompts, speakers as sp, units
+from ..operators.ordered import ordered
 from ..operators.rerank import unit_vector
 from ..session import settle
 from . import tables as t
@@ -189,10 +190,14 @@ def sounding(spark, sf):
 
 
 @query("frame_energy", sql="""
-, x as (select user_id as track_id, event_id as i, value / 400.0 as x from events)
-select track_id, i * 1000 // 16000 as ms, round(sum(pow(least(greatest(x * 32768.0, -32768.0), 32767.0), 2)), 3) as sumsq, count(*) as n from x group by all""".replace(", x as", "with x as", 1))
+, x as (select user_id as track_id, row_number() over (partition by user_id order by event_id) - 1 as i, value / 400.0 as x from events),
+k as (select unnest(generate_series(0, (select max(i) // 16 from x))) as ms)
+select track_id, ms, round(sum(pow(least(greatest(x * 32768.0, -32768.0), 32767.0), 2)), 3) as sumsq, count(*) as n
+from x join k on i >= ms * 16000 // 1000 and i < (ms + 1) * 16000 // 1000
+group by track_id, ms having count(*) >= (ms + 1) * 16000 // 1000 - ms * 16000 // 1000""".replace(", x as", "with x as", 1))
 def q_energy(spark, sf):
-    s = t.read(spark, sf, "events").select(F.col("user_id").alias("track_id"), F.col("event_id").alias("i"), (F.col("value") / 400.0).alias("x"))
+    e = t.read(spark, sf, "events").select(F.col("user_id").alias("track_id"), "event_id", (F.col("value") / 400.0).alias("x"))
+    s = ordered(e, sums={"i": F.lit(1).cast("bigint")}, order="event_id")       # samples of a track are consecutive
     return fr.frame_energy(s).select("track_id", "ms", F.round("sumsq", 3).alias("sumsq"), "n")
 
 

@@ -13,6 +13,7 @@ from ..sources import writers
 from ..streaming import streams
 from . import tables as t, workflow as wf
 from .file_queries import STATUS
+from .cue_queries import UNITS_SQL
 from .registry import query
 
 # Tokens of the given texts stand for Urdu words by their place in the word list.
@@ -171,10 +172,10 @@ def q_build_stream(spark, sf):
                  (F.col("turn") == F.col("last")).alias("final"))
     st = staged(s, "segments")
     w = build.word_rows(st)
-    return streams.drain(streams.cue_builder_stream(w), "built", "append").drop("batch", "pos")
+    return streams.drain(streams.cue_builder_stream(w), "built", "append").drop("batch", "pos", "gap")
 
 
-@query("sentence_unit_stream")
+@query("sentence_unit_stream", needs=("islands",), sql=UNITS_SQL + "select track_id, id, unit_id from walk")
 def q_unit_stream(spark, sf):
     c = rr.cue_positions(t.cues(spark, sf)).select(
         "track_id", "id", "number", "start", "end", F.length("text").alias("n"), ends_sentence("text").alias("ends"))

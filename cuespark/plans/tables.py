@@ -8,11 +8,10 @@ same derivations in SQL.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..operators.ordered import ordered
-from ..session import fresh_path
+from ..session import settle
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,26 +24,14 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-_stored: dict[tuple[str, str, str], str] = {}
-
-
-def stored(spark: SparkSession, sf: str, name: str, derive) -> DataFrame:
-    """An input table that is derived once per session and kept in the shared folder, as a stored
-    input would be. Operators that read their input in several branches then read files."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key in _stored:
-        try:
-            return spark.read.parquet(_stored[key])
-        except AnalysisException:           # the folder was cleaned: derive it again
-            pass
-    _stored[key] = fresh_path(spark, name)
-    derive(spark, sf).write.parquet(_stored[key])
-    return spark.read.parquet(_stored[key])
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """An input table as a stored one: operators that read their input in several branches read files."""
+    return settle(df, name)
 
 
 def cues(spark, sf) -> DataFrame:
     """Cue tracks: five tokens of a conversation turn per cue, with pauses and overlaps."""
-    return stored(spark, sf, "cues", _cues)
+    return stored(_cues(spark, sf), "cues")
 
 
 def _cues(spark, sf) -> DataFrame:

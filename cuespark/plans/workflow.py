@@ -53,12 +53,16 @@ def _translate(step: Translate, cues: DataFrame) -> tuple[DataFrame, DataFrame]:
     source = known if step.source == "auto" else F.lit(step.source)
     c = cues.withColumn("_source", source)
     errors = c.where("_source = ''").select(
-        "track_id", F.lit("The language of this step's input is unknown. Choose its source language.").alias("error")).distinct()
+        "track_id", F.lit("This step does not know what language the track is in; name a source.").alias("error")).distinct()
     kept = c.where(F.col("_source") == step.target)
     todo = c.where((F.col("_source") != "") & (F.col("_source") != step.target))
     u = units.join_units(units.sentence_units(todo), "_source")
     u = step.model(u.withColumn("target", F.lit(step.target)))
-    done = units.spread_translation(settle(u, "translated"), step.target)
+    u = settle(u, "translated")
+    failed = u.where(F.col("translated").isNull()).groupBy("track_id").agg(F.count("*").alias("n"))
+    errors = errors.unionByName(failed.select("track_id", F.concat(
+        F.lit("No translation for "), F.col("n").cast("string"), F.lit(" sentence units; their cues are left out.")).alias("error")))
+    done = units.spread_translation(u, step.target)
     done = done.select("track_id", "id", "start", "end", F.col("translated").alias("text"), "language", F.lit("").alias("script"))
     return kept.select(*COLUMNS).unionByName(done), errors
 
@@ -68,7 +72,7 @@ def _transliterate(step: Transliterate, cues: DataFrame) -> tuple[DataFrame, Dat
     c = cues.withColumn("_script", auto if step.source == "auto" else F.lit(step.source))
     name = F.col("language")
     errors = c.where("_script = ''").select(
-        "track_id", F.concat(F.lit("Transliteration doesn't support the script of '"), name, F.lit("'.")).alias("error")).distinct()
+        "track_id", F.concat(F.lit("There is no transliteration from the script of '"), name, F.lit("'.")).alias("error")).distinct()
     done = c.where("_script <> ''").withColumn("text", step.model(F.col("text"), F.col("_script"))).withColumn(
         "script", F.lit(step.target))
     return done.select(*COLUMNS), errors

@@ -1,8 +1,7 @@
 """Subtitle documents from cue tables: SRT, VTT, LRC, ASS, SBV.
 
-A document comes as ordered parts. A part holds the cues of one id block, so a normal track is
-one part, and a huge track is built by many tasks; the parts in order are the file. Cue numbers
-run through all parts.
+A track is one document, whatever its ids: a reader takes it back as one file. It is one row and
+so must stay below 2 GB; a larger one fails openly when its string is built.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from .. import constants as K
 from ..functions.text import (
     ass_time, cue_text, lrc_time, sbv_time, srt_time, vtt_escape, vtt_time)
 from ..functions.wrap import wrap_text
-from ..operators.ordered import BLK, BLOCK, blocked, ordered
+from ..operators.ordered import ordered
 
 # Fixed header lines of an ASS document (format and style lines are part of the format).
 ASS_HEADER = [
@@ -36,17 +35,11 @@ ASS_HEADER = [
 ]
 
 
-def _parts(rows: DataFrame, entry: Column, block: int, header: str = "") -> DataFrame:
-    """Concatenate the entries of every block in id order; the first part carries the header."""
-    rows = blocked(rows, "id", block)
-    parts = rows.groupBy("track_id", BLK).agg(
-        F.array_sort(F.collect_list(F.struct("id", entry.alias("e")))).alias("_e"),
-        F.count(F.lit(1)).alias("n_cues")).withColumnRenamed(BLK, "_at")
-    parts = ordered(parts, sums={"part": F.lit(1).cast("bigint")}, order="_at")
+def _documents(rows: DataFrame, entry: Column, header: str = "") -> DataFrame:
+    """The entries of every track in id order, behind the header."""
+    d = rows.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("id", entry.alias("e")))).alias("_e"))
     body = F.array_join(F.transform("_e", lambda s: s["e"]), "\n")
-    if header:
-        body = F.when(F.col("part") == 0, F.concat(F.lit(header), body)).otherwise(body)
-    return parts.select("track_id", "part", "n_cues", body.alias("document"))
+    return d.select("track_id", F.size("_e").cast("bigint").alias("n_cues"), F.concat(F.lit(header), body).alias("document"))
 
 
 def _shown(cues: DataFrame, translated: bool) -> DataFrame:
@@ -57,50 +50,41 @@ def _lines(max_len, max_lines: int) -> Column:
     return wrap_text("_text", max_len, max_lines)
 
 
-def write_srt(cues: DataFrame, *, translated=False, max_len=K.MAX_LINE_LENGTH, max_lines=K.MAX_LINES,
-              block: int = BLOCK) -> DataFrame:
-    rows = ordered(_shown(cues, translated), sums={"_n": F.lit(1).cast("bigint")}, block=block)
+def write_srt(cues: DataFrame, *, translated=False, max_len=K.MAX_LINE_LENGTH, max_lines=K.MAX_LINES) -> DataFrame:
+    rows = ordered(_shown(cues, translated), sums={"_n": F.lit(1).cast("bigint")})
     entry = F.concat_ws("\n", (F.col("_n") + 1).cast("string"),
                         F.concat(srt_time("start"), F.lit(" --> "), srt_time("end")),
                         F.array_join(_lines(max_len, max_lines), "\n"), F.lit(""))
-    return _parts(rows, entry, block)
+    return _documents(rows, entry)
 
 
-def write_vtt(cues: DataFrame, *, translated=False, max_len=K.MAX_LINE_LENGTH, max_lines=K.MAX_LINES,
-              block: int = BLOCK) -> DataFrame:
+def write_vtt(cues: DataFrame, *, translated=False, max_len=K.MAX_LINE_LENGTH, max_lines=K.MAX_LINES) -> DataFrame:
     entry = F.concat_ws("\n", F.concat(vtt_time("start"), F.lit(" --> "), vtt_time("end")),
                         F.array_join(F.transform(_lines(max_len, max_lines), vtt_escape), "\n"), F.lit(""))
-    return _parts(_shown(cues, translated), entry, block, header="WEBVTT\n\n")
+    return _documents(_shown(cues, translated), entry, header="WEBVTT\n\n")
 
 
-def write_lrc(cues: DataFrame, *, translated=False, block: int = BLOCK) -> DataFrame:
+def write_lrc(cues: DataFrame, *, translated=False) -> DataFrame:
     entry = F.concat(F.lit("["), lrc_time("start"), F.lit("]"), F.col("_text"))
-    return _parts(_shown(cues, translated), entry, block)
+    return _documents(_shown(cues, translated), entry)
 
 
-def write_sbv(cues: DataFrame, *, translated=False, max_len=K.MAX_LINE_LENGTH, max_lines=K.MAX_LINES,
-              block: int = BLOCK) -> DataFrame:
+def write_sbv(cues: DataFrame, *, translated=False, max_len=K.MAX_LINE_LENGTH, max_lines=K.MAX_LINES) -> DataFrame:
     entry = F.concat_ws("\n", F.concat(sbv_time("start"), F.lit(","), sbv_time("end")),
                         F.array_join(_lines(max_len, max_lines), "\n"), F.lit(""))
-    return _parts(_shown(cues, translated), entry, block)
+    return _documents(_shown(cues, translated), entry)
 
 
-def write_ass(cues: DataFrame, *, translated=False, max_len=K.MAX_LINE_LENGTH, max_lines=K.MAX_LINES,
-              block: int = BLOCK) -> DataFrame:
+def write_ass(cues: DataFrame, *, translated=False, max_len=K.MAX_LINE_LENGTH, max_lines=K.MAX_LINES) -> DataFrame:
     entry = F.concat(F.lit("Dialogue: 0,"), ass_time("start"), F.lit(","), ass_time("end"),
                      F.lit(",Default,,0,0,0,,"), F.array_join(_lines(max_len, max_lines), "\\N"))
-    return _parts(_shown(cues, translated), entry, block, header="\n".join(ASS_HEADER) + "\n")
+    return _documents(_shown(cues, translated), entry, header="\n".join(ASS_HEADER) + "\n")
 
 
 WRITERS = {"srt": write_srt, "vtt": write_vtt, "lrc": write_lrc, "ass": write_ass, "sbv": write_sbv}
 
 
 def save_documents(documents: DataFrame, path: str) -> None:
-    """Write documents as text under path/track_id=.../, one line per part, in part order.
-
-    Files are partitioned by track; the parts of one track are spread over range-sorted files,
-    so no task holds a whole huge track.
-    """
-    (documents.repartitionByRange("track_id", "part").sortWithinPartitions("track_id", "part")
-     .select("track_id", F.col("document").alias("value"))
+    """Write each document as text under path/track_id=.../."""
+    (documents.select("track_id", F.col("document").alias("value"))
      .write.partitionBy("track_id").mode("errorifexists").text(path))

@@ -68,87 +68,133 @@ def _load(state: GroupState, empty: dict) -> dict:
     return json.loads(state.get[0]) if state.exists else empty
 
 
+def _drained(wait: dict, start: int, give_up: bool):
+    """Waiting entries that can be taken now: those without a gap before them, or all of them in
+    order if the missing ones are given up. Yields (number, entry, whether something is missing before)."""
+    at = start
+    for n in sorted(map(int, wait)):
+        if n > at and not give_up:
+            return
+        yield n, wait.pop(str(n)), n > at
+        at = n + 1
+
+
+def _words_step(s: dict, arrived: pd.DataFrame, layout: Layout, over: bool) -> tuple[list[tuple], bool]:
+    """Cues (without the track) that the arrived words complete, and whether the track has ended.
+
+    `s` is the track's state and is changed. `over`: nothing more is expected, gaps are given up.
+    """
+    for seg, part in arrived.sort_values(["seg", "pos"]).groupby("seg", sort=True):
+        if seg >= s["next"]:
+            first = part.iloc[0]
+            s["wait"].setdefault(str(seg), {
+                "rows": [list(r) for r in zip(*[part[c].tolist() for c in ROW])], "n": int(first["n_words"]),
+                "text": first["text"], "lang": first["language"], "final": bool(first["final"])})
+    b = Builder(layout, s["tail"], s["lang"])
+    out: list[tuple] = []
+    for seg, w, gap in _drained(s["wait"], s["next"], over):
+        s["next"] = seg + 1
+        if gap:             # what comes before a missing segment does not run on behind it
+            out += [(*c, s["gap"]) for c in b.flush()]
+            s["gap"] = True
+        if w["n"] == 0:
+            text = (w["text"] or "").strip()
+            text = text if w["lang"] in K.NO_SPACE_LANGUAGES else " ".join(text.split())
+            pos, _, ws, we = w["rows"][0][:4]
+            made = [*b.flush(), (pos, ws, we, text, w["lang"])]
+        else:
+            made = b.add(w["rows"], w["lang"])
+        for c in made:
+            if c[3]:
+                out.append((*c, s["gap"]))
+                s["gap"] = False
+        over = over or w["final"]
+    if over:
+        out += [(*c, s["gap"]) for c in b.flush()]
+    s.update(tail=b.tail, lang=b.tail_language)
+    return [c for c in out if c[3]], over
+
+
 def cue_builder_stream(words: DataFrame, layout: Layout = Layout(), timeout_ms: int | None = None) -> DataFrame:
-    """Cues as their segments arrive: (track_id, id, pos, start, end, text, language).
+    """Cues as their segments arrive: (track_id, id, pos, start, end, text, language, gap).
 
     Takes word rows (operators.build.word_rows) with `final`, true on the last segment of a track.
     Segments are taken in id order from 0: early ones wait in the state, repeated ones are
-    dropped. The state holds the unfinished tail, less than half a cue, and what waits. The end of
-    the track, or silence for `timeout_ms` if one is given, releases the tail. With a timeout the
-    query keeps running batches, so it does not go with an available-now trigger.
+    dropped. The state holds the unfinished tail, less than half a cue, and what waits; it is removed
+    at the end of the track. Silence for `timeout_ms`, if given, ends a track too: missing segments are
+    then given up, what waited behind them is built in order, and the first cue behind a gap has
+    `gap` true. With a timeout the query keeps running batches, so it does not go with an
+    available-now trigger; without one a missing segment holds back what follows it.
     """
-    cols = ["pos", "start", "end", "text", "language"]
+    cols = ["pos", "start", "end", "text", "language", "gap"]
+    empty = pd.DataFrame(columns=["seg", "n_words", "text", "language", "final", *ROW])
 
     def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = _load(state, {"next": 0, "id": 0, "tail": [], "lang": "", "wait": {}})
-        b = Builder(layout, s["tail"], s["lang"])
-        out, over = [], state.hasTimedOut
-        for pdf in batches:
-            for seg, part in pdf.sort_values("pos").groupby("seg"):
-                if seg >= s["next"]:
-                    p = part.iloc[0]
-                    s["wait"].setdefault(str(seg), {
-                        "rows": [list(r) for r in zip(*[part[c].tolist() for c in ROW])], "n": int(p["n_words"]),
-                        "text": p["text"], "lang": p["language"], "final": bool(p["final"])})
-        while str(s["next"]) in s["wait"]:
-            w = s["wait"].pop(str(s["next"]))
-            s["next"] += 1
-            if w["n"] == 0:
-                text = (w["text"] or "").strip()
-                text = text if w["lang"] in K.NO_SPACE_LANGUAGES else " ".join(text.split())
-                pos, _, ws, we = w["rows"][0][:4]
-                out += b.flush() + [(pos, ws, we, text, w["lang"])]
-            else:
-                out += b.add(w["rows"], w["lang"])
-            over = over or w["final"]
-        if over:
-            out += b.flush()
-        out = [c for c in out if c[3]]
+        s = _load(state, {"next": 0, "id": 0, "tail": [], "lang": "", "wait": {}, "gap": False})
+        parts = list(batches)               # a segment may lie across two of them
+        out, over = _words_step(s, pd.concat(parts) if parts else empty, layout, state.hasTimedOut)
         if out:
             frame = pd.DataFrame(out, columns=cols)
             frame.insert(0, "id", range(s["id"], s["id"] + len(out)))
             frame.insert(0, "track_id", key[0])
             yield frame
-        s.update(id=s["id"] + len(out), tail=b.tail, lang=b.tail_language)
+        if over:
+            state.remove()
+            return
+        s["id"] += len(out)
         state.update((json.dumps(s),))
-        if timeout_ms and not over:
+        if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
 
     return words.groupBy("track_id").applyInPandasWithState(
-        fn, f"track_id {key_type(words)}, id long, pos long, start double, end double, text string, language string",
+        fn, f"track_id {key_type(words)}, id long, pos long, start double, end double, text string, language string, gap boolean",
         "state string", "append",
         GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
-def sentence_unit_stream(cues: DataFrame) -> DataFrame:
+def _units_step(s: dict, arrived: list[tuple], give_up: bool) -> list[tuple]:
+    """(id, unit_id) of the cues that can be told now; rows are (number, id, start, end, n, ends)."""
+    for number, *rest in arrived:
+        if number >= s["next"]:
+            s["wait"].setdefault(str(number), rest)
+    out = []
+    for number, (cue, start, end, n, ends), gap in _drained(s["wait"], s["next"], give_up):
+        s["next"] = number + 1
+        if gap or s["unit"] is None or start - s["end"] > K.UNIT_MAX_GAP_SECONDS or s["len"] + n > K.UNIT_MAX_CHARS:
+            s["unit"], s["len"] = cue, 0
+        out.append((cue, s["unit"]))
+        s["len"] += n + 1
+        s["end"] = end
+        if ends:
+            s["unit"] = None
+    return out
+
+
+def sentence_unit_stream(cues: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """The sentence unit of every cue as it arrives: (track_id, id, unit_id).
 
     Takes (track_id, id, number, start, end, n, ends): `number` counts the cues of a track from 1,
     `n` is the text length, `ends` says that the text ends a sentence. Early cues wait in the state.
+    Silence for `timeout_ms`, if given, gives up missing numbers, releases what waited in order (a
+    unit does not run over a gap) and removes the track's state.
     """
     def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = _load(state, {"next": 1, "unit": None, "len": 0, "end": 0.0, "wait": {}})
-        for pdf in batches:
-            for r in zip(*[pdf[c].tolist() for c in ("number", "id", "start", "end", "n", "ends")]):
-                if r[0] >= s["next"]:
-                    s["wait"].setdefault(str(r[0]), list(r[1:]))
-        out = []
-        while str(s["next"]) in s["wait"]:
-            cue, start, end, n, ends = s["wait"].pop(str(s["next"]))
-            s["next"] += 1
-            if s["unit"] is None or start - s["end"] > K.UNIT_MAX_GAP_SECONDS or s["len"] + n > K.UNIT_MAX_CHARS:
-                s["unit"], s["len"] = cue, 0
-            out.append((key[0], cue, s["unit"]))
-            s["len"] += n + 1
-            s["end"] = end
-            if ends:
-                s["unit"] = None
-        state.update((json.dumps(s),))
+        names = ("number", "id", "start", "end", "n", "ends")
+        rows = [r for pdf in batches for r in zip(*[pdf[c].tolist() for c in names])]
+        out = _units_step(s, rows, state.hasTimedOut)
         if out:
-            yield pd.DataFrame(out, columns=["track_id", "id", "unit_id"])
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=["track_id", "id", "unit_id"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        state.update((json.dumps(s),))
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
 
     return cues.groupBy("track_id").applyInPandasWithState(
-        fn, f"track_id {key_type(cues)}, id long, unit_id long", "state string", "append", GroupStateTimeout.NoTimeout)
+        fn, f"track_id {key_type(cues)}, id long, unit_id long", "state string", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 # --- files ---------------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from cuespark.operators import build, files, infer, jobs, rerank, routing, units
 from cuespark.functions.text import ends_sentence
 from cuespark.plans import stream_queries as sq, tables, workflow as wf
-from cuespark.sources import results, writers
+from cuespark.sources import results, subtitles, writers
 from cuespark.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -57,11 +57,45 @@ def test_results(spark, tmp_path):
     assert [(r.file, r.text, r.gender) for r in u] == [("f1", '"raw', "MALE"), ("f2", "z", "FEMALE")]
 
 
-def test_document_parts_join_to_the_document(spark):
-    c = tables.cues(spark, SF).where("track_id = 0")
-    whole = writers.write_srt(c).collect()
-    parts = sorted(writers.write_srt(c, block=500).collect(), key=lambda r: r.part)
-    assert len(parts) > 1 and "\n".join(p.document for p in parts) == whole[0].document
+@pytest.mark.parametrize("fmt", sorted(writers.WRITERS))
+def test_a_track_is_one_document_whatever_its_ids(spark, fmt):
+    c = spark.createDataFrame([(1, 5, 1.0, 2.0, "first words"), (1, 70000, 3.0, 4.0, "second words")],
+                              'track_id int, id long, start double, `end` double, text string')
+    got = writers.WRITERS[fmt](c).collect()
+    assert len(got) == 1 and got[0].n_cues == 2
+    name = f"a.{fmt}"
+    docs = spark.createDataFrame([(name, got[0].document)], "path string, value string")
+    cues, errors = subtitles.read_subtitles(docs)
+    back = [(r.start, r.text) for r in cues.orderBy("id").collect()]
+    assert [b[1] for b in back] == ["first words", "second words"] and errors.count() == 0
+
+
+def segment_rows(spark, seg, final, words=4):
+    w = [{"word": f" w{seg}x{i}", "start": seg * 600.0 + i * 0.3, "end": seg * 600.0 + i * 0.3 + 0.2} for i in range(words)]
+    return (1, seg, seg * 600.0, seg * 600.0 + 5, "", w, "en", final)
+
+
+def arrived(spark, *segs, last=9):
+    s = spark.createDataFrame([segment_rows(spark, k, k == last) for k in segs], "track_id int, id long, start double, `end` double, text string, "
+                              "words array<struct<word:string,start:double,`end`:double>>, language string, final boolean")
+    return build.word_rows(s).toPandas()
+
+
+def test_missing_segment_is_given_up_at_the_end(spark):
+    state = {"next": 0, "id": 0, "tail": [], "lang": "", "wait": {}, "gap": False}
+    first, over = streams._words_step(state, arrived(spark, 2, 0, 3), build.Layout(), False)
+    assert not over and {c[3].split("x")[0] for c in first} <= {"w0"} and set(state["wait"]) == {"2", "3"}
+    rest, over = streams._words_step(state, arrived(spark, 4), build.Layout(), True)
+    text = " ".join(c[3] for c in first + rest)
+    assert over and not state["wait"] and text.split() == [f"w{s}x{i}" for s in (0, 2, 3, 4) for i in range(4)]
+    assert [c[5] for c in first + rest].count(True) == 1
+
+
+def test_missing_number_is_given_up():
+    state = {"next": 1, "unit": None, "len": 0, "end": 0.0, "wait": {}}
+    rows = [(n, 10 * n, float(n), n + 0.9, 5, False) for n in (1, 2, 5, 4)]
+    assert streams._units_step(state, rows, False) == [(10, 10), (20, 10)]
+    assert streams._units_step(state, [], True) == [(40, 40), (50, 40)] and not state["wait"]
 
 
 def test_infer_isolates_bad_rows(spark):
@@ -97,14 +131,21 @@ def test_unit_stream_equals_batch(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_cue_stream_equals_batch(spark):
+@pytest.mark.parametrize("chunk", ["10", "10000"])
+def test_cue_stream_equals_batch(spark, chunk):
+    """Also where segments lie across Arrow chunks."""
     s = tables.segments(spark, SF).where("track_id < 30")
     last = s.groupBy("track_id").agg(F.max("id").alias("last"))
     s = s.join(last, "track_id").withColumn("final", F.col("id") == F.col("last")).drop("last")
     want = build.build_cues(s.drop("final"), timing=False).select("track_id", "id", "start", "end", "text")
     w = build.word_rows(sq.staged(s, "s", 6))
-    got = streams.drain(streams.cue_builder_stream(w), "b", "append").select("track_id", "id", "start", "end", "text")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", chunk)
+    try:
+        got = streams.drain(streams.cue_builder_stream(w), "b", "append").select("track_id", "id", "start", "end", "text").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
 
 
 def test_file_stream(spark, tmp_path):
