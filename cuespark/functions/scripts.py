@@ -6,6 +6,8 @@ Devanagari look at neighbours; they run on the distinct words of a corpus and ar
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,75 +105,47 @@ def indic_convert(text, source: str, target: str) -> Column:
 
 # --- Urdu to Devanagari -----------------------------------------------------------------------------
 
-_VOWEL = {"ِ": ("ि", "इ"), "ُ": ("ु", "उ"), "آ": ("ा", "आ"), "ے": ("े", "ए")}   # after consonant, else
-_HAMZA = {"ے": "ए", "ی": "ई", "و": "ओ"}
+# What a letter becomes depends on the sound before it (o: none yet, c: a consonant, v: a vowel) and on
+# the letters after it. Rules are tried from the top: pattern, sounds before, result, sound it leaves
+# ("" leaves the one before). A result may be a function of the match and of what was written last.
+_CONSONANT = "[" + "".join(S.DEVANAGARI_CONSONANTS) + "]"
+_LETTER_RULES = [(re.compile(pattern), before, result, leaves) for pattern, before, result, leaves in [
+    (_CONSONANT + "ھ", "ocv", lambda m, last: S.DEVANAGARI_ASPIRATES.get(m[0], S.DEVANAGARI_CONSONANTS[m[0]] + "्ह"), "c"),
+    (_CONSONANT, "ocv", lambda m, last: S.DEVANAGARI_CONSONANTS[m], "c"),
+    ("ِ", "c", "ि", "v"), ("ِ", "ov", "इ", "v"),
+    ("ُ", "c", "ु", "v"), ("ُ", "ov", "उ", "v"),
+    ("آ", "c", "ा", "v"), ("آ", "ov", "आ", "v"),
+    ("ے", "c", "े", "v"), ("ے", "ov", "ए", "v"),
+    ("اِ", "o", "इ", "v"), ("اُ", "o", "उ", "v"), ("ای", "o", "ए", "v"), ("او", "o", "औ", "v"),
+    ("ا", "o", "अ", "v"), ("ا", "c", "ा", "v"), ("ا", "v", "आ", "v"),
+    ("و", "o", "व", "c"), ("و(?=[اآ])", "c", "व", "c"), ("و", "c", "ो", "v"), ("و", "v", "ओ", "v"),
+    ("ی", "o", "य", "c"), ("ی(?=[اآو])", "cv", "य", "c"), (r"یں\Z", "c", "ें", "v"), ("ی", "c", "ी", "v"), ("ی", "v", "ई", "v"),
+    ("ئیں", "ocv", "एँ", "v"), ("ئے", "ocv", "ए", "v"), ("ئی", "ocv", "ई", "v"), ("ئو", "ocv", "ओ", "v"), ("ئ", "ocv", "इ", "v"),
+    ("ؤ", "ocv", "ओ", "v"),
+    (r"ہ\Z", "c", "ा", "v"), ("ہ", "ocv", "ह", "c"), ("ھ", "ocv", "ह", "c"),
+    ("عا", "o", "आ", "v"), ("ع", "o", "अ", "v"), (r"ع(?!\Z)", "c", "ा", "v"), ("ع", "cv", "", ""),
+    ("ّ", "c", lambda m, last: "्" + last if last else "", ""), ("ّ", "ov", "", ""),
+    ("ً", "ocv", "न", "c"), ("[َء]", "ocv", "", ""), ("ں", "ocv", "ं", ""),
+]]
 
 
 def devanagari_word(word: str) -> str:
-    """One Urdu word letter by letter. `after` says what the last sound was: nothing, consonant or vowel."""
-    s = "".join(c for c in word if c not in S.URDU_SILENT)
-    out: list[str] = []
-    after, i = "", 0
-
-    def put(sound: str, kind: str, used: int = 1):
-        nonlocal after, i
-        if sound:
-            out.append(sound)
-        after, i = kind or after, i + used
-
-    while i < len(s):
-        c, nxt, rest = s[i], s[i + 1:i + 2], len(s) - i - 1
-        joined = after == "c"
-        if c in S.DEVANAGARI_CONSONANTS:
-            if nxt == "ھ":
-                put(S.DEVANAGARI_ASPIRATES.get(c, S.DEVANAGARI_CONSONANTS[c] + "्ह"), "c", 2)
-            else:
-                put(S.DEVANAGARI_CONSONANTS[c], "c")
-        elif c in _VOWEL:
-            put(_VOWEL[c][0 if joined else 1], "v")
-        elif c == "ا" and not after:
-            lead = {"ِ": "इ", "ُ": "उ", "ی": "ए", "و": "औ"}.get(nxt)
-            put(lead or "अ", "v", 2 if lead else 1)
-        elif c == "ا":
-            put("ा" if joined else "आ", "v")
-        elif c == "و":
-            glide = not after or (joined and nxt in ("ا", "آ"))
-            put("व" if glide else "ो" if joined else "ओ", "c" if glide else "v")
-        elif c == "ی":
-            if not after or (nxt and nxt in "اآو"):
-                put("य", "c")
-            elif joined and nxt == "ں" and rest == 1:
-                put("ें", "v", 2)
-            else:
-                put("ी" if joined else "ई", "v")
-        elif c == "ئ":
-            if nxt == "ی" and s[i + 2:i + 3] == "ں":
-                put("एँ", "v", 3)
-            else:
-                put(_HAMZA.get(nxt, "इ"), "v", 2 if nxt in _HAMZA else 1)
-        elif c == "ؤ":
-            put("ओ", "v")
-        elif c == "ہ":
-            silent = rest == 0 and joined
-            put("ा" if silent else "ह", "v" if silent else "c")
-        elif c == "ھ":
-            put("ह", "c")
-        elif c == "ع":
-            if not after:
-                put("आ" if nxt == "ا" else "अ", "v", 2 if nxt == "ا" else 1)
-            elif joined and rest:
-                put("ा", "v")
-            else:
-                put("", "")
-        elif c == "ّ":
-            put("्" + out[-1] if out and joined else "", "")
-        elif c == "ً":
-            put("न", "c")
-        elif c in ("َ", "ء"):
-            put("", "")
-        else:
-            put("ं" if c == "ں" else c, "")
-    return "".join(out)
+    """One Urdu word by the letter rules; characters without a rule stay."""
+    letters = "".join(c for c in word if c not in S.URDU_SILENT)
+    written, before, at = [], "o", 0
+    while at < len(letters):
+        match, result, leaves = None, letters[at], ""
+        for pattern, sounds, result_, leaves_ in _LETTER_RULES:
+            match = pattern.match(letters, at) if before in sounds else None
+            if match:
+                result, leaves = result_, leaves_
+                break
+        if callable(result):
+            result = result(match[0], written[-1] if written else "")
+        if result:
+            written.append(result)
+        before, at = leaves or before, match.end() if match else at + 1
+    return "".join(written)
 
 
 _MARKS = S.URDU_MARKS | {chr(b + d): str(d) for b in (0x06F0, 0x0660) for d in range(10)}
@@ -236,33 +210,24 @@ def urdu_to_devanagari(texts: DataFrame, keys=("track_id", "id"), text: str = "t
 
 # --- numbers --------------------------------------------------------------------------------------------
 
+def _by_scale(n: int, scales):
+    """How many of each scale a number has, with the scale's name, and the rest without one; those it has."""
+    for scale, name in [*scales, (1, "")]:
+        count, n = divmod(n, scale)
+        if count:
+            yield count, name
+
+
 def hindi_number(n: int) -> str:
-    if n == 0:
-        return S.HINDI_ZERO
-    words = []
-    for scale, name in S.HINDI_SCALES:
-        if n >= scale:
-            words += [hindi_number(n // scale), name]
-            n %= scale
-    return " ".join(words + ([S.HINDI_NUMBERS[n - 1]] if n else []))
+    words = [f"{hindi_number(k)} {name}" if name else S.HINDI_NUMBERS[k - 1] for k, name in _by_scale(n, S.HINDI_SCALES)]
+    return " ".join(words) or S.HINDI_ZERO
 
 
 def kanji_number(n: int) -> str:
-    if n == 0:
-        return S.KANJI_DIGITS[0]
-
-    def group(m: int) -> str:
-        text = ""
-        for scale, name in S.KANJI_SMALL:
-            d, m = divmod(m, scale)
-            text += (S.KANJI_DIGITS[d] if d > 1 else "") + (name if d else "")
-        return text + (S.KANJI_DIGITS[m] if m else "")
-
-    text = ""
-    for scale, name in S.KANJI_LARGE:
-        d, n = divmod(n, scale)
-        text += group(d) + name if d else ""
-    return text + group(n)
+    def below_ten_thousand(m: int) -> str:      # a one before a scale is not written
+        return "".join(("" if name and k == 1 else S.KANJI_DIGITS[k]) + name for k, name in _by_scale(m, S.KANJI_SMALL))
+
+    return "".join(below_ten_thousand(k) + name for k, name in _by_scale(n, S.KANJI_LARGE)) or S.KANJI_DIGITS[0]
 
 
 @F.pandas_udf(StringType())
