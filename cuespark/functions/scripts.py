@@ -1,7 +1,7 @@
 """Conversion between scripts.
 
 Letter tables are applied with built-in string functions. Only the letter rules of Urdu to
-Devanagari look at neighbours; they run on the distinct words of a corpus and are joined back.
+Devanagari look at neighbours; they run in Arrow batches, once for each distinct word of a batch.
 """
 
 from __future__ import annotations
@@ -163,49 +163,45 @@ def devanagari_run(run: str) -> str:
     return lead + S.DEVANAGARI_WORDS.get(core, devanagari_word(core)) + "".join(_MARKS[c] for c in tail)
 
 
-@F.pandas_udf(StringType())
-def _devanagari_runs(run: pd.Series) -> pd.Series:
-    return run.map(devanagari_run)
+URDU_RUN = "[؀-ۿݐ-ݿ‌‍]"
+_RUNS = re.compile(URDU_RUN + "+")
+# The blank before a future ending, a word of its own in Urdu that Devanagari writes with its verb.
+_GLUE = re.compile("(?<=[^ ]) (?=(?:" + "|".join(S.FUTURE_ENDINGS) + ")[۔،؟।,?.!]*(?: |$))")
 
 
-URDU_RUN = "[؀-ۿݐ-ݿ‌‍]"
+class _Once(dict):
+    """Results of a function by argument, so that each distinct one is computed once."""
 
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
 
-def through_vocabulary(texts: DataFrame, keys, text: str, tokens, convert, wanted) -> DataFrame:
-    """Convert tokens once per distinct token: (keys, converted), converted an ordered token array.
+    def __missing__(self, key):
+        value = self[key] = self.of(key)
+        return value
 
-    `tokens` splits the text Column, `wanted` tells tokens to convert. Texts are partitioned by
-    their key first, so their tokens come together again without another shuffle when the
-    vocabulary is small enough for Spark to broadcast (its own size check decides).
-    """
-    keys = list(keys)
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t = texts.select(*keys, tokens(F.col(text)).alias("_t")).repartition(parts, *keys)
-    t = t.select(*keys, F.posexplode_outer("_t").alias("_i", "_w"))
-    vocab = t.where(wanted(F.col("_w"))).select("_w").distinct().withColumn("_c", convert("_w"))
-    t = t.join(vocab, "_w", "left").withColumn("_c", F.coalesce("_c", "_w"))
-    return t.groupBy(*keys).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_i", "_c"))), lambda s: s["_c"]).alias("converted"))
+
+def _rewritten(pattern: re.Pattern, of, pieces=lambda text: [text]):
+    """A function on batches of texts that puts of(match) for every match, converting each distinct match of a batch once."""
+    def run(texts: pd.Series) -> pd.Series:
+        known = _Once(of)
+        return texts.map(lambda t: None if t is None else "".join(pattern.sub(lambda m: known[m[0]], p) for p in pieces(t)))
+
+    return F.pandas_udf(run, StringType())
 
 
 def urdu_to_devanagari(texts: DataFrame, keys=("track_id", "id"), text: str = "text") -> DataFrame:
-    """(keys, converted): Urdu written in Devanagari; whatever is not Urdu passes through.
+    """(keys, converted): Urdu written in Devanagari; whatever is not Urdu passes through. No shuffle.
 
     Entries of two words are found first. A future ending, a word of its own in Urdu, joins the
-    verb before it.
+    word before it; Devanagari that was in the text stays as it is.
     """
-    pairs = {k: v for k, v in S.DEVANAGARI_WORDS.items() if " " in k}
-    t = texts.withColumn("_u", substitute(F.col(text), S.URDU_VARIANTS))
-    for k, v in pairs.items():
-        t = t.withColumn("_u", F.regexp_replace("_u", f"(?<![^ ]){k}(?![^ ])", v))
-
-    def tokens(c):
-        return F.regexp_extract_all(c, F.lit(f" |{URDU_RUN}+|(?:(?!{URDU_RUN})[^ ])+"), F.lit(0))
-
-    out = through_vocabulary(t, keys, "_u", tokens, _devanagari_runs, lambda w: w.rlike("^" + URDU_RUN))
-    out = out.select(*keys, F.array_join("converted", "").alias("_d"))
-    glue = "(?<=[^ ]) (" + "|".join(devanagari_run(w) for w in S.FUTURE_ENDINGS) + ")(?=[।,?.!]*(?: |$))"
-    return out.select(*keys, F.regexp_replace("_d", glue, "$1").alias("converted"))
+    u = substitute(F.col(text), S.URDU_VARIANTS)
+    for k, v in S.DEVANAGARI_WORDS.items():
+        if " " in k:
+            u = F.regexp_replace(u, f"(?<![^ ]){k}(?![^ ])", v)
+    convert = _rewritten(_RUNS, devanagari_run, _GLUE.split)
+    return texts.select(*keys, convert(u).alias("converted"))
 
 
 # --- numbers --------------------------------------------------------------------------------------------
@@ -230,20 +226,8 @@ def kanji_number(n: int) -> str:
     return "".join(below_ten_thousand(k) + name for k, name in _by_scale(n, S.KANJI_LARGE)) or S.KANJI_DIGITS[0]
 
 
-@F.pandas_udf(StringType())
-def _hindi_numbers(run: pd.Series) -> pd.Series:
-    return run.map(lambda r: hindi_number(int(r)))
-
-
-@F.pandas_udf(StringType())
-def _kanji_numbers(run: pd.Series) -> pd.Series:
-    return run.map(lambda r: kanji_number(int(r)))
-
-
 def spell_numbers(texts: DataFrame, language: str, keys=("track_id", "id"), text: str = "text") -> DataFrame:
-    """(keys, converted): every run of digits in Hindi words (hi) or kanji numerals (ja)."""
-    convert = _kanji_numbers if language == "ja" else _hindi_numbers
-    out = through_vocabulary(
-        texts, keys, text, lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\d+|\D+"), F.lit(0)),
-        convert, lambda w: w.rlike(r"(?U)^\d"))
-    return out.select(*keys, F.array_join("converted", "").alias("converted"))
+    """(keys, converted): every run of digits in Hindi words (hi) or kanji numerals (ja). No shuffle."""
+    spelled = kanji_number if language == "ja" else hindi_number
+    convert = _rewritten(re.compile(r"\d+"), lambda run: spelled(int(run)))
+    return texts.select(*keys, convert(F.col(text)).alias("converted"))

@@ -39,19 +39,28 @@ def char_weights(chars: DataFrame, char: str = "ch") -> DataFrame:
     return j.select(char, F.coalesce(_kind_weight(F.col(char)), "weight", F.lit(K.WEIGHTS["default"])).alias("weight"))
 
 
+def _weight_classes() -> list[tuple[str, float]]:
+    """Character classes with their weights, in the order in which a character is claimed."""
+    first, of = 0, {}
+    for last, kind in [*K.WEIGHT_BLOCKS, (K.UPPER_CJK_FROM, "default"), (0x10FFFF, "cjk")]:
+        of.setdefault(K.WEIGHTS[kind], []).append(rf"\x{{{first:X}}}-\x{{{last:X}}}")
+        first = last + 1
+    kinds = [("A-Za-z", "latin"), (" ", "space"), (r"ـ\p{M}", "mark"), (r"\p{P}\p{S}", "punctuation"), (r"\p{Z}", "space"), (r"\p{N}", "digit")]
+    return [(c, K.WEIGHTS[k]) for c, k in kinds] + [("".join(ranges), w) for w, ranges in of.items()]
+
+
 def text_weights(texts: DataFrame, keys, text: str = "text") -> DataFrame:
-    """Sum of the character weights of every text: (keys, weight).
+    """Sum of the character weights of every text: (keys, weight); one row for each row.
 
-    Texts are partitioned by their key first, so equal characters of one text are counted where
-    they arise and are not shuffled: what is joined and summed is one row per distinct character.
+    Within the row: each class is taken out of what the classes before have left, and what it
+    took is a difference of lengths.
     """
     keys = list(keys)
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cs = F.filter(F.split(text, ""), lambda c: c != "")
-    c = texts.select(*keys, text).repartition(parts, *keys).select(*keys, F.explode_outer(cs).alias("ch")).groupBy(*keys, "ch").agg(F.count("ch").alias("n"))
-    w = char_weights(c.where("ch is not null"))
-    return c.join(w, "ch", "left").groupBy(*keys).agg(
-        F.coalesce(F.sum(F.col("n") * F.col("weight")), F.lit(0.0)).alias("weight"))
+    d = texts.select(*keys, F.coalesce(text, F.lit("")).alias("_left"), F.lit(0.0).alias("weight"))
+    for chars, weight in _weight_classes():
+        d = d.withColumn("_next", F.regexp_replace("_left", f"[{chars}]+", ""))
+        d = d.select(*keys, (F.col("weight") + (F.length("_left") - F.length("_next")) * F.lit(weight)).alias("weight"), F.col("_next").alias("_left"))
+    return d.select(*keys, "weight")
 
 
 def estimate_duration(weight: Column, ref_weight: Column, ref_length: Column, speed: Column | None = None,

@@ -142,15 +142,13 @@ def q_weight(spark, sf):
 
 
 @query("estimate_duration", needs=("d0",), sql=WEIGHT_SQL + """
-, e as (select track_id, id, weight / (12.7::double / 25) as p from tw),
-b as (select *, round(case when p < 50.0::double then 50.0::double * pow(p / 50.0::double, 1.0::double / 3.0::double) else p end, 6) as est from e)
-select track_id, id, est from b""")
+, e as (select track_id, id, round(weight, 6) / (12.7::double / 25) as p from tw)
+select track_id, id, cast(greatest(1, floor(case when p < 50.0::double then 50.0::double * pow(p / 50.0::double, 1.0::double / 3.0::double) else p end)) as bigint) as tokens
+from e""")
 def q_duration(spark, sf):
     w = wt.text_weights(t.cues(spark, sf), ["track_id", "id"])
-    p = F.col("weight") / (F.lit(12.7) / 25)
-    tokens = wt.estimate_duration(F.col("weight"), F.lit(12.7), F.lit(25.0), F.lit(1.0))
-    est = F.round(F.when(p < 50.0, 50.0 * F.pow(p / 50.0, F.lit(1.0 / 3.0))).otherwise(p), 6)
-    return w.where(tokens >= 1).select("track_id", "id", est.alias("est"))
+    tokens = wt.estimate_duration(F.round("weight", 6), F.lit(12.7), F.lit(25.0), F.lit(1.0))
+    return w.select("track_id", "id", tokens.alias("tokens"))
 
 
 # --- building cues -----------------------------------------------------------------------------------
