@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,50 +71,45 @@ def line_errors(lines: DataFrame, heard: str = "hyp", text: str = "ref", languag
     return c.withColumn("line_error", error).drop("_names", "_h", "_r", "_lcs")
 
 
-def ngrams(rows: DataFrame, text: str, order: int = 6, piece: int = 64) -> DataFrame:
-    """One row per character n-gram (columns n, g), n = 1..order, white space ignored.
-
-    A text is first cut into short overlapping pieces, so that a row never carries a long text
-    and taking a gram costs the same wherever it stands.
-    """
-    keep = [c for c in rows.columns if c != text]
-    r = rows.withColumn("_t", F.regexp_replace(text, r"(?U)\s+", ""))
-    r = r.withColumn("_c", F.filter(F.split("_t", ""), lambda x: x != "")).where(F.size("_c") > 0)
-    starts = F.sequence(F.lit(1), F.size("_c"), F.lit(piece))
-    pieces = F.transform(starts, lambda i: F.array_join(F.slice("_c", i, F.lit(piece + order - 1)), ""))
-    r = r.select(*keep, F.explode(pieces).alias("_p"))
-    r = r.select(*keep, "_p", F.length("_p").alias("_l"))
-    r = r.select("*", F.explode(F.sequence(F.lit(1), F.least(F.col("_l"), F.lit(piece)))).alias("_i"))
-    r = r.select(*keep, "_l", "_i", F.substr("_p", F.col("_i"), F.lit(order)).alias("_g"))
-    r = r.select(*keep, "_g", F.explode(F.sequence(F.lit(1), F.length("_g"))).alias("n"))
-    return r.select(*keep, "n", F.substr("_g", F.lit(1), F.col("n")).alias("g"))
+def gram_totals(hyp: str, ref: str, order: int) -> list[int]:
+    """For n = 1..order in turn: character n-grams of the first text, of the second, and matched ones."""
+    out = []
+    for n in range(1, order + 1):
+        h, r = (Counter(t[i:i + n] for i in range(len(t) - n + 1)) for t in (hyp, ref))
+        out += [h.total(), r.total(), (h & r).total()]
+    return out
 
 
 def chrf(rows: DataFrame, keys: Sequence[str], row_key: str = "clip_id", hyp: str = "hyp", ref: str = "ref",
          order: int = 6, beta: float = 2.0) -> DataFrame:
     """Corpus chrF per group: character n-gram F-score, precision and recall averaged over orders.
 
-    Grams are matched inside a sentence pair only. So the texts are partitioned by pair before
-    they are cut up: the grams, a dozen rows per character, are counted where they arise and
-    never shuffled; only the totals per group and order are.
+    Grams, white space ignored, are matched inside a sentence pair only: a pair is one row, and its
+    three totals for each order are all that goes on to the sums. Null texts have no grams.
     """
     keys = list(keys)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = rows.select(*keys, row_key, F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col(hyp).alias("text")),
-        F.struct(F.lit(1).alias("side"), F.col(ref).alias("text")))).alias("_s"))
-    r = r.select(*keys, row_key, "_s.side", "_s.text").repartition(parts, row_key)
-    g = ngrams(r, "text", order).groupBy(*keys, row_key, "n", "g").agg(
-        F.sum(F.expr("if(side = 0, 1, 0)")).alias("h"), F.sum("side").alias("r"))
-    t = g.groupBy(*keys, "n").agg(F.sum("h").alias("h"), F.sum("r").alias("r"), F.sum(F.least("h", "r")).alias("m"))
-    both = (F.col("h") > 0) & (F.col("r") > 0)
-    t = t.groupBy(*keys).agg(F.avg(F.when(both, F.col("m") / F.col("h"))).alias("p"),
-                             F.avg(F.when(both, F.col("m") / F.col("r"))).alias("rc"))
+
+    def bare(text):
+        return F.coalesce(F.regexp_replace(text, r"(?U)\s+", ""), F.lit(""))
+
+    @F.pandas_udf("array<bigint>")
+    def totals(h: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([gram_totals(x, y, order) for x, y in zip(h, r)])
+
+    t = rows.select(*keys, totals(bare(hyp), bare(ref)).alias("_t"))
+    sums = t.groupBy(*keys).agg(*[F.sum(F.get("_t", F.lit(i))).alias(f"_{i}") for i in range(3 * order)])
+
+    def mean(of: int) -> Column:
+        """Average over the orders that both sides have of matched grams over those of one side."""
+        parts = F.array(*[F.when((F.col(f"_{i}") > 0) & (F.col(f"_{i + 1}") > 0), F.col(f"_{i + 2}") / F.col(f"_{i + of}"))
+                          for i in range(0, 3 * order, 3)])
+        known = F.filter(parts, lambda x: x.isNotNull())
+        return F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0))
+
+    s = sums.select(*keys, mean(0).alias("p"), mean(1).alias("rc"))
     f2 = beta ** 2
     score = F.when(F.col("p") + F.col("rc") > 0, 100 * (1 + f2) * F.col("p") * F.col("rc") / (f2 * F.col("p") + F.col("rc")))
-    scored = t.select(*keys, F.coalesce(score, F.lit(0.0)).alias("chrf"))
-    return rows.select(*keys).distinct().join(scored, keys, "left").select(
-        *keys, F.coalesce("chrf", F.lit(0.0)).alias("chrf"))
+    return s.select(*keys, F.coalesce(score, F.lit(0.0)).alias("chrf"))
 
 
 # --- group summaries ---------------------------------------------------------------------------------
