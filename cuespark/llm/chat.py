@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 
+WINDOW = 32             # turns of a window
+CONTEXT = 2             # turns before it that are rendered with it
+
 # The escapes: none of the characters that control strings start with is left in an escaped text.
 _ESCAPES = {"\\": "\\\\", "<": "\\l", "[": "\\b", "\r": "\\r"}
 _PLAIN = {v[1]: k for k, v in _ESCAPES.items()}
@@ -50,29 +53,55 @@ def _common(a: str, b: str) -> int:
     return len(os.path.commonprefix((a, b)))
 
 
-def trace(turns: Sequence[Turn], template: Template) -> tuple[str, list[dict]]:
-    """The output for all turns, and for each turn its span, its text's span and whether it rewrote.
-
-    start, end: what the turn added to the output before it (from the first changed character if
-    earlier output was rewritten). text_start, text_end: the turn's text, in the same output.
-    rewrites: the output before isn't a prefix of the output with this turn; spans found earlier
-    then hold only up to `start`.
-    """
-    before, found = template([]) if turns else "", []
-    for k, (role, _) in enumerate(turns):
-        after = template(turns[:k + 1])
+def _prefixes(turns: Sequence[Turn], template: Template, given: int = 0) -> tuple[str, list[dict]]:
+    """The output for all turns, and where each turn behind the `given` ones stands in it."""
+    before, found = template(turns[:given]), []
+    for k in range(given, len(turns)):
+        role, after = turns[k][0], template(turns[:k + 1])
         start = len(before) if after.startswith(before) else _common(before, after)
         bare = template([*turns[:k], (role, "")])
         head = _common(after, bare)
         tail = len(bare) - head
         if len(after) - tail < head or after[len(after) - tail:] != bare[head:]:
-            tail = len(os.path.commonprefix((after[head:][::-1], bare[head:][::-1])))
+            tail = _common(after[head:][::-1], bare[head:][::-1])
         found.append({"start": start, "end": len(after), "text_start": head, "text_end": len(after) - tail,
                       "rewrites": start < len(before)})
         before = after
     return before, found
 
 
+def _by_windows(turns: Sequence[Turn], template: Template, window: int) -> tuple[str, list[dict]] | None:
+    """As _prefixes, from windows of turns with CONTEXT turns before them; None if that doesn't give the whole output."""
+    parts, found, length = [], [], 0
+    for a in range(0, len(turns), window):
+        lead = turns[max(0, a - CONTEXT):a]
+        out, spans = _prefixes([*lead, *turns[a:a + window]], template, len(lead))
+        if any(s["rewrites"] for s in spans):
+            return None
+        first = len(template(lead)) if a else 0
+        found += [{k: v if k == "rewrites" else v - first + length for k, v in s.items()} for s in spans]
+        parts.append(out[first:])
+        length += len(parts[-1])
+    whole = "".join(parts)
+    return (whole, found) if whole == template(turns) else None
+
+
+def trace(turns: Sequence[Turn], template: Template, window: int = WINDOW) -> tuple[str, list[dict]]:
+    """The output for all turns, and for each turn its span, its text's span and whether it rewrote.
+
+    start, end: what the turn added to the output before it (from the first changed character if
+    earlier output was rewritten). text_start, text_end: the turn's text, in the same output.
+    rewrites: the output before isn't a prefix of the output with this turn; spans found earlier
+    then hold only up to `start`.
+
+    Prefixes of a long conversation cost the square of its turns. So they are rendered in windows
+    of turns first; where the windows rewrite nothing and their additions make up exactly the
+    output for all turns, they are the answer, else every prefix is rendered whole.
+    """
+    done = _by_windows(turns, template, window) if len(turns) > window else None
+    return done or _prefixes(turns, template)
+
+
 SPANS = "array<struct<role:string,start:int,end:int,text_start:int,text_end:int,rewrites:boolean>>"
 
 
@@ -82,8 +111,7 @@ def format_chats(turns: DataFrame, template: Template = marked, conv: str = "con
 
     Turns are ordered by number, then role, then text; equal rows are turns of their own. Null roles
     and texts count as empty; rows without conversation are one conversation. Other columns are not
-    looked at. A conversation is one row and is rendered in one task; its prefixes cost the square
-    of its turns.
+    looked at. A conversation is one row and is rendered in one task.
     """
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
                    F.coalesce(F.col(text), F.lit("")).alias("text"))

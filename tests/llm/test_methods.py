@@ -365,6 +365,14 @@ def test_rewriting_template():
     assert [s["rewrites"] for s in spans] == [False, True, True] and spans[1]["start"] == 4
 
 
+@pytest.mark.parametrize("template", [
+    chat.marked, lambda t: "<s>" + chat.marked(t), lambda t: f"{len(t)} turns" + chat.marked(t),
+    lambda t: "".join(f"#{k}{r}{x}" for k, (r, x) in enumerate(t)), lambda t: chat.marked(t[-40:])])
+def test_windows_give_what_prefixes_give(template):
+    turns = [(("user", "assistant")[k % 2], f"text {k} [x]") for k in range(90)]
+    assert chat.trace(turns, template, 16) == chat._prefixes(turns, template)
+
+
 # --- the pipeline
 
 def test_pipeline(spark):
