@@ -239,11 +239,11 @@ def q_penalty(spark, sf):
 
 
 @query("adjusted_similarity", needs=("d2", "d3"), sql=MEANING_TABLE + f"""
-, v as (select track_id + 20 * id as vec_id, list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector))) as u from d2)
+, v as (select 400 * track_id + id as vec_id, list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector))) as u from d2)
 select m.sentence_id, m.target, m.cand_ix, round(list_dot_product(a.u, b.u) - {PENALTY}, 6) as score
 from mt m join v a on a.vec_id = m.sentence_id join v b on b.vec_id = m.sentence_id * 2 + m.cand_ix""")
 def q_adjusted(spark, sf):
-    v = t.vectors(spark, sf).select((F.col("track_id") + 20 * F.col("id")).alias("vec_id"), rr.unit_vector("vector").alias("u"))
+    v = t.vectors(spark, sf).select((400 * F.col("track_id") + F.col("id")).alias("vec_id"), rr.unit_vector("vector").alias("u"))
     m = meaning_table(spark, sf)
     j = m.join(v.select(F.col("vec_id").alias("sentence_id"), F.col("u").alias("source_vec")), "sentence_id")
     j = j.withColumn("k", F.col("sentence_id") * 2 + F.col("cand_ix")).join(

@@ -254,17 +254,18 @@ def q_loud(spark, sf):
     return fr.loud_span(t.frames(spark, sf), 6.0, 4)
 
 
-CUT = """, cu as (select distinct user_id as track_id, k as id, (k * 7 + user_id % 5) / 1000.0::double as "start", (k * 7 + user_id % 5 + 6 + k) / 1000.0::double as "end" from events, (select unnest(range(0, 12)) as k) r),
+CUT = """, cu as (select distinct user_id as track_id, k as id, (k * 7 + user_id % 5) / 1000.0::double as "start", (k * 7 + user_id % 5 + 6 + k % 12) / 1000.0::double as "end" from (select user_id, unnest(generate_series(0, (count(*) - 1) // 7)) as k from events group by user_id)),
 cf as (select d4.track_id, id, ms, sumsq, n from d4 join cu on cu.track_id = d4.track_id and ms >= greatest(0, trunc(("start" - 0.002::double) * 1000)::bigint) and ms < greatest(0, trunc(("end" + 0.002::double) * 1000)::bigint)),
 cs as (select track_id, id, sum(n)::bigint as n_samples, sum(n) * sqrt(sum(sumsq) / sum(n)) as score from cf group by all)
 """
 
 
 def frame_cues(spark, sf):
-    u = t.read(spark, sf, "events").select(F.col("user_id").alias("track_id")).distinct()
-    u = u.select("track_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(11).cast("bigint"))).alias("id"))
+    """A cue every 7 ms over the whole of each track."""
+    u = t.read(spark, sf, "events").groupBy(F.col("user_id").alias("track_id")).agg(F.count("*").alias("n"))
+    u = u.select("track_id", F.explode(F.expr("sequence(0L, (n - 1) div 7)")).alias("id"))
     return u.select("track_id", "id", ((F.col("id") * 7 + F.col("track_id") % 5) / 1000.0).alias("start"),
-                    ((F.col("id") * 7 + F.col("track_id") % 5 + 6 + F.col("id")) / 1000.0).alias("end"),
+                    ((F.col("id") * 7 + F.col("track_id") % 5 + 6 + F.col("id") % 12) / 1000.0).alias("end"),
                     (F.col("id") % 3).alias("speaker"))
 
 

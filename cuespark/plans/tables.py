@@ -86,14 +86,14 @@ def segments(spark, sf) -> DataFrame:
 
 
 def vectors(spark, sf) -> DataFrame:
-    """Speaker vectors of timed cues, 20 tracks, close inside a label."""
+    """Speaker vectors of timed cues, 400 to a track, close inside a label."""
     e = read(spark, sf, "embeddings")
     return e.select(
-        F.expr("vec_id % 20").alias("track_id"), F.expr("vec_id div 20").alias("id"),
-        F.expr("(vec_id div 20) * 4000").alias("start_ms"),
-        F.expr("(vec_id div 20) * 4000 + 600 + (vec_id * 37) % 3000").alias("end_ms"),
-        F.expr("((vec_id div 20) * 4000) / 1000.0D").alias("start"),
-        F.expr("((vec_id div 20) * 4000 + 600 + (vec_id * 37) % 3000) / 1000.0D").alias("end"),
+        F.expr("vec_id div 400").alias("track_id"), F.expr("vec_id % 400").alias("id"),
+        F.expr("(vec_id % 400) * 4000").alias("start_ms"),
+        F.expr("(vec_id % 400) * 4000 + 600 + (vec_id * 37) % 3000").alias("end_ms"),
+        F.expr("((vec_id % 400) * 4000) / 1000.0D").alias("start"),
+        F.expr("((vec_id % 400) * 4000 + 600 + (vec_id * 37) % 3000) / 1000.0D").alias("end"),
         F.expr("transform(embedding, (x, i) -> cast(x as double) * 2.4D + if(i = label, 4.0D, 0.0D))").alias("vector"),
         F.col("label").alias("voice"))
 
@@ -137,11 +137,11 @@ def job_event_columns(e: DataFrame) -> DataFrame:
 
 
 def takes(spark, sf) -> DataFrame:
-    """Three spoken takes of every document, as lines of 50 tracks."""
+    """Three spoken takes of every document, 40 lines to a track."""
     d = read(spark, sf, "documents").select("doc_id", "text")
     d = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("attempt"))
     return d.select(
-        F.expr("doc_id % 50").alias("track_id"), F.col("doc_id").alias("line_no"), "attempt",
+        F.expr("doc_id div 40").alias("track_id"), F.col("doc_id").alias("line_no"), "attempt",
         F.expr("((doc_id * 7919 + attempt * 104729) % 100) / 100.0D").alias("error"),
         F.expr("length(text) * (1000 + 700 * ((doc_id + attempt * 13) % 8)) + 12000").alias("n_samples"),
         F.length("text").alias("n_chars"),

@@ -38,9 +38,9 @@ d0 as (
     start_ms, start_ms + dur + case when id % 4 = 2 then 700 else 0 end as end_ms
   from d0s)"""),
     "d2": ((), """d2 as (
-  select vec_id % 20 as track_id, vec_id // 20 as id, (vec_id // 20) * 4000 as start_ms,
-    (vec_id // 20) * 4000 + 600 + (vec_id * 37) % 3000 as end_ms,
-    ((vec_id // 20) * 4000) / 1000.0 as "start", ((vec_id // 20) * 4000 + 600 + (vec_id * 37) % 3000) / 1000.0 as "end",
+  select vec_id // 400 as track_id, vec_id % 400 as id, (vec_id % 400) * 4000 as start_ms,
+    (vec_id % 400) * 4000 + 600 + (vec_id * 37) % 3000 as end_ms,
+    ((vec_id % 400) * 4000) / 1000.0 as "start", ((vec_id % 400) * 4000 + 600 + (vec_id * 37) % 3000) / 1000.0 as "end",
     list_transform(range(0, len(embedding)), lambda i: embedding[i + 1]::double * 2.4 + case when i = label then 4.0 else 0.0 end) as vector,
     label as voice from embeddings)"""),
     "d3": ((), """d3 as (
@@ -60,7 +60,7 @@ d5 as (
     seq % 25 as cue, concat('message ', (seq % 7)::varchar) as message
   from d5r)"""),
     "d6": ((), """d6 as (
-  select doc_id % 50 as track_id, doc_id as line_no, attempt,
+  select doc_id // 40 as track_id, doc_id as line_no, attempt,
     ((doc_id * 7919 + attempt * 104729) % 100) / 100.0 as error,
     length(text) * (1000 + 700 * ((doc_id + attempt * 13) % 8)) + 12000 as n_samples, length(text) as n_chars,
     (doc_id + attempt) % 3 = 0 as sped_up, (doc_id + attempt) % 11 = 0 as trimmed, (doc_id + attempt) % 7 = 0 as ran_on
