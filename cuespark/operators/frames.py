@@ -88,8 +88,10 @@ def nonsilent_ranges(silences: DataFrame, lengths: DataFrame) -> DataFrame:
     return head.unionByName(tail).select("track_id", F.col("s").alias("start"), F.col("e").alias("end"))
 
 
-def keep_ranges(ranges: DataFrame, mid_ms: int) -> DataFrame:
-    """Widen the sounding ranges by `mid_ms`; neighbours that then overlap meet in the middle.
+def keep_ranges(ranges: DataFrame, mid_ms: int, lengths: DataFrame) -> DataFrame:
+    """Widen the sounding ranges by `mid_ms`, within the track; neighbours that then overlap meet in the middle.
+
+    `lengths` has (track_id, length), as track_lengths gives it.
 
     The middle is between one range's own end and the next one's own start, neither of which an
     earlier meeting moves, so every boundary depends on two neighbours only.
@@ -98,7 +100,8 @@ def keep_ranges(ranges: DataFrame, mid_ms: int) -> DataFrame:
     r = ordered(r, lead={"_ns": F.col("_s")}, lag={"_pe": F.col("_e")}, order="start")
     start = F.when(F.col("_pe") > F.col("_s"), F.floor((F.col("_pe") + F.col("_s")) / 2)).otherwise(F.col("_s"))
     end = F.when(F.col("_ns") < F.col("_e"), F.floor((F.col("_e") + F.col("_ns")) / 2)).otherwise(F.col("_e"))
-    return r.select("track_id", start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))
+    r = r.select("track_id", start.cast("bigint").alias("start"), end.cast("bigint").alias("end")).join(lengths, "track_id")
+    return r.select("track_id", F.greatest("start", F.lit(0).cast("bigint")).alias("start"), F.least("end", "length").alias("end"))
 
 
 def trim_edges(frames: DataFrame, threshold: float, lead_ms: int = 100, trail_ms: int = 300, chunk: int = 10) -> DataFrame:

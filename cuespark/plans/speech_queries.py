@@ -221,9 +221,10 @@ def q_nonsilent(spark, sf):
 
 
 @query("keep_ranges", needs=("d4",), sql=RMS + """, k as (select track_id, "start" - 2 as s, "end" + 2 as e, lag("end" + 2) over w as pe, lead("start" - 2) over w as nx from ns window w as (partition by track_id order by "start"))
-select track_id, case when pe > s then (pe + s) // 2 else s end as "start", case when nx < e then (e + nx) // 2 else e end as "end" from k""")
+select track_id, greatest(case when pe > s then (pe + s) // 2 else s end, 0) as "start", least(case when nx < e then (e + nx) // 2 else e end, length) as "end"
+from k join (select track_id, max(ms) + 1 as length from d4 group by all) using (track_id)""")
 def q_keep(spark, sf):
-    return fr.keep_ranges(settle(sounding(spark, sf), "ranges"), 2)
+    return fr.keep_ranges(settle(sounding(spark, sf), "ranges"), 2, fr.track_lengths(t.frames(spark, sf)))
 
 
 @query("trim_edges", needs=("d4",), sql="""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.python_text import html_unescape
-from ..functions.text import MARKUP, collapse, strip_ass, to_seconds, trim_ws
+from ..functions.text import MARKUP, collapse, let, strip_ass, to_seconds, trim_ws
 
 ARROW = r"-->"
 SBV_LINE = r"^\d+:\d{2}:\d{2}\.\d{3}\s*,\s*\d+:\d{2}:\d{2}\.\d{3}$"
@@ -79,12 +79,13 @@ def _lrc(docs):
             trim_ws(F.regexp_extract(x, LRC_LINE, 3)).alias("text"))
 
     kept = F.filter(F.transform(F.filter(lines, lambda x: x.rlike(LRC_LINE)), entry), lambda e: e["text"] != "")
-    d = docs.select("path", kept.alias("_e"))
-    d = d.select("path", "_e", F.posexplode("_e").alias("id", "e"))
-    nxt = F.get("_e", F.col("id") + 1)["start"]
+    # a line ends where the next begins: told before the lines become rows, so that no row carries the others
+    timed = let(kept, lambda es: F.transform(es, lambda e, i: F.struct(
+        e["start"].alias("start"), F.coalesce(F.get(es, i + 1)["start"], e["start"] + K.LRC_LAST_LINE_SECONDS).alias("end"),
+        e["text"].alias("text"))))
+    d = docs.select("path", F.posexplode(timed).alias("id", "e"))
     return d.select(
-        "path", F.col("id").cast("bigint").alias("id"), F.col("e.start").alias("start"),
-        F.coalesce(nxt, F.col("e.start") + K.LRC_LAST_LINE_SECONDS).alias("end"), F.col("e.text").alias("text"),
+        "path", F.col("id").cast("bigint").alias("id"), F.col("e.start").alias("start"), F.col("e.end").alias("end"), F.col("e.text").alias("text"),
         F.lit(None).cast("string").alias("error"))
 
 
