@@ -165,10 +165,10 @@ def place(lines, rate, top):
         if media is not None:
             room = min(room, media - s)
             slot = min(slot, room)
-        size, speed = layout._sized(samples, 1.0, rate), 1.0
+        size, speed = layout._frames_at(samples, rate)(1.0), 1.0
         if size > slot and top > 1.0:
             speed = min(size / slot, top)
-            size = layout._sized(samples, speed, rate)
+            size = layout._frames_at(samples, rate)(speed)
         out.append((line, s, size > room))
         written = s + min(size, room)
     return out
