@@ -188,11 +188,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", features:
     sample = (rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
               .mapInArrow(featurise, "lang string, draw double, at array<int>, v array<double>").toArrow())
     where = {x: i for i, x in enumerate(languages)}
-    data = sorted(zip(sample["draw"].to_pylist(), [where[x] for x in sample["lang"].to_pylist()],
-                      (np.array(a, np.int64) for a in sample["at"].to_pylist()),
-                      (np.array(v, np.float64) for v in sample["v"].to_pylist())),
-                  key=lambda r: (r[0], r[1]))
-    data = [(label, at, v) for _, label, at, v in data if len(at)]
+    sample = sample.combine_chunks()
+    ats, values = (sample[c].chunk(0) if sample.num_rows else None for c in ("at", "v"))
+    order = sorted(range(sample.num_rows), key=list(zip(sample["draw"].to_pylist(), sample["lang"].to_pylist())).__getitem__)
+    langs = sample["lang"].to_pylist()
+    data = [(where[langs[i]], ats[i].values.to_numpy().astype(np.int64), values[i].values.to_numpy()) for i in order]
+    data = [r for r in data if len(r[1])]
     kept = [r for i, r in enumerate(data) if i % 5]
     model = fit_weights(kept, languages, idf)
     model.temperature = fit_temperature(model, data[::5])
