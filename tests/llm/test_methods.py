@@ -223,6 +223,21 @@ def test_katz(spark, docs, monkeypatch, bucket, chunk):
         assert r.score == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip(["\t", *w[:-1]], w)))
 
 
+def test_katz_split_context_is_known_everywhere(spark):
+    """A frequent context with a single follower is split; bigrams of it that training has not seen land in other buckets."""
+    texts = {i: f"often then c{i % 7} d{i % 11}" for i in range(400)} | {1000 + i: f"often new{i} often c{i} x" for i in range(60)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    toks, uni, base, p = brute_katz(texts, range(400))
+    model = katz.train(d.where("doc_id < 1000"))
+    often = katz.WordHashes().of(b"often")[0]
+    assert model.deal.parts[list(model.deal.split).index(often)] > 1
+    for r in katz.score(d, model).collect():
+        w = toks[r.doc_id]
+        assert (r.n_tokens, r.n_known) == (len(w), sum(x in uni for x in w))
+        assert r.base_score == pytest.approx(sum(math.log10((uni[x] + 0.1) / base) for x in w))
+        assert r.score == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip(["\t", *w[:-1]], w)))
+
+
 # --- personal data
 
 def luhn(digits):
