@@ -33,14 +33,14 @@ _BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PROBE = {"email": "@", "phone": "+"}          # texts without the character have no match
-# Wider patterns for what the base ones miss, one per kind.
+# Wider patterns for what the base ones miss, one per kind; as long as the value is, and possessive like the base ones.
 _WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]{1,63}"
-             r"(?:\x20?[\[(](?i:dot)[\])]\x20?[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]++"
+             r"(?:\x20?[\[(](?i:dot)[\])]\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20.-]?[0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![0-9+(.])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "secret": r"(?i)(?<![A-Za-z0-9])(?:token|secret|password|passwd|api_key|apikey)\x20{0,3}[=:]\x20{0,3}\"?[A-Za-z0-9_+/=.-]{12,200}\"?",
+    "secret": r"(?i)(?<![A-Za-z0-9])(?:token|secret|password|passwd|api_key|apikey)\x20{0,3}[=:]\x20{0,3}\"?[A-Za-z0-9_+/=.-]{12,}+\"?",
 }
 _WIDE_PROBE = {"email": "(?i)[\\[(](?:at)[\\])]", "secret": "(?i)(?:token|secret|passw|api_?key)"}
 

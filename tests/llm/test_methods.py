@@ -292,6 +292,21 @@ def test_secrets_are_added_and_masked(spark, docs):
     assert not any(brute_base(r.text) for r in left) and len(left) == len(found)
 
 
+def test_long_secrets_and_addresses_are_whole(spark, docs):
+    """However long the value is, the span is all of it and nothing of it stays in the text."""
+    long = [hashlib.sha512(bytes([i])).hexdigest() * 8 for i in range(20)]                 # 1024 characters
+    texts = [f"words {i} before token={v} and after" for i, v in enumerate(long)]
+    texts += [f"contact a{v[:80]} [at] host{i}{' [dot] sub' * 11} [dot] org today" for i, v in enumerate(long)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    wide = {r.doc_id: [(s.kind, s.piece) for s in r.wide] for r in d.select("doc_id", pii.wide_spans(d.text, pii.base_spans(d.text)).alias("wide")).collect()}
+    for i, v in enumerate(long):
+        assert wide[i] == [("secret", f"token={v}")]
+        assert wide[20 + i] == [("email", texts[20 + i][len("contact "):-len(" today")])]
+    own = [(10_000 + i, t, "en", "s") for i, t in enumerate(texts)]
+    left = {r.doc_id: r.text for r in pii.mask(docs.unionByName(spark.createDataFrame(own, docs.schema))).collect()}
+    assert all(left[10_000 + i] == f"words {i} before [SECRET] and after" for i in range(20))
+
+
 # --- quality
 
 def test_quality_measures(docs):
