@@ -4,8 +4,8 @@ Training is follow-the-regularised-leader (proximal) with an L1 and an L2 penalt
 fitted on rows that training has not seen then makes the probabilities honest.
 
 Document frequencies are counted over every labelled row on the executors. The weights are fitted
-on a bounded sample of them: about `per_language` rows per language, those with the smallest hash
-of their text. The fitted model has at most FEATURES x languages numbers whatever the corpus,
+on a bounded sample of them: of the distinct texts of each language the `per_language` with the
+smallest hash, or all if there are fewer. The fitted model has at most FEATURES x languages numbers whatever the corpus,
 and is broadcast; prediction is one map over whole texts.
 """
 
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import add_columns, crc_remainder, free_name
@@ -165,28 +165,34 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", features:
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = rows.groupBy("lang").count().orderBy("lang").limit(most_languages + 1).collect()
-    if len(counts) > most_languages:
+    # by the text's hash: which texts are taken doesn't depend on their order, and copies are one
+    rows = rows.withColumn("draw", F.xxhash64(F.lit("langid"), "text"))
+    first = Window.partitionBy("lang").orderBy("draw")
+    cuts = (rows.select("lang", "draw").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)
+            .groupBy("lang").agg(F.max("draw").alias("cut")).orderBy("lang").limit(most_languages + 1).collect())
+    if len(cuts) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
-    languages = sorted(r["lang"] for r in counts)
+    languages = sorted(r["lang"] for r in cuts)
     if not languages:
         return Model([], np.zeros(features), np.zeros((features, 0)), np.zeros(0))
     total, seen = document_frequencies(rows, "text", features)
     idf = np.log((1 + total) / (1 + seen)) + 1
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    # by the text's hash: which rows are taken doesn't depend on their order
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    last = F.create_map(*[F.lit(x) for r in cuts for x in (r["lang"], r["cut"])])
     shared = labelled.sparkSession.sparkContext.broadcast(idf)
 
     def featurise(batches):
+        done = set()            # texts of the sample
         for batch in batches:
-            made = [vector(t, shared.value) for t in batch.column("text").to_pylist()]
+            keys = list(zip(batch.column("lang").to_pylist(), batch.column("draw").to_pylist()))
+            new = [i for i, k in enumerate(keys) if not (k in done or done.add(k))]
+            made = [vector(batch.column("text")[i].as_py(), shared.value) for i in new]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("draw"), pa.array([a.astype(np.int32) for a, _ in made], pa.list_(pa.int32())),
-                 pa.array([v for _, v in made], pa.list_(pa.float64()))], names=["lang", "draw", "at", "v"])
+                [pa.array([keys[i][0] for i in new], pa.string()), pa.array([keys[i][1] for i in new], pa.int64()),
+                 pa.array([a.astype(np.int32) for a, _ in made], pa.list_(pa.int32())), pa.array([v for _, v in made], pa.list_(pa.float64()))],
+                names=["lang", "draw", "at", "v"])
 
-    sample = (rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
-              .mapInArrow(featurise, "lang string, draw double, at array<int>, v array<double>").toArrow())
+    sample = (rows.where(F.col("draw") <= last[F.col("lang")])
+              .mapInArrow(featurise, "lang string, draw bigint, at array<int>, v array<double>").dropDuplicates(["lang", "draw"]).toArrow())
     where = {x: i for i, x in enumerate(languages)}
     sample = sample.combine_chunks()
     ats, values = (sample[c].chunk(0) if sample.num_rows else None for c in ("at", "v"))
@@ -194,9 +200,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", features:
     langs = sample["lang"].to_pylist()
     data = [(where[langs[i]], ats[i].values.to_numpy().astype(np.int64), values[i].values.to_numpy()) for i in order]
     data = [r for r in data if len(r[1])]
-    kept = [r for i, r in enumerate(data) if i % 5]
+    # every fifth row of a language is held back for the temperature, never its first
+    place, kept, back = [0] * len(languages), [], []
+    for r in data:
+        place[r[0]] += 1
+        (kept if place[r[0]] % 5 else back).append(r)
     model = fit_weights(kept, languages, idf)
-    model.temperature = fit_temperature(model, data[::5])
+    model.temperature = fit_temperature(model, back)
     return model
 
 

@@ -171,6 +171,25 @@ def test_language_held_out_accuracy(spark):
     assert max(abs(again[r.doc_id] - r.score) for r in got) < 1e-9
 
 
+def test_language_of_few_copied_texts_is_learned(spark, docs):
+    """A language of two texts in many copies is sampled whatever the hash of its texts, and the sample never exceeds its bound."""
+    base = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    for k in range(6):
+        said = [f"zwqk{k} vexu{k} jyppo qquzz wyzzk {k} xuvvo" + " qyzzu vuxxe" * n for n in (2, 5)]
+        d = spark.createDataFrame(base + [(100_000 + i, said[i % 2], "zz") for i in range(2000)], "doc_id bigint, text string, lang string")
+        got = langid.identify(d).where("doc_id >= 100000").groupBy("lang_pred").agg({"score": "min"}).collect()
+        assert [r.lang_pred for r in got] == ["zz"] and got[0][1] >= 0.5
+
+
+def test_language_sample_is_bounded(spark, docs, monkeypatch):
+    seen = []
+    fit = langid.fit_weights
+    monkeypatch.setattr(langid, "fit_weights", lambda rows, *a: seen.extend(r[0] for r in rows) or fit(rows, *a))
+    few = [(100_000 + i, "same text again and again", "zz") for i in range(500)]
+    model = langid.train(docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(few, "doc_id bigint, text string, lang string")), per_language=10)
+    assert [seen.count(i) for i in range(len(model.languages))] == [8 if x != "zz" else 1 for x in model.languages]
+
+
 def test_penalty_makes_weights_sparse(docs):
     model = langid.train(docs)
     assert 0 < (model.weights != 0).mean() < 0.5 and 0.01 < model.temperature < 25
