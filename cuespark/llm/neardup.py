@@ -1,11 +1,11 @@
 """N-gram Jaccard self-join: a MinHash LSH forest finds candidates, set intersection verifies them.
 
 A document is the set of its five-word shingles. A tree of the forest orders documents by a label
-of MinHash values; documents under one prefix of the label are candidates of each other. The
-join starts from full labels and shortens the prefix, in all trees at once, until the links that
-were found and verified say that the target recall is reached: a link of similarity s is found at
-prefix length d with probability 1 - (1 - s^d)^trees, so each link found stands for that many
-links in all.
+of MinHash values; documents under one prefix of the label are candidates of each other. A link
+of similarity s is found at prefix length d with probability 1 - (1 - s^d)^trees. The prefix is
+shortened from the full label, in all trees at once, until that reaches the target recall for the
+weakest link that counts, one at the threshold: every link is then found at least that surely,
+whatever other links the table has.
 
 Nothing is paired inside a bucket of the forest. A bucket gives one edge per document, to its
 smallest member; components of these edges are the groups within which every pair is compared.
@@ -29,7 +29,7 @@ from .graph import components
 SIZE = 5                # words of a shingle
 TREES = 32
 DEPTH = 7               # MinHash values of a full label
-LEAST_DEPTH = 5         # finds 99.9997 % of links at 0.8
+LEAST_DEPTH = 1         # reaches a recall of 0.9999 for links from 0.25 on
 BLOCK = 400_000         # shingles of a block; a node counts NODE more
 NODE = 400
 
@@ -79,13 +79,11 @@ def prefix_keys(sig: np.ndarray) -> dict[int, np.ndarray]:
     return keys
 
 
-def _sketch(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """doc, mark (hash of the text), node, twin (128 bits that name the shingle set), n, keys by depth."""
-    depths = range(LEAST_DEPTH, DEPTH + 1)
-
+def _sketch(docs: DataFrame, doc: str, text: str, depth: int) -> DataFrame:
+    """doc, mark (hash of the text), node, twin (128 bits that name the shingle set), n, keys (of the prefixes)."""
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("node", "twin", "n", *(f"d{d}" for d in depths))}
+            out: dict[str, list] = {c: [] for c in ("node", "twin", "n", "keys")}
             column = batch.column("w")
             ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
             for a, b in zip(ends[:-1], ends[1:]):
@@ -98,16 +96,14 @@ def _sketch(docs: DataFrame, doc: str, text: str) -> DataFrame:
                     continue
                 out["node"].append(np.int64(mixed(s, 1).sum(dtype=np.uint64).astype(np.int64)))
                 out["twin"].append(np.int64(mixed(s, 2).sum(dtype=np.uint64).astype(np.int64)))
-                keys = prefix_keys(signature(s))
-                for d in depths:
-                    out[f"d{d}"].append(keys[d].astype(np.int64))
-            kinds = {c: pa.list_(pa.int64()) if c[0] == "d" else pa.int64() for c in out}
+                out["keys"].append(prefix_keys(signature(s))[depth].astype(np.int64))
+            kinds = {c: pa.list_(pa.int64()) if c == "keys" else pa.int64() for c in out}
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), batch.column("mark"), *(pa.array(v, kinds[c]) for c, v in out.items())],
                 names=["doc", "mark", *out])
 
     kind = docs.schema[doc].dataType.simpleString()
-    schema = f"doc {kind}, mark bigint, node bigint, twin bigint, n bigint, " + ", ".join(f"d{d} array<bigint>" for d in depths)
+    schema = f"doc {kind}, mark bigint, node bigint, twin bigint, n bigint, keys array<bigint>"
     hashes = F.transform(words(text), lambda w: F.xxhash64(w))
     return docs.select(F.col(doc).alias("doc"), F.xxhash64(F.col(text)).alias("mark"), hashes.alias("w")).mapInArrow(run, schema)
 
@@ -117,7 +113,15 @@ def found_share(similarity: np.ndarray, depth: int) -> np.ndarray:
     return 1 - (1 - similarity ** depth) ** TREES
 
 
-def _compare(threshold: float, depth: int):
+def depth_for(threshold: float, target_recall: float) -> int:
+    """The longest prefix that shows a link at the threshold with the target's probability."""
+    for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
+        if found_share(threshold, depth) >= target_recall:
+            return depth
+    raise ValueError(f"the forest can't find links of {threshold} with a recall of {target_recall}")
+
+
+def _compare(threshold: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("node").sort_values("node", ignore_index=True)
         sets = [shingle_set(np.asarray(w, np.int64)) for w in group["w"]]
@@ -146,17 +150,15 @@ def _compare(threshold: float, depth: int):
             if (new == label).all():
                 break
             label = new
-        weight = np.where(linked, 1 / found_share(np.where(linked, similarity, 1.0), depth), 0.0)
         return pd.DataFrame({"node": group["node"], "label": group["node"].to_numpy()[label],
-                             "links": (linked * group["m"].to_numpy()[None, :]).sum(1).astype(np.int64),
-                             "pairs": linked.sum(1).astype(np.int64), "expected": weight.sum(1)})
+                             "links": (linked * group["m"].to_numpy()[None, :]).sum(1).astype(np.int64)})
 
     return run
 
 
-def _verified(docs: DataFrame, sketch: DataFrame, doc: str, text: str, depth: int, threshold: float) -> DataFrame:
-    """node, label, links, pairs, expected of the nodes that have candidates at that prefix length."""
-    rows = sketch.select("node", F.explode(f"d{depth}").alias("key")).repartition("key")
+def _verified(docs: DataFrame, sketch: DataFrame, doc: str, text: str, threshold: float) -> DataFrame:
+    """node, label, links of the nodes that have candidates."""
+    rows = sketch.select("node", F.explode("keys").alias("key")).repartition("key")
     heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("other")).where("head != other")
     edges = rows.join(heads, "key").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     groups = components(edges).withColumnRenamed("label", "knot")
@@ -176,7 +178,7 @@ def _verified(docs: DataFrame, sketch: DataFrame, doc: str, text: str, depth: in
     blocks = one.select("*", pair).select(
         "knot", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "m", "w")
     compared = blocks.groupBy("knot", "i", "j").applyInPandas(
-        _compare(threshold, depth), "node bigint, label bigint, links bigint, pairs bigint, expected double")
+        _compare(threshold), "node bigint, label bigint, links bigint")
     return settle(compared, "near-links")
 
 
@@ -195,14 +197,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", th
 
 def _classes(docs: DataFrame, doc: str, text: str, threshold: float = 0.8, target_recall: float = 0.9999) -> DataFrame:
     """doc, mark (hash of the text), label (of the class; null without words), class_id, n_links of each row."""
-    sketch = settle(_sketch(docs, doc, text), "near-sketch")
-    depth = DEPTH
-    while True:
-        verified = _verified(docs, sketch, doc, text, depth, threshold)
-        pairs, expected = verified.agg(F.sum("pairs"), F.sum("expected")).first()
-        if not pairs or pairs >= target_recall * expected or depth == LEAST_DEPTH:
-            break
-        depth -= 1
+    sketch = settle(_sketch(docs, doc, text, depth_for(threshold, target_recall)), "near-sketch")
+    verified = _verified(docs, sketch, doc, text, threshold)
     tied = verified.groupBy("node").agg(F.min("label").alias("label"), F.max("label").alias("high"), F.sum("links").alias("links"))
     tied = settle(tied, "near-tied")
     if tied.where("label != high").limit(1).count():        # groups of several blocks: join their parts

@@ -113,6 +113,25 @@ def test_forest_recall():
     assert neardup.found_share(0.8, neardup.LEAST_DEPTH) > 0.99999 > neardup.found_share(0.8, neardup.DEPTH) > 0.999
 
 
+def test_weak_links_are_found_beside_a_hot_group(spark):
+    """Texts at 0.8 that share no full label, beside a group of near copies whose links are all found."""
+    texts = {}
+    for g, s in enumerate((2351, 2643, 6342)):
+        a = [f"p{s}q{k}" for k in range(40)]
+        texts |= {2 * g: " ".join(a), 2 * g + 1: " ".join(a[:36] + [f"r{s}q{k}" for k in range(4)])}
+    base = [f"w{k}" for k in range(120)]
+    texts |= {100 + v: " ".join([*base, f"x{v}"]) for v in range(60)}
+    got = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_classes(texts)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 0.95])
+def test_the_weakest_link_meets_the_target(threshold):
+    assert neardup.found_share(threshold, neardup.depth_for(threshold, 0.9999)) >= 0.9999
+    with pytest.raises(ValueError):
+        neardup.depth_for(0.1, 0.9999)
+
+
 @settings(deadline=None, max_examples=8)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_components(spark, edges):
