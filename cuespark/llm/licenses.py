@@ -77,16 +77,27 @@ RULES = (
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _sentence_pattern(sentences: dict[str, str]) -> str:
+    """A known sentence between two marks: on one line, else over several lines of a paragraph."""
+    longest = sorted(sentences, key=lambda s: (-len(s), s))
+    wrapped = [s.replace(" ", "[ \\n]++") for s in longest if " " in s]
+    end = r"(?= ?[S\n])"
+    return rf"[S\n] ?((?:{'|'.join(longest)}){end}|(?:{'|'.join(wrapped)}){end})"
+
+
 def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
-    """Identifiers of the known sentences of a text, in order. A sentence ends at a line's end, or at
-    a full stop, question or exclamation mark before blanks."""
+    """Identifiers of the known sentences of a text, in order. A sentence starts and ends at a line's
+    end, or at a full stop, question or exclamation mark before blanks. It may go on over the lines of a
+    paragraph, with or without comment marks; a line without letters and digits ends the paragraph."""
     known = F.create_map(*[F.lit(x) for kv in sentences.items() for x in kv])
     low = F.translate(text, _UPPER, _LOWER)
-    cut = F.split(F.regexp_replace(low, r"([.!?])[ \t]+", "$1\n"), "\n")
-    suspect = F.filter(cut, lambda s: s.rlike("|".join(TRIGGERS)))
-    ids = F.transform(suspect, lambda s: known[F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))])
+    # the text is in lower case: an S marks the end of a sentence or paragraph, a line's end stays
+    marked = F.concat(F.lit("S"), F.regexp_replace(low, r"[.!?](?:[ \t]|\r?\n)", "S"), F.lit("S"))
+    marked = F.regexp_replace(F.regexp_replace(marked, r"\n[^a-z0-9S]*\n", "S"), r"[^a-z0-9S\n]+", " ")
+    found = F.regexp_extract_all(marked, F.lit(_sentence_pattern(sentences)), F.lit(1))
+    ids = F.transform(found, lambda s: known[F.regexp_replace(s, r"[ \n]+", " ")])
     none = F.expr("cast(array() as array<string>)")
-    return F.when(low.rlike("|".join(TRIGGERS)), F.filter(ids, lambda i: i.isNotNull())).otherwise(none)
+    return F.when(low.rlike("|".join(TRIGGERS)), ids).otherwise(none)
 
 
 def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None = None, rules=RULES) -> DataFrame:

@@ -389,6 +389,75 @@ def test_license_rules(spark):
     assert all(any(t in s for t in licenses.TRIGGERS) for s in licenses.SENTENCES)
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("comment", ["", "# ", " * ", "// ", "-- "])
+def test_wrapped_licenses(spark, comment, end):
+    def written(text):
+        return end.join((comment + line).rstrip() for line in text.split("\n"))
+
+    texts = [MIT, BSD, BSD3, GPL, "words before\n" + MIT[MIT.index("Permission"):], "Released under the MIT License\nand some words\nLicensed under CC BY 4.0",
+             "released under\n\nthe MIT License", "it was Released under the\nMIT License"]
+    d = spark.createDataFrame([(i, written(t)) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = licenses.digest(licenses.scan(d)).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == ["MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0-or-later", "MIT", "MIT,CC-BY-4.0", "", ""]
+    assert [r.rest for r in got] == ["", "", "", "", "", "", "MITtitle", "MITtitle"]
+
+
 def brute_rule(host, path):
     fits = [r for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     return max(fits, key=lambda r: len(r.name), default=None)
