@@ -103,14 +103,15 @@ def op2(spark, sf):
 
 URL_RULES = [urls.Rule("org", "/", "allow"), urls.Rule("example.org", "/es/", "block"), urls.Rule("example.org", "/en/1", "block"),
              urls.Rule("com", "/fr/", "allow"), urls.Rule("com", "/de/", "block")]
-# Hosts with these words are bad examples for the templates.
+# Hosts with these words are bad examples for the templates; on other hosts the page itself tells.
 BAD_HOSTS = r"(?:^|[.-])(?:casino|bets|pills|spam|adult|ads)(?:[.-]|$)"
 
 
 @query("op3_urls")
 def op3(spark, sf):
-    label = F.when(F.col("ruled") == "allow", True).when((F.col("ruled") == "block") | F.col("host").rlike(BAD_HOSTS), False)
-    pages = table(spark, sf, "pages").select("page_id", "url")
+    label = (F.when(F.col("ruled") == "allow", True).when((F.col("ruled") == "block") | F.col("host").rlike(BAD_HOSTS), False)
+             .otherwise(urls.page_evidence(F.col("html"))))
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
     return urls.filter_urls(pages, URL_RULES, label).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 

@@ -484,6 +484,36 @@ def test_template_tree(spark):
     assert ("/good/{n}", "allow") in got and ("/bad/{n}.html", "block") in got and any(t.startswith("/user/") for t, _ in got)
 
 
+def test_page_evidence_tells_templates_of_open_hosts(spark):
+    from pyspark.sql import functions as F
+    prose, junk = "<script>x###</script><p>" + "plain words of text " * 20, "<p>" + "junk%%% *** $$$ " * 20
+    rows = [(i, f"http://open.net/{t}/{i}", h) for t, h in (("news", prose), ("tags", junk)) for i in range(12)] + [(99, "http://open.net/new", None)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {(r.template, r.verdict) for r in urls.filter_urls(pages, [], urls.page_evidence(F.col("html"))).collect()}
+    assert got == {("/news/{n}", "allow"), ("/tags/{n}", "block"), ("/new", "allow")}
+    one = spark.createDataFrame([("<p>" + "a b c d e " * 4,), (None,), ("<p>few",), ("",)], "html string")
+    assert [r[0] for r in one.select(urls.page_evidence(F.col("html"))).collect()] == [None, None, False, False]
+
+
+def test_query_labels_vary_within_open_hosts(spark, tmp_path):
+    from cuespark.llm.queries import QUERIES
+    prose, junk = "<p>" + "plain words of text " * 20, "<p>" + "junk%%% *** $$$ " * 20
+    rows = [(i, f"http://open.net/{t}/{i}", h) for t, h in (("news", prose), ("tags", junk)) for i in range(12)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {(r.template, r.verdict) for r in QUERIES["op3_urls"](spark, str(tmp_path)).collect()} == {("/news/{n}", "allow"), ("/tags/{n}", "block")}
+
+
+def test_hot_bad_host_leaves_unlabelled_pages_alone(spark):
+    """A blocked host with most of the rows and templates decides nothing about hosts without labels."""
+    from pyspark.sql import functions as F
+    rows = [(i, f"http://bad.net/{'abcdefghij'[i % 10]}/{i}") for i in range(300)] + [(1000 + i, f"http://good{i}.net/a/{i}") for i in range(3)]
+    rows += [(2000 + i, f"http://open{i}.org/b/{i}") for i in range(5)]
+    label = F.when(F.col("host") == "bad.net", False).when(F.col("host").startswith("good"), True)
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id int, url string"), [], label).collect()
+    assert {r.verdict for r in got if r.host == "bad.net"} == {"block"} and {r.verdict for r in got if r.host != "bad.net"} == {"allow"}
+    assert {round(r.purity, 6) for r in got if r.host.startswith("open")} == {round(4 / 6, 6)}
+
+
 @settings(deadline=None, max_examples=100)
 @given(st.lists(st.tuples(st.text(max_size=8), st.text("<|>end[]/\\INSTlbr\r\n x", max_size=20)), max_size=6))
 def test_chat_round_trip(turns):
