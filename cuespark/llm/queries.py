@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, katz, langid, licenses, mixing, neardup, pii, quality, urls
+from . import chat, decontaminate, katz, langid, licenses, mixing, neardup, pii, quality, tokens, urls
 from .common import crc_remainder, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -122,3 +122,12 @@ def op6(spark, sf):
     model = katz.train(docs.where(~out))
     return katz.score(docs, model).select("doc_id", out.alias("held_out"), "n_tokens", "n_known",
                                           F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op12_tokens")
+def op12(spark, sf):
+    """Fills a cache of its own, so that every run encodes all distinct texts."""
+    import public_tokenizers
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep_text=False)
