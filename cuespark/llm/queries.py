@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, katz, langid, licenses, mixing, neardup, pii, quality, tokens, urls
+from . import chat, decontaminate, katz, langid, licenses, mixing, neardup, phrases, pii, quality, tokens, urls
 from .common import crc_remainder, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -131,3 +131,8 @@ def op12(spark, sf):
 
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep_text=False)
+
+
+@query("op11_phrases", phrases.mine_sql())
+def op11(spark, sf):
+    return phrases.mine(table(spark, sf, "documents").select("lang", "text"))
