@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, katz, langid, licenses, mixing, neardup, phrases, pii, quality, tokens, urls
+from . import (chat, decontaminate, katz, langid, licenses, mixing, neardup, negatives, phrases, pii, quality, tokens,
+               urls)
 from .common import crc_remainder, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -136,3 +137,8 @@ def op12(spark, sf):
 @query("op11_phrases", phrases.mine_sql())
 def op11(spark, sf):
     return phrases.mine(table(spark, sf, "documents").select("lang", "text"))
+
+
+@query("op13_negatives", negatives.mine_sql())
+def op13(spark, sf):
+    return negatives.mine(table(spark, sf, "embeddings"))
