@@ -5,6 +5,7 @@ holds the least and greatest distance from it to the vectors of every sibling's
 range of squared lengths. A query asks for scores (inner products) within a window; with the lengths that is an
 annulus of distances around the query, and the triangle inequality rules a sibling out as soon as one split
 point's stored range cannot meet it. What is left is compared exactly in the leaves, so the result is exact.
+Windows begin as narrow as the sample, and for positives the query's own leaf, prove to be enough.
 
 The tree is fitted on a bounded sample (`sample` distinct vectors, those of least hash); every row is put into it,
 and the stored ranges are taken over all rows. Equal vectors of one label are one node that keeps its few
@@ -48,6 +49,8 @@ class Split:
 class Tree:
     """Nodes by number, 0 is the root; a number without a split is a leaf. length: per node the range of squared lengths."""
     splits: dict[int, Split]
+    sample: np.ndarray                      # and labels: the rows that the tree was fitted on
+    labels: np.ndarray
     length: dict[int, tuple[float, float]] = field(default_factory=dict)
     chunks: dict[int, int] = field(default_factory=dict)
 
@@ -56,14 +59,16 @@ def squared(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] + (points * points).sum(1)[None, :] - 2 * (x @ points.T)
 
 
-def fit(sample: np.ndarray, rows: int, leaf: int = LEAF, fanout: int = FANOUT) -> Tree:
-    """Split points: candidates of the sample, chosen so that each is far from those before it."""
-    rng, tree = np.random.default_rng(0), Tree({})
+def fit(sample: np.ndarray, labels: np.ndarray, rows: int, leaf: int = LEAF, most: int = FANOUT) -> Tree:
+    """Split points: candidates of the sample, chosen so that each is far from those before it. A node has as many
+    children as it has leaves' worth of rows, `most` at most."""
+    rng, tree = np.random.default_rng(0), Tree({}, sample, labels)
     todo, numbers = [(0, np.arange(len(sample)))], 0
     share = rows / max(1, len(sample))
     while todo:
         number, own = todo.pop()
-        if len(own) * share <= leaf or len(own) < 2 * fanout:
+        fanout = min(most, -int(-len(own) * share // leaf))
+        if fanout < 2 or len(own) < 2 * fanout:
             continue
         candidates = sample[rng.choice(own, min(len(own), 4 * fanout), replace=False)]
         chosen, nearest = [0], squared(candidates, candidates[:1])[:, 0]
@@ -208,8 +213,8 @@ def build(nodes: DataFrame, width: int, sample: int = SAMPLE, leaf: int = LEAF,
     """(nodes with leaf and chunk, the tree with the ranges of all of them). What comes to the driver is bounded by `sample`."""
     spark = nodes.sparkSession
     rows = nodes.count()
-    taken = nodes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(max(1, min(sample, 2 ** 22 // width))).toArrow()
-    tree = fit(np.unique(matrix(taken["vec"], width), axis=0) if taken.num_rows else np.zeros((0, width)), rows, leaf)
+    taken = nodes.select("vec", "label").orderBy(F.xxhash64("vec"), "vec", "label").limit(max(1, min(sample, 2 ** 22 // width))).toArrow()
+    tree = fit(matrix(taken["vec"], width), taken["label"].to_numpy(), rows, leaf)
     shared = spark.sparkContext.broadcast(tree)
     placed = settle(nodes.mapInArrow(_put(shared, width), f"leaf int, {NODE}"), "negatives-leaves")
     spans = (placed.mapInArrow(_ranges(shared, width), "node int, point int, low double, high double, n bigint").groupBy("node", "point")
@@ -237,14 +242,27 @@ def build(nodes: DataFrame, width: int, sample: int = SAMPLE, leaf: int = LEAF,
 MEETING = "leaf int, chunk int, kind int, key string, label bigint, vec binary, ids array<bigint>, low array<bigint>, high array<bigint>"
 
 
-def _route(tree, width: int, home: bool) -> Callable:
+def raised(tree: Tree, x: np.ndarray, labels: np.ndarray, low: np.ndarray, high: np.ndarray, want: int, same: bool) -> np.ndarray:
+    """Windows without what the sample alone proves to be useless: scores below its `want`-th best in the window."""
+    scores = x @ tree.sample.T
+    alike = labels[:, None] == tree.labels[None, :]
+    right, low = alike if same else ~alike, low.copy()
+    if scores.shape[1] >= want:
+        for w in range(low.shape[1]):
+            inside = np.where(right & (scores >= low[:, w, None]) & (scores <= high[:, w, None]), scores, -np.inf)
+            low[:, w] = np.maximum(low[:, w], np.partition(inside, scores.shape[1] - want, 1)[:, scores.shape[1] - want])
+    return low
+
+
+def _route(tree, width: int, want: int, same: bool, home: bool) -> Callable:
     """Queries (key, label, vec, low, high), once for every leaf and chunk that they must see; `home`: their own leaf only."""
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
                 x = matrix(part.column("vec"), width)
                 low, high = _windows(part)
+                low = raised(tree.value, x, part.column("label").to_numpy(), low, high, want, same)
                 if home:
                     met = [(n, own) for n, own, d in descend(tree.value, x) if d is None and n in tree.value.length]
                 else:
@@ -256,7 +274,7 @@ def _route(tree, width: int, home: bool) -> Callable:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(n, v, np.int32)) for v in (leaf, chunk, 1)]
                             + [chosen.column("key").cast(pa.string()), chosen.column("label"), chosen.column("vec").cast(pa.binary()),
-                               pa.nulls(n, pa.list_(pa.int64())), *(chosen.column(c).cast(pa.list_(pa.int64())) for c in ("low", "high"))],
+                               pa.nulls(n, pa.list_(pa.int64())), _lists(low[own]), _lists(high[own])],
                             ["leaf", "chunk", "kind", "key", "label", "vec", "ids", "low", "high"])
     return run
 
@@ -273,6 +291,11 @@ def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _lists(windows: np.ndarray) -> pa.Array:
+    n, width = windows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(windows.ravel().astype(np.int64)))
+
+
 def first(scores: np.ndarray, ids: list, want: int) -> list[tuple[int, int]]:
     """The `want` entries (score, id) of highest score, then smallest id; each node has a few ids."""
     if len(scores) > want:
@@ -322,7 +345,7 @@ def _meet(width: int, want: int, same: bool) -> Callable:
 
 def search(leaves: DataFrame, tree, width: int, queries: DataFrame, want: int, same: bool, home: bool = False) -> DataFrame:
     """key, window, found: the `want` best (score, id) of each query's windows, among rows of its own label or of others."""
-    asked = queries.mapInArrow(_route(tree, width, home), MEETING)
+    asked = queries.mapInArrow(_route(tree, width, want, same, home), MEETING)
     held = leaves.select("leaf", "chunk", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("key"), "label", "vec", "ids",
                          *[F.lit(None).cast("array<bigint>").alias(c) for c in ("low", "high")])
     met = held.unionByName(asked).repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", "kind")

@@ -48,7 +48,7 @@ def test_equal_to_brute_force(spark, clustered, options):
 
 
 def _tree(x, leaf):
-    tree = negatives.fit(x, len(x), leaf)
+    tree = negatives.fit(x, np.zeros(len(x), int), len(x), leaf)
     rows = [r for b in negatives._ranges(type("B", (), {"value": tree}), x.shape[1])(
         [pa.RecordBatch.from_pydict({"vec": [v.astype("<i4").tobytes() for v in x]})]) for r in b.to_pylist()]
     parent = {c: (s, j) for s in tree.splits.values() for j, c in enumerate(s.children)}
