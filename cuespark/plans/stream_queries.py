@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import chunks, scripts
 from ..functions import script_tables as S
 from ..functions.text import ends_sentence
-from ..operators import build, infer as inf, rerank as rr, routing as rt, units
+from ..operators import infer as inf, rerank as rr, routing as rt, units
 from ..session import fresh_path, settle
 from ..sources import writers
 from ..streaming import streams
@@ -170,9 +170,7 @@ def q_build_stream(spark, sf):
     s = c.select(F.col("conv_id").alias("track_id"), F.col("turn").alias("id"), (F.col("turn") * 600.0).alias("start"),
                  (F.col("turn") * 600.0 + 1).alias("end"), F.array_join("tk", " ").alias("text"), "words", F.lit("en").alias("language"),
                  (F.col("turn") == F.col("last")).alias("final"))
-    st = staged(s, "segments")
-    w = build.word_rows(st)
-    return streams.drain(streams.cue_builder_stream(w), "built", "append").drop("batch", "pos", "gap")
+    return streams.drain(streams.cue_builder_stream(staged(s, "segments")), "built", "append").drop("batch", "pos", "gap")
 
 
 @query("sentence_unit_stream", needs=("islands",), sql=UNITS_SQL + "select track_id, id, unit_id from walk")

@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import constants as K
-from ..operators.build import ROW, Builder, Layout
+from ..operators.build import SEGMENT_SPAN, WORDS, Builder, Layout
 from ..operators.files import classify, normal_path
 from ..operators.jobs import status_columns
 from ..session import fresh_path, key_type
@@ -62,94 +63,207 @@ def live_cues_stream(events: DataFrame, keys: tuple[str, ...] = ("job", "cue"))
     return events.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("_v")).select(*keys, "_v.*")
 
 
-# --- cues ------------------------------------------------------------------------------------------
+# --- state -----------------------------------------------------------------------------------------
 
-def _load(state: GroupState, empty: dict) -> dict:
-    return json.loads(state.get[0]) if state.exists else empty
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _drained(wait: dict, start: int, give_up: bool):
-    """Waiting entries that can be taken now: those without a gap before them, or all of them in
-    order if the missing ones are given up. Yields (number, entry, whether something is missing before)."""
-    at = start
-    for n in sorted(map(int, wait)):
-        if n > at and not give_up:
-            return
-        yield n, wait.pop(str(n)), n > at
-        at = n + 1
+def keyed_state(spark: SparkSession) -> None:
+    """Keyed state needs the RocksDB store; a store that the session names itself is left alone."""
+    if spark.conf.get(STORE, "").endswith("HDFSBackedStateStoreProvider") or not spark.conf.get(STORE, ""):
+        spark.conf.set(STORE, ROCKSDB)
 
 
-def _words_step(s: dict, arrived: pd.DataFrame, layout: Layout, over: bool) -> tuple[list[tuple], bool]:
-    """Cues (without the track) that the arrived words complete, and whether the track has ended.
+# --- cues ------------------------------------------------------------------------------------------
 
-    `s` is the track's state and is changed. `over`: nothing more is expected, gaps are given up.
-    """
-    for seg, part in arrived.sort_values(["seg", "pos"]).groupby("seg", sort=True):
-        if seg >= s["next"]:
-            first = part.iloc[0]
-            s["wait"].setdefault(str(seg), {
-                "rows": [list(r) for r in zip(*[part[c].tolist() for c in ROW])], "n": int(first["n_words"]),
-                "text": first["text"], "lang": first["language"], "final": bool(first["final"])})
-    b = Builder(layout, s["tail"], s["lang"])
-    out: list[tuple] = []
-    for seg, w, gap in _drained(s["wait"], s["next"], over):
-        s["next"] = seg + 1
-        if gap:             # what comes before a missing segment does not run on behind it
-            out += [(*c, s["gap"]) for c in b.flush()]
-            s["gap"] = True
-        if w["n"] == 0:
-            text = (w["text"] or "").strip()
-            text = text if w["lang"] in K.NO_SPACE_LANGUAGES else " ".join(text.split())
-            pos, _, ws, we = w["rows"][0][:4]
-            made = [*b.flush(), (pos, ws, we, text, w["lang"])]
-        else:
-            made = b.add(w["rows"], w["lang"])
-        for c in made:
-            if c[3]:
-                out.append((*c, s["gap"]))
-                s["gap"] = False
-        over = over or w["final"]
-    if over:
-        out += [(*c, s["gap"]) for c in b.flush()]
-    s.update(tail=b.tail, lang=b.tail_language)
-    return [c for c in out if c[3]], over
+PIECE = ["n_words", "start", "end", "text", "language", "final", "word", "begins", "stops"]
+TAIL = "+"          # before the language of a tail, so that one without a language is told from none
+CUE = ["pos", "start", "end", "text", "language", "gap"]
 
 
-def cue_builder_stream(words: DataFrame, layout: Layout = Layout(), timeout_ms: int | None = None) -> DataFrame:
-    """Cues as their segments arrive: (track_id, id, pos, start, end, text, language, gap).
+class CueState(StatefulProcessor):
+    """One track's cue builder.
 
-    Takes word rows (operators.build.word_rows) with `final`, true on the last segment of a track.
-    Segments are taken in id order from 0: early ones wait in the state, repeated ones are
-    dropped. The state holds the unfinished tail, less than half a cue, and what waits; it is removed
-    at the end of the track. Silence for `timeout_ms`, if given, ends a track too: missing segments are
-    then given up, what waited behind them is built in order, and the first cue behind a gap has
-    `gap` true. With a timeout the query keeps running batches, so it does not go with an
-    available-now trigger; without one a missing segment holds back what follows it.
+    `progress` says which segment and cue number come next, and that a track has ended; `tail` are the words
+    of the unfinished cue; `waiting` holds what has arrived too early, a row for each piece of a segment,
+    written once and removed once. Nothing is rewritten as a whole.
     """
-    cols = ["pos", "start", "end", "text", "language", "gap"]
-    empty = pd.DataFrame(columns=["seg", "n_words", "text", "language", "final", *ROW])
 
-    def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = _load(state, {"next": 0, "id": 0, "tail": [], "lang": "", "wait": {}, "gap": False})
-        parts = list(batches)               # a segment may lie across two of them
-        out, over = _words_step(s, pd.concat(parts) if parts else empty, layout, state.hasTimedOut)
+    def __init__(self, layout: Layout, timeout_ms: int | None, ttl_ms: int | None):
+        self.layout, self.timeout_ms, self.ttl_ms = layout, timeout_ms, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.progress = handle.getValueState("progress", "next bigint, id bigint, gap boolean, done boolean, language string, held bigint", self.ttl_ms)
+        self.tail = handle.getListState("tail", "pos bigint, word string, start double, end double", self.ttl_ms)
+        self.waiting = handle.getMapState(
+            "waiting", "seg bigint, at bigint",
+            "n_words bigint, start double, end double, text string, language string, final boolean, word array<string>, begins array<double>, stops array<double>",
+            self.ttl_ms)
+
+    # what has arrived in this batch is looked at first, so that a piece in order is never stored
+    def _piece(self, arrived: dict, s: dict, seg: int, at: int):
+        if (seg, at) in arrived:
+            return arrived.pop((seg, at))
+        if s["held"] and self.waiting.containsKey((seg, at)):
+            piece = self.waiting.getValue((seg, at))
+            self.waiting.removeKey((seg, at))
+            s["held"] -= 1
+            return piece
+        return None
+
+    def _pieces(self, arrived: dict, s: dict, seg: int) -> list[tuple] | None:
+        """All pieces of a segment, in order; None, and nothing taken, while one is missing."""
+        at, found = 0, []
+        while True:
+            piece = self._piece(arrived, s, seg, at)
+            if piece is None:
+                arrived.update(found)
+                return None
+            found.append(((seg, at), tuple(piece)))
+            at += len(piece[6])
+            if at >= piece[0]:
+                return [p for _, p in found]
+
+    def _take(self, b: Builder, s: dict, seg: int, pieces: list[tuple], gap: bool) -> list[tuple]:
+        """Cues that a segment completes. What comes before a missing one does not run on behind it."""
+        made = []
+        if gap:
+            made += self._told(b.flush(), s)
+            s["gap"] = True
+        _, start, end, text, language, _ = pieces[0][:6]
+        word, begins, stops = ([x for p in pieces for x in p[k]] for k in (6, 7, 8))
+        pos = seg * SEGMENT_SPAN
+        made += self._told(b.add(pos, word, begins, stops, language) if word else b.alone(pos, start, end, text, language), s)
+        s["next"] = seg + 1
+        return made
+
+    @staticmethod
+    def _told(cues: list[tuple], s: dict) -> list[tuple]:
+        out = []
+        for c in cues:
+            if c[3]:
+                out.append((s["id"], *c, s["gap"]))
+                s["id"], s["gap"] = s["id"] + 1, False
+        return out
+
+    def _load(self) -> tuple[dict, Builder]:
+        at = self.progress.get() if self.progress.exists() else (0, 0, False, False, "", 0)
+        s = dict(zip(("next", "id", "gap", "done", "language", "held"), at))
+        s["tail"] = bool(s["language"]) and not s["done"]
+        return s, Builder(self.layout, [tuple(w) for w in self.tail.get()] if s["tail"] else [], s["language"].removeprefix(TAIL))
+
+    def _keep(self, s: dict, b: Builder, over: bool) -> None:
+        if over and s["held"]:
+            for at in list(self.waiting.keys()):
+                self.waiting.removeKey(at)
+        if b.tail:
+            self.tail.put(b.tail)
+        elif s["tail"]:
+            self.tail.clear()
+        self.progress.update((s["next"], s["id"], s["gap"], over, TAIL + b.tail_language if b.tail else "", 0 if over else s["held"]))
+        if self.timeout_ms:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+
+    def _frame(self, key: tuple, out: list[tuple]) -> Iterator[pd.DataFrame]:
         if out:
-            frame = pd.DataFrame(out, columns=cols)
-            frame.insert(0, "id", range(s["id"], s["id"] + len(out)))
+            frame = pd.DataFrame(out, columns=["id", *CUE])
             frame.insert(0, "track_id", key[0])
             yield frame
-        if over:
-            state.remove()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        s, b = self._load()
+        if s["done"]:               # late copies after the end
+            for _ in rows:
+                pass
             return
-        s["id"] += len(out)
-        state.update((json.dumps(s),))
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
+        arrived: dict = {}
+        for pdf in rows:
+            for seg, at, *piece in zip(*[pdf[c].tolist() for c in ("id", "at", *PIECE)]):
+                if seg >= s["next"]:
+                    piece[6:] = [list(x) for x in piece[6:]]
+                    arrived.setdefault((int(seg), int(at)), tuple(piece))
+        out, over = [], False
+        while not over and (pieces := self._pieces(arrived, s, s["next"])) is not None:
+            out += self._take(b, s, s["next"], pieces, False)
+            over = any(p[5] for p in pieces)
+        if over:
+            out += self._told(b.flush(), s)
+        else:
+            for at, piece in arrived.items():
+                if at[0] >= s["next"] and not (s["held"] and self.waiting.containsKey(at)):
+                    self.waiting.updateValue(at, piece)
+                    s["held"] += 1
+        self._keep(s, b, over)
+        if self.timeout_ms and not over:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+        yield from self._frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Silence: missing segments and pieces are given up, the rest is built in order and the track ends."""
+        s, b = self._load()
+        held: dict = {}
+        for (seg, at), piece in self.waiting.iterator() if s["held"] else ():
+            held.setdefault(int(seg), {})[int(at)] = tuple(piece)
+        out = []
+        for seg in sorted(held):
+            pieces = [held[seg][at] for at in sorted(held[seg])]
+            whole = sum(len(p[6]) for p in pieces) >= pieces[0][0]
+            out += self._take(b, s, seg, pieces, seg > s["next"] or min(held[seg]) > 0)
+            s["gap"] = s["gap"] or not whole
+        out += self._told(b.flush(), s)
+        self._keep(s, b, True)
+        yield from self._frame(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def cue_builder_stream(segments: DataFrame, layout: Layout = Layout(), timeout_ms: int | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """Cues as their segments arrive: (track_id, id, pos, start, end, text, language, gap).
 
-    return words.groupBy("track_id").applyInPandasWithState(
-        fn, f"track_id {key_type(words)}, id long, pos long, start double, end double, text string, language string, gap boolean",
-        "state string", "append",
-        GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
+    Takes segments as operators.build.build_cues does, with `final`, true on the last one of a track.
+    Segments are taken in id order from 0: early ones wait in the state, repeated ones are dropped, also those that
+    come again after the track's end. A segment may come in pieces, over as many batches as it likes: rows of its id with `n_words`, the words
+    of the whole segment, and `at`, where the piece's words begin in it; it waits until all are there.
+
+    Silence for `timeout_ms`, if given, ends a track too: what is missing is then given up, what waited behind it is built in
+    order, and the first cue behind a gap has `gap` true; without one a missing segment holds back what follows it.
+    State that is not written for `ttl_ms`, if given, is removed, the note that a track has ended as well. With either
+    the query keeps running batches, so it does not go with an available-now trigger.
+    """
+    keyed_state(segments.sparkSession)
+    w = F.coalesce("words", F.array().cast(WORDS))
+    rows = segments.select(
+        "track_id", F.col("id").cast("bigint"), (F.col("at").cast("bigint") if "at" in segments.columns else F.lit(0).cast("bigint")).alias("at"),
+        (F.col("n_words") if "n_words" in segments.columns else F.size(w)).cast("bigint").alias("n_words"), "start", "end", "text",
+        F.coalesce("language", F.lit("")).alias("language"), F.coalesce("final", F.lit(False)).alias("final"),
+        F.transform(w, lambda x: F.coalesce(x["word"], F.lit(""))).alias("word"),
+        F.transform(w, lambda x: F.coalesce(x["start"], F.col("start"))).alias("begins"),
+        F.transform(w, lambda x: F.coalesce(x["end"], F.col("end"))).alias("stops"))
+    track = key_type(segments)
+    timed = timeout_ms or ttl_ms
+    return rows.groupBy("track_id").transformWithStateInPandas(
+        CueState(layout, timeout_ms, ttl_ms),
+        f"track_id {track}, id long, pos long, start double, end double, text string, language string, gap boolean",
+        "Append", "ProcessingTime" if timed else "None")
+
+
+def _load(state: GroupState, empty: dict) -> dict:
+    return json.loads(state.get[0]) if state.exists else empty
+
+
+def _drained(wait: dict, start: int, give_up: bool):
+    """Waiting entries that can be taken now: those without a gap before them, or all of them in
+    order if the missing ones are given up. Yields (number, entry, whether something is missing before)."""
+    at = start
+    for n in sorted(map(int, wait)):
+        if n > at and not give_up:
+            return
+        yield n, wait.pop(str(n)), n > at
+        at = n + 1
 
 
 def _units_step(s: dict, arrived: list[tuple], give_up: bool) -> list[tuple]:

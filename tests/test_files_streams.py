@@ -1,6 +1,12 @@
+import glob
+import os
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from cuespark import session
 from cuespark.operators import build, files, infer, jobs, rerank, routing, units
 from cuespark.functions.text import ends_sentence
 from cuespark.plans import stream_queries as sq, tables, workflow as wf
@@ -70,25 +76,83 @@ def test_a_track_is_one_document_whatever_its_ids(spark, fmt):
     assert [b[1] for b in back] == ["first words", "second words"] and errors.count() == 0
 
 
-def segment_rows(spark, seg, final, words=4):
-    w = [{"word": f" w{seg}x{i}", "start": seg * 600.0 + i * 0.3, "end": seg * 600.0 + i * 0.3 + 0.2} for i in range(words)]
-    return (1, seg, seg * 600.0, seg * 600.0 + 5, "", w, "en", final)
+SEGMENTS = ("track_id int, id long, start double, `end` double, text string, words array<struct<word:string,start:double,`end`:double>>, "
+            "language string, final boolean, at int, n_words int")
+
+
+def piece(seg, at=0, upto=20, n=20, last=9, track=1):
+    """Words at..upto of a segment of n."""
+    w = [(f" w{seg}x{i}", seg * 60.0 + i * 0.3, seg * 60.0 + i * 0.3 + 0.2) for i in range(at, upto)]
+    return (track, seg, seg * 60.0, seg * 60.0 + 5, "", w, "en", seg == last, at, n)
+
+
+def streamed(spark, batches, **options):
+    """The rows that each batch of segments gives, batch after batch."""
+    path, known = session.fresh_path(spark, "pieces"), set()
+    for i, rows in enumerate(batches, 1):
+        spark.createDataFrame(rows, SEGMENTS).coalesce(1).write.mode("append").parquet(path)
+        for f in set(glob.glob(f"{path}/part-*")) - known:         # the source takes files by age
+            os.utime(f, (i, i))
+            known.add(f)
+    schema = spark.createDataFrame([], SEGMENTS).schema
+    return streams.drain(streams.cue_builder_stream(streams.stream_table(spark, path, schema, 1), **options), "b", "append").orderBy("id").collect()
+
+
+@pytest.fixture
+def one_partition(spark):
+    """Each partition of a stream's state starts Python for every batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def texts(rows):
+    return " ".join(r.text for r in rows).split()
+
+
+def every(*segs, n=20):
+    return [f"w{s}x{i}" for s in segs for i in range(n)]
+
+
+def test_segment_over_two_batches_keeps_all_words(spark, one_partition):
+    got = streamed(spark, [[piece(0, 0, 8)], [piece(0, 8, 20), piece(1, last=1)]])
+    assert texts(got) == every(0, 1) and [r.id for r in got] == list(range(len(got)))
+    # pieces out of order, repeated, and behind a later segment
+    got = streamed(spark, [[piece(1, 12, 20, last=1)], [piece(0, 8, 20), piece(1, 0, 12, last=1)], [piece(0, 8, 20)], [piece(0, 0, 8)]])
+    assert texts(got) == every(0, 1)
 
 
-def arrived(spark, *segs, last=9):
-    s = spark.createDataFrame([segment_rows(spark, k, k == last) for k in segs], "track_id int, id long, start double, `end` double, text string, "
-                              "words array<struct<word:string,start:double,`end`:double>>, language string, final boolean")
-    return build.word_rows(s).toPandas()
+def test_shuffled_arrival_equals_batch(spark, one_partition):
+    rows = [piece(s, at, at + 10, last=7, track=t) for t in (1, 2) for s in range(8) for at in (0, 10)]
+    random.Random(4).shuffle(rows)
+    got = streamed(spark, [rows[i:i + 11] for i in range(0, len(rows), 11)])
+    whole = spark.createDataFrame([piece(s, last=7, track=t)[:7] for t in (1, 2) for s in range(8)], SEGMENTS.split(", final")[0])
+    want = build.build_cues(whole, timing=False).select("track_id", "id", "start", "end", "text").collect()
+    assert sorted((r.track_id, r.id, r.start, r.end, r.text) for r in got) == sorted(map(tuple, want))
 
 
-def test_missing_segment_is_given_up_at_the_end(spark):
-    state = {"next": 0, "id": 0, "tail": [], "lang": "", "wait": {}, "gap": False}
-    first, over = streams._words_step(state, arrived(spark, 2, 0, 3), build.Layout(), False)
-    assert not over and {c[3].split("x")[0] for c in first} <= {"w0"} and set(state["wait"]) == {"2", "3"}
-    rest, over = streams._words_step(state, arrived(spark, 4), build.Layout(), True)
-    text = " ".join(c[3] for c in first + rest)
-    assert over and not state["wait"] and text.split() == [f"w{s}x{i}" for s in (0, 2, 3, 4) for i in range(4)]
-    assert [c[5] for c in first + rest].count(True) == 1
+def test_late_copies_after_the_end_are_refused(spark, one_partition):
+    got = streamed(spark, [[piece(0), piece(1, last=1)], [piece(0), piece(1, last=1)], [piece(2, last=2)]])
+    assert texts(got) == every(0, 1)
+
+
+def test_silence_gives_up_what_is_missing(spark, one_partition):
+    """Segment 1 and the first words of segment 3 never come."""
+    path = session.fresh_path(spark, "pieces")
+    spark.createDataFrame([piece(0), piece(2), piece(3, 8, 20)], SEGMENTS).coalesce(1).write.parquet(path)
+    s = streams.cue_builder_stream(streams.stream_table(spark, path, spark.createDataFrame([], SEGMENTS).schema), timeout_ms=1500, ttl_ms=3_600_000)
+    q = s.writeStream.format("memory").queryName("given_up").outputMode("append").trigger(processingTime="300 milliseconds").option(
+        "checkpointLocation", session.fresh_path(spark, "state")).start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and len(texts(spark.table("given_up").collect())) < 52:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    got = spark.table("given_up").orderBy("id").collect()
+    assert texts(got) == every(0, 2) + every(3)[8:]
+    assert [r.text.split()[0] for r in got if r.gap] == ["w2x0", "w3x8"]
 
 
 def test_missing_number_is_given_up():
@@ -138,7 +202,7 @@ def test_cue_stream_equals_batch(spark, chunk):
     last = s.groupBy("track_id").agg(F.max("id").alias("last"))
     s = s.join(last, "track_id").withColumn("final", F.col("id") == F.col("last")).drop("last")
     want = build.build_cues(s.drop("final"), timing=False).select("track_id", "id", "start", "end", "text")
-    w = build.word_rows(sq.staged(s, "s", 6))
+    w = sq.staged(s, "s", 6)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", chunk)
     try:

@@ -139,12 +139,9 @@ def test_build_in_stretches_equals_one_pass(spark):
         segs.append((0, i, t, t + 1, toks, ws, "en"))
     df = spark.createDataFrame(segs, SEG)
     got = [(c.start, c.text) for c in build.build_cues(df, timing=False, block=2).orderBy("id").collect()]
-    rows, want, b = build.word_rows(df).orderBy("pos").toPandas(), [], build.Builder(build.Layout())
-    for _, part in rows.groupby("seg"):
-        if part.iloc[0].n_words == 0:
-            want += b.flush() + [(0, part.iloc[0].ws, 0, part.iloc[0].text.strip(), "en")]
-        else:
-            want += b.add(list(zip(*[part[c].tolist() for c in build.ROW])), "en")
+    want, b = [], build.Builder(build.Layout())
+    for _, i, start, end, text, ws, lang in segs:
+        want += b.add(i * build.SEGMENT_SPAN, *map(list, zip(*ws)), lang) if ws else b.alone(i * build.SEGMENT_SPAN, start, end, text, lang)
     want += b.flush()
     assert got == [(c[1], c[3]) for c in want if c[3]]
 
