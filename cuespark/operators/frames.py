@@ -8,10 +8,18 @@ gathers a track.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import constants as K
+from ..session import key_type
 from .ordered import ordered
 
 FULL_SCALE = 32768.0
@@ -39,46 +47,151 @@ def db_level(db: float) -> float:
     return 10 ** (db / 20) * FULL_SCALE
 
 
-def window_rms(frames: DataFrame, length: int, step: int = 1) -> DataFrame:
-    """RMS of the `length` ms that start at every multiple of `step`, and at the last start.
+def _silent_starts(sumsq: np.ndarray, n: np.ndarray, least: int, threshold: float) -> np.ndarray:
+    """For every start whose window of `least` ms lies within the arrays: whether its RMS is at or below the threshold.
 
-    A running difference of prefix sums would lose digits; the windows are summed directly, each
-    millisecond being sent to the starts of its block and, near an edge, of the block before.
+    Prefix sums of whole numbers: squares are scaled by the power of two that just keeps their total within 62 bits, so
+    windows are differences without loss, and whole-number squares stay exact.
+    """
+    total = float(sumsq.sum())
+    scale = 2.0 ** (61 - max(0, math.ceil(math.log2(total + 1))))
+    squares = np.concatenate([[0], np.cumsum(np.rint(sumsq * scale).astype(np.int64))])
+    samples = np.concatenate([[0], np.cumsum(n.astype(np.int64))])
+    ss, sn = squares[least:] - squares[:-least], samples[least:] - samples[:-least]
+    return np.sqrt(ss / scale / np.maximum(sn, 1)) <= threshold
+
+
+def _block_silences(least: int, threshold: float, step: int, block_ms: int, schema: pa.Schema):
+    """One row per block of rows sorted by (track, block, ms): its silent starts, joined as far as the block goes."""
+    def summary(track, block: int, ms: np.ndarray, sumsq: np.ndarray, n: np.ndarray) -> tuple:
+        first = block * block_ms
+        size = int(ms[-1]) - first + 1
+        dense, counts = np.zeros(size), np.zeros(size, np.int64)
+        np.add.at(dense, ms - first, sumsq)
+        np.add.at(counts, ms - first, n)
+        starts, last = np.zeros(0, np.int64), None
+        if size >= least:
+            silent = np.flatnonzero(_silent_starts(dense, counts, least, threshold))
+            silent = silent[silent < block_ms]
+            at_end = size - least
+            if len(silent) and silent[-1] == at_end and (first + at_end) % step:
+                last = first + at_end                       # counts only if the track ends with these frames
+            starts = silent[(first + silent) % step == 0] + first
+        new = np.ones(len(starts), bool)
+        new[1:] = (starts[1:] != starts[:-1] + step) & (starts[1:] > starts[:-1] + least)
+        edges = np.flatnonzero(new)
+        ends = np.append(edges[1:], len(starts)) - 1 if len(edges) else edges
+        return track, block, int(ms[-1]), last, [{"first": int(starts[i]), "last": int(starts[j])} for i, j in zip(edges, ends)]
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+        def close() -> tuple:
+            return summary(*key, *(np.concatenate(c) for c in zip(*held)))
+
+        for batch in batches:
+            tracks, blocks = batch.column("track_id").to_pylist(), batch.column("_b").to_numpy()
+            columns = [batch.column(c).to_numpy() for c in ("ms", "sumsq", "n")]
+            done, at = [], 0
+            while at < len(tracks):
+                now, to = (tracks[at], int(blocks[at])), at + 1
+                if now == (tracks[-1], int(blocks[-1])):
+                    to = len(tracks)
+                else:
+                    while (tracks[to], blocks[to]) == now:
+                        to += 1
+                if key is not None and now != key:
+                    done.append(close())
+                    held = []
+                key = now
+                held.append([c[at:to] for c in columns])
+                at = to
+            yield table(done)
+        if key is not None:
+            yield table([close()])
+
+    return fn
+
+
+def _blocks(frames: DataFrame, least: int, threshold: float, step: int) -> DataFrame:
+    """Per block of a track: its joined silent starts `r` (first, last), the starts before it, and the track's length.
+
+    One scan of the frames. A frame within a window's reach of a block's edge is also sent to the blocks before; what
+    crosses edges comes from a window over the blocks, one row each.
     """
-    f = frames.select("track_id", "ms", "sumsq", "n")
-    blk = F.floor(F.col("ms") / BLOCK_MS)
-    reach = F.floor((F.col("ms") - (length - 1)) / BLOCK_MS)
-    f = f.withColumn("_b", F.explode(F.sequence(F.greatest(reach, F.lit(0)), blk)))
-    w = Window.partitionBy("track_id", "_b").orderBy("ms").rowsBetween(0, length - 1)
-    f = f.withColumn("ss", F.sum("sumsq").over(w)).withColumn("sn", F.sum("n").over(w)).withColumn(
-        "full", F.count(F.lit(1)).over(w))
-    f = f.where((F.floor(F.col("ms") / BLOCK_MS) == F.col("_b")) & (F.col("full") == length))
-    f = f.withColumn("rms", F.sqrt(F.col("ss") / F.col("sn")))
-    if step > 1:
-        ends = track_lengths(frames).withColumn("_last", F.col("length") - length).select("track_id", "_last")
-        spots = f.select("track_id", "_b").distinct().join(ends, "track_id")
-        f = f.join(spots, ["track_id", "_b"]).where((F.col("ms") % step == 0) | (F.col("ms") == F.col("_last")))
-    return f.select("track_id", "ms", "rms")
+    f = frames.select("track_id", F.col("ms").cast("bigint").alias("ms"), F.col("sumsq").cast("double").alias("sumsq"), F.col("n").cast("bigint").alias("n"))
+    blk, reach = (F.expr(f"(ms - {k}) div {BLOCK_MS}") for k in (0, least - 1))
+    f = f.withColumn("_b", F.explode(F.sequence(F.greatest(F.when(F.col("ms") < least - 1, 0).otherwise(reach), F.lit(0)), blk)))
+    f = f.repartition("track_id", "_b").sortWithinPartitions("track_id", "_b", "ms")
+    schema = T._parse_datatype_string(f"track_id {key_type(frames)}, _b bigint, seen bigint, tail bigint, r array<struct<first:bigint,last:bigint>>")
+    d = f.mapInArrow(_block_silences(least, threshold, step, BLOCK_MS, to_arrow_schema(schema)), schema)
+    track = Window.partitionBy("track_id")
+    # the last start of the track counts off the step, too
+    d = d.withColumn("length", F.max("seen").over(track) + 1)
+    tail = F.when((F.col("seen") + 1 == F.col("length")) & F.col("tail").isNotNull(), F.col("tail"))
+    last = F.try_element_at("r", F.lit(-1))
+    goes_on = (tail == last["last"] + step) | (tail <= last["last"] + least)
+    longer = F.concat(F.slice("r", F.lit(1), F.greatest(F.size("r") - 1, F.lit(0))), F.array(F.struct(last["first"].alias("first"), tail.alias("last"))))
+    d = d.withColumn("r", F.when(tail.isNull(), F.col("r")).when((F.size("r") > 0) & goes_on, longer).otherwise(
+        F.concat("r", F.array(F.struct(tail.alias("first"), tail.alias("last"))))))
+    along = track.orderBy("_b")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("head", F.try_element_at("r", F.lit(1))["first"]).withColumn("end_", F.try_element_at("r", F.lit(-1))["last"])
+    d = d.withColumn("prev", F.last("end_", ignorenulls=True).over(before)).withColumn("final", F.lead("_b").over(along).isNull())
+    joined = F.col("prev").isNotNull() & ((F.col("head") == F.col("prev") + step) | (F.col("head") <= F.col("prev") + least))
+    d = d.withColumn("joined", F.coalesce(joined, F.lit(False)))
+    opened = F.when((F.size("r") > 1) | ~F.col("joined"), F.try_element_at("r", F.lit(-1))["first"])
+    return d.withColumn("open", F.last(opened, ignorenulls=True).over(before)).select("track_id", "_b", "r", "prev", "joined", "open", "final", "length")
 
 
 def silence_ranges(frames: DataFrame, min_ms: int, threshold: float, step: int = 1) -> DataFrame:
     """Silent ranges (track_id, start, end): windows of `min_ms` at or below the RMS threshold, joined.
 
-    A start goes on with the range unless it is neither the next step nor inside the last window.
+    Windows start at every multiple of `step` and at the last start. A start goes on with the range unless it is neither
+    the next step nor inside the last window. A window is a stretch of time: a missing frame holds no samples, and a
+    window without any is silent (of a block of 65,536 ms without any frame nothing is known, it has no silence).
     """
-    s = window_rms(frames, min_ms, step).where(F.col("rms") <= threshold).select("track_id", "ms")
-    return _join_starts(s, min_ms, step)
+    d = _blocks(frames, min_ms, threshold, step)
+    first = F.struct(F.col("open").alias("first"), F.try_element_at("r", F.lit(1))["last"].alias("last"))
+    own = F.when(F.col("joined"), F.concat(F.array(first), F.slice("r", F.lit(2), F.greatest(F.size("r") - 1, F.lit(0))))).otherwise(F.col("r"))
+    s = d.select("track_id", F.explode(own).alias("x"))
+    return s.groupBy("track_id", F.col("x.first").alias("start")).agg((F.max("x.last") + min_ms).alias("end"))
+
 
+def sounding_ranges(frames: DataFrame, min_ms: int, threshold: float, step: int = 1, silent_tracks: bool = False) -> DataFrame:
+    """What is left of every track between its silences: (track_id, start, end, length), from one scan of the frames.
 
-def _join_starts(starts: DataFrame, min_ms: int, step: int) -> DataFrame:
-    from .ordered import runs
-    s = runs(starts, {"ms": F.col("ms")},
-             lambda p, c: (c("ms") != p("ms") + step) & (c("ms") > p("ms") + min_ms), "start", order="ms", block=BLOCK_MS)
-    return s.groupBy("track_id", "start").agg((F.max("ms") + min_ms).alias("end"))
+    A wholly silent track has none, or with `silent_tracks` one row without start and end.
+    """
+    d = _blocks(frames, min_ms, threshold, step)
+    none = F.lit(None).cast("bigint")
+
+    def span(start, end):
+        return F.struct(start.alias("start"), end.alias("end"))
+
+    begins = F.transform("r", lambda x: x["first"])
+    ends = F.concat(F.array(F.col("prev") + min_ms), F.transform("r", lambda x: x["last"] + min_ms))
+    gaps = F.transform(begins, lambda x, i: span(F.coalesce(F.get(ends, i), F.lit(0).cast("bigint")), x))
+    gaps = F.when(F.col("joined"), F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0)))).otherwise(gaps)
+    rest = span(F.coalesce(F.try_element_at("r", F.lit(-1))["last"] + min_ms, F.col("prev") + min_ms, F.lit(0).cast("bigint")), F.col("length"))
+    gaps = F.filter(F.concat(gaps, F.when(F.col("final"), F.array(rest)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))),
+                    lambda x: x["start"] < x["end"])
+    if silent_tracks:
+        # only a block that is its track's last and lies in a silence from 0 can tell that there was no sound
+        whole = F.col("final") & (F.coalesce(F.when(F.col("joined") & (F.size("r") == 1), F.col("open")), F.when(F.size("r") == 1, F.col("r")[0]["first"]),
+                                             F.when(F.size("r") == 0, F.col("open"))) == 0) & (F.size(gaps) == 0)
+        gaps = F.when(whole, F.array(span(none, none))).otherwise(gaps)
+    return d.select("track_id", "length", F.explode(gaps).alias("x")).select("track_id", "x.start", "x.end", "length")
 
 
 def nonsilent_ranges(silences: DataFrame, lengths: DataFrame) -> DataFrame:
-    """What is left of [0, length] between the silences; nothing for a wholly silent track."""
+    """What is left of [0, length] between silences of one's own; nothing for a wholly silent track.
+
+    `sounding_ranges` gives the same for those of silence_ranges without reading the frames again.
+    """
     s = ordered(silences, lag={"_pe": F.col("end")}, order="start")
     head = s.select("track_id", F.coalesce("_pe", F.lit(0)).alias("s"), F.col("start").alias("e"), F.col("_pe").isNull().alias("_first"))
     head = head.where(~(F.col("_first") & (F.col("e") == 0))).drop("_first")
@@ -88,68 +201,71 @@ def nonsilent_ranges(silences: DataFrame, lengths: DataFrame) -> DataFrame:
     return head.unionByName(tail).select("track_id", F.col("s").alias("start"), F.col("e").alias("end"))
 
 
-def keep_ranges(ranges: DataFrame, mid_ms: int, lengths: DataFrame) -> DataFrame:
+def keep_ranges(ranges: DataFrame, mid_ms: int, lengths: DataFrame | None = None) -> DataFrame:
     """Widen the sounding ranges by `mid_ms`, within the track; neighbours that then overlap meet in the middle.
 
-    `lengths` has (track_id, length), as track_lengths gives it.
+    `ranges` has its track's `length`, as sounding_ranges gives it, or `lengths` has (track_id, length).
 
     The middle is between one range's own end and the next one's own start, neither of which an
     earlier meeting moves, so every boundary depends on two neighbours only.
     """
-    r = ranges.select("track_id", "start", (F.col("start") - mid_ms).alias("_s"), (F.col("end") + mid_ms).alias("_e"))
+    if lengths is not None:
+        ranges = ranges.drop("length").join(lengths, "track_id")
+    r = ranges.select("track_id", "start", (F.col("start") - mid_ms).alias("_s"), (F.col("end") + mid_ms).alias("_e"), "length")
     r = ordered(r, lead={"_ns": F.col("_s")}, lag={"_pe": F.col("_e")}, order="start")
     start = F.when(F.col("_pe") > F.col("_s"), F.floor((F.col("_pe") + F.col("_s")) / 2)).otherwise(F.col("_s"))
     end = F.when(F.col("_ns") < F.col("_e"), F.floor((F.col("_e") + F.col("_ns")) / 2)).otherwise(F.col("_e"))
-    r = r.select("track_id", start.cast("bigint").alias("start"), end.cast("bigint").alias("end")).join(lengths, "track_id")
-    return r.select("track_id", F.greatest("start", F.lit(0).cast("bigint")).alias("start"), F.least("end", "length").alias("end"))
+    return r.select("track_id", F.greatest(start.cast("bigint"), F.lit(0).cast("bigint")).alias("start"), F.least(end.cast("bigint"), "length").alias("end"))
 
 
 def trim_edges(frames: DataFrame, threshold: float, lead_ms: int = 100, trail_ms: int = 300, chunk: int = 10) -> DataFrame:
-    """What remains of a track without its quiet edges: (track_id, start, end) in ms.
+    """What remains of a track without its quiet edges: (track_id, start, end) in ms, from two scans of the frames.
 
     Chunks are counted from each end; `lead_ms` and `trail_ms` of the quiet stay. Chunks from the
     end are counted on what the first cut leaves.
     """
-    def quiet(rows: DataFrame, at: Column, length: Column) -> DataFrame:
-        c = rows.groupBy("track_id", F.floor(at / chunk).alias("_c")).agg(
-            F.sum("sumsq").alias("ss"), F.sum("n").alias("sn"), F.max(length).alias("_len"))
+    def loud_chunk(rows: DataFrame, at: Column, *more: str) -> DataFrame:
+        """The first loud chunk, and the last ms, of every track."""
+        c = rows.groupBy("track_id", *more, F.floor(at / chunk).alias("_c")).agg(
+            F.sum("sumsq").alias("ss"), F.sum("n").alias("sn"), F.max("ms").alias("_ms"))
         loud = F.sqrt(F.col("ss") / F.col("sn")) >= threshold
-        return c.groupBy("track_id").agg(
-            F.min(F.when(loud, F.col("_c") * chunk)).alias("_at"), F.max("_len").alias("_len")).select(
-            "track_id", F.least(F.coalesce("_at", "_len"), "_len").alias("quiet"), F.col("_len").alias("length"))
-
-    lengths = track_lengths(frames)
-    f = _with_track(frames, lengths)
-    lead = quiet(f, F.col("ms"), F.col("length")).select(
-        "track_id", F.greatest(F.col("quiet") - lead_ms, F.lit(0)).alias("start"), "length")
-    g = _with_track(frames, lead).where("ms >= start")
-    trail = quiet(g, F.col("length") - 1 - F.col("ms"), F.col("length") - F.col("start"))
-    return lead.join(trail.select("track_id", "quiet"), "track_id", "left").select(
-        "track_id", "start",
-        (F.col("length") - F.greatest(F.coalesce("quiet", F.lit(0)) - trail_ms, F.lit(0))).alias("end"))
-
-
-def _with_track(frames: DataFrame, per_track: DataFrame) -> DataFrame:
-    from .ordered import attach
-    return attach(frames, per_track, order="ms", block=BLOCK_MS, how="inner")
+        return c.groupBy("track_id", *more).agg(F.min(F.when(loud, F.col("_c") * chunk)).alias("_at"), (F.max("_ms") + 1).alias("_length"))
+
+    def quiet(length: Column) -> Column:
+        return F.least(F.coalesce("_at", length), length)
+
+    lead = loud_chunk(frames, F.col("ms")).select(
+        "track_id", F.greatest(quiet(F.col("_length")) - lead_ms, F.lit(0)).alias("start"), F.col("_length").alias("length"))
+    rest = _on_frames(frames, lead).where("ms >= start")
+    trail = loud_chunk(rest, F.col("length") - 1 - F.col("ms"), "start", "length").select(
+        "track_id", quiet(F.col("length") - F.col("start")).alias("quiet"))
+    return lead.join(trail, "track_id", "left").select(
+        "track_id", "start", (F.col("length") - F.greatest(F.coalesce("quiet", F.lit(0)) - trail_ms, F.lit(0))).alias("end"))
 
 
-def split_point(ranges: DataFrame, lengths: DataFrame, max_ms: int = 15000, min_ms: int = 3000,
+def _on_frames(frames: DataFrame, per_track: DataFrame) -> DataFrame:
+    """A track's row on each of its frames. It is copied to the track's blocks, which its `length` tells, so that a long
+    track is joined block by block and the frames are read once."""
+    blocks = per_track.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(length - 1) div {BLOCK_MS}"))))
+    return frames.withColumn("_b", F.expr(f"ms div {BLOCK_MS}").cast("bigint")).join(blocks, ["track_id", "_b"]).drop("_b")
+
+
+def split_point(ranges: DataFrame, lengths: DataFrame | None = None, max_ms: int = 15000, min_ms: int = 3000,
                 over_ms: int = 20000) -> DataFrame:
     """Where to cut a long recording: the last sound that starts in time; (track_id, cut).
 
-    Tracks no longer than `over_ms` and tracks without sound are left whole.
+    `ranges` are sounding_ranges with `silent_tracks`, or any ranges with `lengths` beside them. The sounds that count are
+    those that end in time and the first that does not, so one aggregate per track tells. Tracks no
+    longer than `over_ms` and tracks without sound are left whole.
     """
-    late = ranges.where(F.col("end") > max_ms).groupBy("track_id").agg(F.min("start").alias("_stop"))
-    from .ordered import attach
-    r = attach(ranges, late, order="start", block=BLOCK_MS)
-    best = r.groupBy("track_id").agg(F.max(F.when(
-        (F.col("start") <= max_ms) & (F.col("start") <= F.coalesce("_stop", F.lit(2**62))), F.col("start"))).alias("_best"))
-    out = lengths.join(best.withColumn("_some", F.lit(True)), "track_id", "left")
-    best_ms = F.coalesce("_best", F.lit(0))
-    cut = F.when(best_ms < min_ms, F.least(F.lit(max_ms), F.col("length"))).otherwise(best_ms)
-    whole = (F.col("length") <= over_ms) | F.col("_some").isNull()
-    return out.select("track_id", F.when(whole, F.col("length")).otherwise(cut).alias("cut"))
+    if lengths is not None:
+        ranges = lengths.join(ranges.drop("length"), "track_id", "left")
+    in_time = F.max(F.when(F.col("end") <= max_ms, F.col("start")))
+    over = F.min(F.when(F.col("end") > max_ms, F.col("start")))
+    r = ranges.groupBy("track_id").agg(in_time.alias("_in"), over.alias("_over"), F.max("length").alias("length"), F.max("start").isNotNull().alias("_some"))
+    best = F.coalesce(F.greatest("_in", F.when(F.col("_over") <= max_ms, F.col("_over"))), F.lit(0))
+    cut = F.when(best < min_ms, F.least(F.lit(max_ms), F.col("length"))).otherwise(best)
+    return r.select("track_id", F.when((F.col("length") <= over_ms) | ~F.col("_some"), F.col("length")).otherwise(cut).alias("cut"))
 
 
 def loud_span(frames: DataFrame, below_peak_db: float = 35.0, frame_ms: int = 20, full: float = 1.0) -> DataFrame:

@@ -183,8 +183,7 @@ ns as (select track_id, s as "start", e as "end" from hd where not (first and e
 
 
 def sounding(spark, sf):
-    f = t.frames(spark, sf)
-    return fr.nonsilent_ranges(fr.silence_ranges(f, 3, 30.0, 1), fr.track_lengths(f))
+    return fr.sounding_ranges(t.frames(spark, sf), 3, 30.0)
 
 
 @query("frame_energy", sql="""
@@ -217,14 +216,14 @@ def q_silence2(spark, sf):
 
 @query("nonsilent_ranges", needs=("d4",), sql=RMS + 'select track_id, "start", "end" from ns')
 def q_nonsilent(spark, sf):
-    return sounding(spark, sf)
+    return sounding(spark, sf).drop("length")
 
 
 @query("keep_ranges", needs=("d4",), sql=RMS + """, k as (select track_id, "start" - 2 as s, "end" + 2 as e, lag("end" + 2) over w as pe, lead("start" - 2) over w as nx from ns window w as (partition by track_id order by "start"))
 select track_id, greatest(case when pe > s then (pe + s) // 2 else s end, 0) as "start", least(case when nx < e then (e + nx) // 2 else e end, length) as "end"
 from k join (select track_id, max(ms) + 1 as length from d4 group by all) using (track_id)""")
 def q_keep(spark, sf):
-    return fr.keep_ranges(settle(sounding(spark, sf), "ranges"), 2, fr.track_lengths(t.frames(spark, sf)))
+    return fr.keep_ranges(settle(sounding(spark, sf), "ranges"), 2)
 
 
 @query("trim_edges", needs=("d4",), sql="""
@@ -243,8 +242,7 @@ def q_trim(spark, sf):
 b as (select ns.track_id, max("start") filter ("start" <= 40 and "start" <= coalesce(stop, 1000000)) as best from ns left join lt using (track_id) group by all)
 select ln.track_id, case when length <= 20 or b.track_id is null then length when coalesce(best, 0) < 5 then least(40, length) else best end as cut from ln left join b using (track_id)""")
 def q_split(spark, sf):
-    f = t.frames(spark, sf)
-    return fr.split_point(sounding(spark, sf), fr.track_lengths(f), 40, 5, 20)
+    return fr.split_point(fr.sounding_ranges(t.frames(spark, sf), 3, 30.0, silent_tracks=True), None, 40, 5, 20)
 
 
 @query("loud_span", needs=("d4",), sql="""

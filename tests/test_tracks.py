@@ -247,6 +247,53 @@ def test_silence_matches_a_loop(spark, monkeypatch, least, step):
     assert got == [(a, b) for a, b, _ in want]
 
 
+def ranges_by_loop(power, least, step, limit, end):
+    """Silences and sounds of one track; `power` holds the frames there are."""
+    starts = sorted({*range(0, end - least + 1, step), *([end - least] if end >= least else [])})
+    runs = []
+    for s in starts:
+        there = [power[k] for k in range(s, s + least) if k in power]
+        if there and np.sqrt(np.mean(there)) > limit:
+            continue
+        if runs and (s == runs[-1][1] + step or s <= runs[-1][1] + least):
+            runs[-1][1] = s
+        else:
+            runs.append([s, s])
+    silent = [(a, b + least) for a, b in runs]
+    edges = [0, *[x for r in silent for x in r], end]
+    return silent, [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
+
+
+@pytest.mark.parametrize("least, step, block", [(3, 1, 8), (4, 3, 8), (11, 2, 8), (5, 4, 16), (3, 1, 65536)])
+def test_silence_and_sound_of_many_tracks(spark, monkeypatch, least, step, block):
+    """Loud, quiet and mixed tracks, some with missing frames, in blocks shorter than a window too."""
+    monkeypatch.setattr(fr, "BLOCK_MS", block)
+    rng = np.random.default_rng(least + step)
+    tracks = {k: {i: float(p) for i, p in enumerate(rng.choice([1.0, 0.1 * k, 400.0], 40 + k, p=[.7, .2, .1])) if k % 3 or i == 0 or rng.random() > .05} for k in range(12)}
+    tracks |= {20: dict.fromkeys(range(50), 1.0), 21: dict.fromkeys(range(50), 900.0), 22: {0: 1.0}, 23: {0: 900.0}}
+    df = spark.createDataFrame([(t, i, p, 1) for t, of in tracks.items() for i, p in of.items()], "track_id long, ms long, sumsq double, n int")
+    silent = {(r.track_id, r.start, r.end) for r in fr.silence_ranges(df, least, 8.0, step).collect()}
+    sounds = fr.sounding_ranges(df, least, 8.0, step, silent_tracks=True)
+    heard = [(r.track_id, r.start, r.end) for r in sounds.where("start is not null").collect()]
+    want = {t: ranges_by_loop(of, least, step, 8.0, max(of) + 1) for t, of in tracks.items()}
+    assert silent == {(t, *x) for t, w in want.items() for x in w[0]}
+    assert sorted(heard) == sorted((t, *x) for t, w in want.items() for x in w[1])
+    assert {r.track_id for r in sounds.where("start is null").collect()} == {t for t, w in want.items() if not w[1]}
+    assert {r.track_id for r in fr.split_point(sounds, None, 20, 5, 10).collect()} == set(tracks)
+
+
+def test_frames_are_read_once(spark, tmp_path):
+    spark.range(200).selectExpr("0L as track_id", "id as ms", "double(id % 7) as sumsq", "1 as n").write.parquet(str(tmp_path / "f"))
+    f = spark.read.parquet(str(tmp_path / "f"))
+
+    def scans(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+    assert scans(fr.silence_ranges(f, 3, 2.0)) == scans(fr.sounding_ranges(f, 3, 2.0)) == 1
+    assert scans(fr.split_point(fr.sounding_ranges(f, 3, 2.0, silent_tracks=True))) == 1
+    assert scans(fr.trim_edges(f, 2.0)) <= 3
+
+
 def test_line_errors(spark):
     rows = [("میرا نام ابھیشیک ہے", "میرا نام Abhishek ہے", "ur"), ("یہاں تر نتا مدس", "میرا نام Abhishek ہے اور خوش آمدید", "ur"),
             ("ایم ایل آپس", "ML Ops", "ur"), ("یہاں تر نتا", "بھی جوڑے ہیں", "ur"),
