@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .rerank import choose_candidate
 
 KEPT_MODELS = 2
@@ -75,32 +76,53 @@ def infer(df: DataFrame, load: Callable[[str], Any], run: Callable[[Any, list[st
     return d.mapInPandas(fn, f"{fields}, `{out}` {out_type}, error string")
 
 
+def _hop(units: DataFrame, hop: int, legs: str, load, run, candidates, batch: int = 8) -> DataFrame:
+    """One leg of every row that has one and has not failed: a new `_cur`, or `_options` if it is the last leg and there is
+    something to choose from. Rows sorted by leg, every text given to its model once."""
+    d = units.withColumn("_leg", F.when(F.col("_err").isNull(), F.get(legs, F.lit(hop)))).withColumn("_last", F.size(legs) == hop + 1)
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            now, errors, options = (pdf[c].astype(object) for c in ("_cur", "_err", "_options"))
+            texts = pdf["_cur"].fillna("").str.strip()
+            for (leg, last), rows in texts.groupby([pdf["_leg"], pdf["_last"]]):
+                choose = bool(last) and candidates is not None
+                now.loc[rows.index] = ""
+                rows = rows[rows != ""]
+                answers = _answers(_model(leg, load), candidates if choose else run, rows.tolist(), batch) if len(rows) else []
+                for ix, (o, e) in zip(rows.index, answers):
+                    errors.at[ix] = e
+                    if choose:
+                        options.at[ix] = o
+                    else:
+                        now.at[ix] = None if o is None else o.strip()
+            yield pdf.drop(columns=["_leg", "_last"]).assign(_cur=now, _err=errors, _options=options)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields)
+    return d.sortWithinPartitions("_leg").mapInPandas(fn, fields)
+
+
 def infer_route(units: DataFrame, load, run, *, hops: int = 2, legs: str = "legs", text: str = "text",
                 candidates=None, score=None, keys=("track_id", "unit_id"), spoken_from: str | None = None) -> DataFrame:
     """Translate along each row's legs, one stage per hop; add `translated` and `error`.
 
+    A row carries where it is: its text so far, its error, and the options of its last leg. So every hop is one pass
+    over all rows, without branches, and no model sees a text of a leg twice.
+
     With `candidates` (a run function that returns several options per text) and `score` (takes
-    the exploded options, adds `score`), the last leg is re-ranked.
+    the exploded options, adds `score`), the last leg is re-ranked. The routed rows are then written once, as options and
+    rows are read apart.
     """
-    u = units.withColumn("_cur", F.col(text)).withColumn("_err", F.lit(None).cast("string"))
+    u = units.withColumns({"_cur": F.col(text), "_err": F.lit(None).cast("string"), "_options": F.lit(None).cast("array<string>")})
     for hop in range(hops):
-        leg = F.get(legs, F.lit(hop))
-        last = F.size(legs) == hop + 1
-        todo = leg.isNotNull() & F.col("_err").isNull()
-        rest = u.where(~F.coalesce(todo, F.lit(False)))
-        now = u.where(todo)
-        plain = now if candidates is None else now.where(~last)
-        done = infer(plain, load, run, text="_cur", model=leg, out="_new")
-        done = done.withColumn("_cur", F.trim("_new")).withColumn("_err", F.col("error")).drop("_new", "error")
-        u = rest.unionByName(done)
-        if candidates is not None:
-            many = infer(now.where(last), load, candidates, text="_cur", model=leg, out="_new", out_type="array<string>")
-            options = many.select(*keys, "target", F.col(text).alias("source_text"), F.posexplode("_new").alias("cand_ix", "text"))
-            best = choose_candidate(score(options), keys=keys, spoken_from=spoken_from).select(*keys, F.col("text").alias("_best"))
-            many = many.join(best, list(keys), "left").withColumn("_cur", F.coalesce(F.trim("_best"), F.lit("")))
-            u = u.unionByName(many.withColumn("_err", F.col("error")).drop("_new", "error", "_best"))
+        u = _hop(u, hop, legs, load, run, candidates)
     left = F.size(legs) - hops          # a longer route ends in a language on the way: that is no translation
+    if candidates is not None:
+        u = settle(u, "routed")
+        options = u.where("_options is not null").select(*keys, "target", F.col(text).alias("source_text"), F.posexplode("_options").alias("cand_ix", "text"))
+        best = choose_candidate(score(options), keys=keys, spoken_from=spoken_from).select(*keys, F.col("text").alias("_best"))
+        u = u.join(best, list(keys), "left").withColumn("_cur", F.coalesce(F.trim("_best"), "_cur")).drop("_best")
     unfinished = F.concat(F.lit("the route has "), left.cast("string"), F.lit(" more legs than hops"))
     u = u.withColumn("_err", F.when(F.col("_err").isNull() & (left > 0), unfinished).otherwise(F.col("_err")))
     u = u.withColumn("_cur", F.when(left > 0, F.lit(None)).otherwise(F.col("_cur")))
-    return u.withColumnRenamed("_cur", "translated").withColumnRenamed("_err", "error")
+    return u.drop("_options").withColumnRenamed("_cur", "translated").withColumnRenamed("_err", "error")

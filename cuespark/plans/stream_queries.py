@@ -14,6 +14,7 @@ from ..streaming import streams
 from . import tables as t, workflow as wf
 from .file_queries import STATUS
 from .cue_queries import UNITS_SQL
+from .quality_queries import PENALTY
 from .registry import query
 
 # Tokens of the given texts stand for Urdu words by their place in the word list.
@@ -107,14 +108,33 @@ def routed_units(spark, sf):
     return u.join(routes, ["language", "target"])
 
 
-@query("infer_route")
+# The languages of the routed units are en, fr and zh by turns; only the last is written without blanks.
+ROUTED_SQL = UNITS_SQL + """
+, ru as (
+  select w.track_id, w.unit_id, case when w.track_id % 3 = 2 then string_agg(trim(d0.text), '' order by d0.id) else string_agg(trim(d0.text), ' ' order by d0.id) end as text
+  from walk w join d0 using (track_id, id) group by w.track_id, w.unit_id),
+rl as (
+  select *, case track_id % 3 when 0 then 'en-ur' when 1 then 'fr-en,en-ur' else 'zh-en,en-ur' end as legs,
+    case track_id % 3 when 0 then trim(text) when 1 then concat('[fr-en] ', lower(trim(text))) else concat('[zh-en] ', lower(trim(text))) end as cur from ru)
+"""
+
+
+@query("infer_route", needs=("islands",), sql=ROUTED_SQL + """
+select track_id, unit_id, legs, case when trim(text) = '' then '' else concat('[en-ur] ', lower(cur)) end as translated, cast(null as varchar) as error from rl""")
 def q_route(spark, sf):
     u = settle(routed_units(spark, sf), "routed")
     out = inf.infer_route(u, toy_load, toy_run)
     return out.select("track_id", "unit_id", F.array_join("legs", ",").alias("legs"), "translated", "error")
 
 
-@query("infer_route_reranked")
+@query("infer_route_reranked", needs=("islands",), sql=ROUTED_SQL + f"""
+, op as (
+  select track_id, unit_id, 'ur' as target, text as src, 0 as cand_ix, concat('[en-ur] ', lower(cur)) as out from rl where trim(text) <> ''
+  union all select track_id, unit_id, 'ur', text, 1, reverse(cur) from rl where trim(text) <> ''
+  union all select track_id, unit_id, 'ur', text, 2, cur from rl where trim(text) <> ''),
+sc as (select *, 1.0::double - abs(length(out) - length(src) - 3) / 100.0::double - {PENALTY} as score from op),
+bt as (select * from sc qualify row_number() over (partition by track_id, unit_id order by score desc, cand_ix) = 1)
+select track_id, unit_id, coalesce(trim(out), '') as translated, cast(null as varchar) as error from rl left join bt using (track_id, unit_id)""")
 def q_route_rerank(spark, sf):
     u = settle(routed_units(spark, sf), "routed")
 

@@ -172,6 +172,33 @@ def test_infer_isolates_bad_rows(spark):
     assert got == {0: ("A", None), 1: (None, "ValueError: no"), 2: ("", None), 3: ("C", None)}
 
 
+@pytest.mark.parametrize("choose", [False, True])
+def test_route_asks_every_model_once(spark, tmp_path, choose):
+    """Each text goes to the model of each of its legs once, whatever else the route does."""
+    log = str(tmp_path / "asked")
+
+    def ask(model, texts):
+        if any("bad" in x for x in texts):
+            raise ValueError("no")
+        with open(log, "a") as f:
+            f.writelines(f"{model}|{x}\n" for x in texts)
+        return [f"{model}({x})" for x in texts]
+
+    def options(model, texts):
+        return [[x, x + "!"] for x in ask(model, texts)]
+
+    rows = [(0, 0, "a", ["x-y"]), (0, 1, "b", ["x-y", "y-z"]), (0, 2, " ", ["x-y", "y-z"]), (0, 3, "bad", ["x-y", "y-z"]), (0, 4, "c", None),
+            (0, 5, "d", ["x-y", "y-z", "z-u"]), (0, 6, None, ["x-y"])]
+    df = spark.createDataFrame(rows, "track_id int, unit_id int, text string, legs array<string>").withColumn("target", F.lit("fr"))
+    out = infer.infer_route(df.repartition(3), lambda k: k, ask, **({"candidates": options, "score": lambda o: o.withColumn("score", F.length("text"))} if choose else {}))
+    got = {r.unit_id: (r.translated, r.error) for r in out.collect()}
+    mark = "!" if choose else ""
+    assert got == {0: ("x-y(a)" + mark, None), 1: ("y-z(x-y(b))" + mark, None), 2: ("", None), 3: (None, "ValueError: no"), 4: ("c", None),
+                   5: (None, "the route has 1 more legs than hops"), 6: ("", None)}
+    with open(log) as f:
+        assert sorted(f.read().split()) == sorted(["x-y|a", "x-y|b", "y-z|x-y(b)", "x-y|d", "y-z|x-y(d)"])
+
+
 def test_workflow_keeps_and_rejects_tracks(spark):
     c = tables.cues(spark, SF)
     n = c.where("language = 'fr'").count()
