@@ -212,31 +212,6 @@ def q_times(spark, sf):
         T.lrc_time("end").alias("lrc"), T.ass_time("end").alias("ass"))
 
 
-@query("wrap_text")
-def q_wrap(spark, sf):
-    c = t.read(spark, sf, "conversations")
-    return c.select("conv_id", "turn", F.array_join(wrap_text("text"), "\n").alias("wrapped"))
-
-
-# The longest line of two balanced ones: every split is scored, the first best one wins.
-WRAP_CUES_SQL = """
-, k as (select track_id, id, text, unnest(range(1, len(string_split(text, ' ')))) as k from d0 where length(text) > 24),
-s as (select *, array_to_string(string_split(text, ' ')[1:k], ' ') as top, array_to_string(string_split(text, ' ')[k+1:], ' ') as bottom from k),
-sc as (select *, abs(length(top) - length(bottom))::double - case when regexp_matches(top, '[.,?!;:]$') then 6.0 else 0.0 end
-  + case when length(top) > length(bottom) then 2.0 else 0.0 end as score from s where length(top) <= 24 and length(bottom) <= 24),
-b as (select track_id, id, arg_min(concat(top, chr(10), bottom), (score, k)) as wrapped from sc group by all)
-select track_id, id, case when length(text) <= 24 then text else wrapped end as wrapped
-from d0 left join b using (track_id, id) where length(text) <= 24 or wrapped is not null"""
-
-
-@query("wrap_balanced", needs=("d0",), sql=WRAP_CUES_SQL)
-def q_wrap_balanced(spark, sf):
-    """Two-line wrapping of cues that fit on two lines of 24 characters."""
-    c = t.cues(spark, sf).select("track_id", "id", "text", wrap_text("text", 24).alias("w"))
-    return c.where("text <> '' and size(w) <= 2 and forall(w, x -> length(x) <= 24)").select(
-        "track_id", "id", F.array_join("w", "\n").alias("wrapped"))
-
-
 @query("finish_sentence", needs=("d0",), sql=r"""
 select track_id, id, case when trim(text) = '' or regexp_matches(trim(text), '[.!?…。！？؟।۔,;:،，、"'')\]»”’]$') then trim(text)
   else concat(trim(text), case language when 'hi' then '।' when 'ur' then '۔' when 'ja' then '。' when 'zh' then '。' else '.' end) end as spoken from d0""")
@@ -283,19 +258,31 @@ TIMED_SQL = """
 , n as (select *, coalesce(lead("start") over (partition by track_id order by id), 'infinity'::double) as nx, greatest("end", "start") as e1 from d0),
 e as (select *, case when e1 > nx and nx > "start" then nx else e1 end as e2,
    "start" + least(greatest(0.5::double, length(text) / 17.0::double), 7.0::double) as wanted from n),
-tm as (select track_id, id, "start", case when e2 < wanted then greatest(e2, least(wanted, nx)) else e2 end as "end", trim(text) as text,
+tm as (select track_id, id, "start", case when e2 < wanted then greatest(e2, least(wanted, nx)) else e2 end as "end", trim(text) as text, language,
    row_number() over (partition by track_id order by id) as num from e where trim(text) <> ''),
 """
-# Wrapping for writers: cues hold five tokens, so one line, or two balanced lines, or one line per long token.
-LINES_SQL = """k as (select track_id, id, text, unnest(range(1, len(string_split(text, ' ')))) as k from tm where length(text) > 42),
+def lines_sql(table: str, keys: str, limit: str) -> str:
+    """`ln`: the rows of a table with `w`, the display lines of `text`: one that fits, even pieces of an unbroken text, the best two
+    balanced ones, or lines filled word by word, long words in even pieces."""
+    size = "cast(ceil(length({0}) / ceil(length({0}) / lim::double)) as bigint)"
+    pieces = f"list_transform(generate_series(1, length({{0}}), {size}), lambda i: substr({{0}}, i, {size}))"
+    word = f"case when length(x) > lim then array_to_string({pieces.format('x')}, chr(10)) else x end"
+    return f"""lm as (select *, {limit} as lim from {table}),
+k as (select {keys}, text, lim, unnest(range(1, len(string_split(text, ' ')))) as k from lm where length(text) > lim and length(text) <= 2 * lim + 1),
 s as (select *, array_to_string(string_split(text, ' ')[1:k], ' ') as top, array_to_string(string_split(text, ' ')[k+1:], ' ') as bottom from k),
-sc as (select *, abs(length(top) - length(bottom))::double - case when regexp_matches(top, '[.,?!;:]$') then 10.5 else 0.0 end
-  + case when length(top) > length(bottom) then 2.0 else 0.0 end as score from s where length(top) <= 42 and length(bottom) <= 42),
-b as (select track_id, id, arg_min([top, bottom], (score, k)) as w from sc group by all),
-ln as (select tm.*, case when length(tm.text) <= 42 then [tm.text] else b.w end as w from tm left join b using (track_id, id))
+sc as (select *, abs(length(top) - length(bottom))::double - case when regexp_matches(top, '[.,?!;:]$') then lim * 0.25::double else 0.0 end
+  + case when length(top) > length(bottom) then 2.0 else 0.0 end as score from s where length(top) <= lim and length(bottom) <= lim),
+b as (select {keys}, arg_min([top, bottom], (score, k)) as two from sc group by all),
+ln as (select lm.*, case when text = '' then [] when length(text) <= lim then [text] when not contains(text, ' ') then {pieces.format('text')} when two is not null then two
+  else string_split(list_reduce(list_transform(string_split(text, ' '), lambda x: {word}),
+    lambda y, x: case when length(string_split(y, chr(10))[-1]) + 1 + length(x) <= lim then concat(y, ' ', x) else concat(y, chr(10), x) end), chr(10)) end as w
+  from lm left join b using ({keys}))
 """
 
 
+LINES_SQL = lines_sql("tm", "track_id, id", f"case when language in ({quoted(K.NO_SPACE_LANGUAGES)}) then 16 else 42 end")
+
+
 @query("write_srt", needs=("d0",), sql=TIMED_SQL + LINES_SQL + f"""
 select track_id, count(*) as n_cues, string_agg(concat(num, chr(10), replace({clock_sql('"start"', 1000, '%02d')}, '.', ','), ' --> ',
   replace({clock_sql('"end"', 1000, '%02d')}, '.', ','), chr(10), array_to_string(w, chr(10)), chr(10)), chr(10) order by id) as document
@@ -377,7 +364,21 @@ def q_read_subtitles(spark, sf):
     return good.unionByName(wrong)
 
 
-@query("hard_to_read", needs=("d0",), sql=TIMED_SQL + LINES_SQL + """
+@query("wrap_text", sql="with tx as (select conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from conversations), "
+       + lines_sql("tx", "conv_id, turn", "42") + "select conv_id, turn, array_to_string(w, chr(10)) as wrapped from ln")
+def q_wrap(spark, sf):
+    c = t.read(spark, sf, "conversations")
+    return c.select("conv_id", "turn", F.array_join(wrap_text("text"), "\n").alias("wrapped"))
+
+
+@query("wrap_balanced", needs=("d0",), sql=", tm as (select track_id, id, trim(text) as text from d0), " + lines_sql("tm", "track_id, id", "8 + id % 17")
+       + "select track_id, id, array_to_string(w, chr(10)) as wrapped from ln")
+def q_wrap_balanced(spark, sf):
+    """Every cue at limits from 8 to 24: balanced lines, filled ones and words that are longer than a line."""
+    return t.cues(spark, sf).select("track_id", "id", F.array_join(wrap_text("text", (8 + F.col("id") % 17).cast("int")), "\n").alias("wrapped"))
+
+
+@query("hard_to_read", needs=("d0",), sql=TIMED_SQL + lines_sql("tm", "track_id, id", "42") + """
 select track_id, count(*) filter (length(text) / ("end" - "start") > 17.0::double or len(w) > 2) as hard_cues, count(*) as n_cues from ln group by track_id""")
 def q_hard(spark, sf):
     """How many cues of each track stay too fast or too tall after timing repair."""

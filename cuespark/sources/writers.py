@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import (
-    ass_time, cue_text, lrc_time, sbv_time, srt_time, vtt_escape, vtt_time)
+    ass_time, cue_text, line_limit, lrc_time, sbv_time, srt_time, vtt_escape, vtt_time)
 from ..functions.wrap import wrap_text
 from ..operators.ordered import ordered
 
@@ -46,21 +46,23 @@ def _shown(cues: DataFrame, translated: bool) -> DataFrame:
     return cues.withColumn("_text", cue_text(cues.columns, translated)).where("_text <> ''")
 
 
-def _lines(max_len, max_lines: int) -> Column:
-    return wrap_text("_text", max_len, max_lines)
+def _lines(cues: DataFrame, max_len: int, max_lines: int) -> Column:
+    """Lines of `max_len`, or shorter ones where the track's script, else its language, is written without spaces."""
+    told = [F.when(F.col(c) != "", F.col(c)) for c in ("script", "language") if c in cues.columns]
+    return wrap_text("_text", line_limit(F.coalesce(*told), max_len) if told else max_len, max_lines)
 
 
 def write_srt(cues: DataFrame, *, translated=False, max_len=K.MAX_LINE_LENGTH, max_lines=K.MAX_LINES) -> DataFrame:
     rows = ordered(_shown(cues, translated), sums={"_n": F.lit(1).cast("bigint")})
     entry = F.concat_ws("\n", (F.col("_n") + 1).cast("string"),
                         F.concat(srt_time("start"), F.lit(" --> "), srt_time("end")),
-                        F.array_join(_lines(max_len, max_lines), "\n"), F.lit(""))
+                        F.array_join(_lines(cues, max_len, max_lines), "\n"), F.lit(""))
     return _documents(rows, entry)
 
 
 def write_vtt(cues: DataFrame, *, translated=False, max_len=K.MAX_LINE_LENGTH, max_lines=K.MAX_LINES) -> DataFrame:
     entry = F.concat_ws("\n", F.concat(vtt_time("start"), F.lit(" --> "), vtt_time("end")),
-                        F.array_join(F.transform(_lines(max_len, max_lines), vtt_escape), "\n"), F.lit(""))
+                        F.array_join(F.transform(_lines(cues, max_len, max_lines), vtt_escape), "\n"), F.lit(""))
     return _documents(_shown(cues, translated), entry, header="WEBVTT\n\n")
 
 
@@ -71,13 +73,13 @@ def write_lrc(cues: DataFrame, *, translated=False) -> DataFrame:
 
 def write_sbv(cues: DataFrame, *, translated=False, max_len=K.MAX_LINE_LENGTH, max_lines=K.MAX_LINES) -> DataFrame:
     entry = F.concat_ws("\n", F.concat(sbv_time("start"), F.lit(","), sbv_time("end")),
-                        F.array_join(_lines(max_len, max_lines), "\n"), F.lit(""))
+                        F.array_join(_lines(cues, max_len, max_lines), "\n"), F.lit(""))
     return _documents(_shown(cues, translated), entry)
 
 
 def write_ass(cues: DataFrame, *, translated=False, max_len=K.MAX_LINE_LENGTH, max_lines=K.MAX_LINES) -> DataFrame:
     entry = F.concat(F.lit("Dialogue: 0,"), ass_time("start"), F.lit(","), ass_time("end"),
-                     F.lit(",Default,,0,0,0,,"), F.array_join(_lines(max_len, max_lines), "\\N"))
+                     F.lit(",Default,,0,0,0,,"), F.array_join(_lines(cues, max_len, max_lines), "\\N"))
     return _documents(_shown(cues, translated), entry, header="\n".join(ASS_HEADER) + "\n")
 
 
