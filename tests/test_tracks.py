@@ -162,10 +162,9 @@ def place(lines, rate, top):
         if media is not None:
             room = min(room, media - s)
             slot = min(slot, room)
-        size, speed = layout._frames_at(samples, rate)(1.0), 1.0
+        size = max(1, round(samples * 48000 / rate))
         if size > slot and top > 1.0:
-            speed = min(size / slot, top)
-            size = layout._frames_at(samples, rate)(speed)
+            size = max(1, round(int(samples / min(size / slot, top)) * 48000 / rate))
         out.append((line, s, size > room))
         written = s + min(size, room)
     return out
@@ -294,6 +293,26 @@ def test_frames_are_read_once(spark, tmp_path):
     assert scans(fr.trim_edges(f, 2.0)) <= 3
 
 
+@pytest.mark.parametrize("n, most", [(1, 6), (2, 1), (40, 6), (41, 1), (60, 100)])
+def test_merging_is_average_linkage(n, most):
+    """Against the mean over all pairs of members, looked up anew before every merge."""
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=(n, 5)) + 2 * rng.normal(size=(4, 5))[rng.integers(4, size=n)]
+    v[n // 2:] = v[:n - n // 2] if n % 2 else v[n // 2:]              # ties
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    groups = [[i] for i in range(n)]
+    while len(groups) > 1:
+        pairs = [(round(-float(np.mean(v[a] @ v[b].T)), 9), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
+        s, i, j = min(pairs)
+        if len(groups) <= most and -s < 0.5:
+            break
+        groups[i] += groups.pop(j)
+    want = np.empty(n, int)
+    for k, g in enumerate(groups):
+        want[g] = k
+    assert (speakers.merge_most_similar(v, most) == want).all()
+
+
 def test_line_errors(spark):
     rows = [("میرا نام ابھیشیک ہے", "میرا نام Abhishek ہے", "ur"), ("یہاں تر نتا مدس", "میرا نام Abhishek ہے اور خوش آمدید", "ur"),
             ("ایم ایل آپس", "ML Ops", "ur"), ("یہاں تر نتا", "بھی جوڑے ہیں", "ur"),
