@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..sources.folders import FolderTree
 
 WORD = r"(?U)([\s._\-\[(]+)([A-Za-z]+)[\])]?\s*$"
 TAGS = r"(?iU)([\s._\-\[(]+(" + "|".join(K.SUBTITLE_TAGS) + r")[\])]?\s*)+$"
 SEPARATORS = " ._-[("
 
 
+def walk_folders(spark: SparkSession, roots: Sequence[str], extensions: Sequence[str]) -> DataFrame:
+    """(path, bytes, error): files below the roots, and folders that could not be read.
+
+    Folders of a mounted file system are walked in parallel, subtree by subtree; a root of another store is listed by
+    Spark's own file reader, which fails on folders that it cannot read.
+    """
+    wanted = [e.lower().lstrip(".") for e in extensions]
+    stores = [r for r in roots if "://" in r and not r.startswith("file:")]
+    mounted = [r for r in roots if r not in stores]
+    found = None
+    if mounted or not stores:
+        spark.dataSource.register(FolderTree)
+        f = spark.read.format("folder_tree").option("roots", json.dumps(mounted)).load()
+        found = f.where(F.col("error").isNotNull() | extension("path").isin(wanted))
+    if stores:
+        any_case = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in wanted]
+        s = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .option("ignoreMissingFiles", True).option("pathGlobFilter", "*.{" + ",".join(any_case) + "}")
+             .load(stores).select("path", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("error")))
+        found = s if found is None else found.unionByName(s)
+    return found
+
+
 def scan_files(spark: SparkSession, roots: Sequence[str], extensions: Sequence[str]) -> DataFrame:
     """(path, bytes) of files below the roots, in the order a file browser lists them.
 
     Only names and sizes are read. A folder's own files come before its subfolders, both in
-    case-insensitive order.
+    case-insensitive order. Links to folders are not followed; folders that cannot be read are left out, walk_folders names them.
     """
-    any_case = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e.lstrip(".")) for e in extensions]
-    f = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-         .option("ignoreMissingFiles", True).option("pathGlobFilter", "*.{" + ",".join(any_case) + "}")
-         .load(list(roots)).select("path", F.col("length").alias("bytes")))
-    f = f.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
-    return f.orderBy(browse_key("path"))
+    return walk_folders(spark, roots, extensions).where("error is null").select("path", "bytes").orderBy(browse_key("path"))
 
 
 def browse_key(path: str) -> Column:

@@ -283,10 +283,12 @@ ln as (select lm.*, case when text = '' then [] when length(text) <= lim then [t
 LINES_SQL = lines_sql("tm", "track_id, id", f"case when language in ({quoted(K.NO_SPACE_LANGUAGES)}) then 16 else 42 end")
 
 
-@query("write_srt", needs=("d0",), sql=TIMED_SQL + LINES_SQL + f"""
-select track_id, count(*) as n_cues, string_agg(concat(num, chr(10), replace({clock_sql('"start"', 1000, '%02d')}, '.', ','), ' --> ',
+SRT_DOCUMENTS_SQL = f"""select track_id, count(*) as n_cues, string_agg(concat(num, chr(10), replace({clock_sql('"start"', 1000, '%02d')}, '.', ','), ' --> ',
   replace({clock_sql('"end"', 1000, '%02d')}, '.', ','), chr(10), array_to_string(w, chr(10)), chr(10)), chr(10) order by id) as document
-from ln group by track_id""")
+from ln group by track_id"""
+
+
+@query("write_srt", needs=("d0",), sql=TIMED_SQL + LINES_SQL + SRT_DOCUMENTS_SQL)
 def q_srt(spark, sf):
     return writers.write_srt(timed(spark, sf)).select("track_id", "n_cues", "document")
 

@@ -8,8 +8,10 @@ from .. import constants as K
 from ..operators import files as fl, jobs as jb, routing as rt
 from ..operators.timing import latest_cues
 from ..session import fresh_path
-from ..sources import results as rs, writers
+from ..sources import results as rs, sink, writers
+from ..sources.folders import local_path
 from . import tables as t
+from .cue_queries import LINES_SQL, SRT_DOCUMENTS_SQL, TIMED_SQL, timed
 from .registry import query
 from .tables_sql import quoted
 
@@ -236,15 +238,16 @@ def q_utterances(spark, sf):
     return rs.parse_utterances(lines).select("file", "text", "gender")
 
 
-@query("scan_files", sql="select concat('track', conv_id) as name, 'subtitle' as kind from (select distinct conv_id from conversations)")
+@query("scan_files", needs=("d0",), sql=TIMED_SQL + LINES_SQL + f"""
+, dc as ({SRT_DOCUMENTS_SQL})
+select concat('Season ', track_id % 5, '/track', track_id, '.srt') as path, strlen(document) as bytes, 'SRT' as ext, 'subtitle' as kind from dc""")
 def q_scan(spark, sf):
-    """Subtitle files of all tracks, written to the shared folder and found again."""
-    docs = writers.write_srt(t.cues(spark, sf))
-    path = fresh_path(spark, "library")
-    docs.select(F.concat(F.lit("track"), F.col("track_id").cast("string")).alias("name"), F.col("document").alias("value")).write.partitionBy(
-        "name").text(path)
-    found = fl.scan_files(spark, [path], ["TXT"]).where("bytes > 0")
-    return found.select(F.regexp_extract("path", r"name=([^/]*)/", 1).alias("name"), F.lit("subtitle").alias("kind")).distinct()
+    """Subtitle files of all tracks, written to folders of the shared folder and found again."""
+    path = local_path(fresh_path(spark, "library"))
+    name = F.concat(F.lit(f"{path}/Season "), (F.col("track_id") % 5).cast("string"), F.lit("/track"), F.col("track_id").cast("string"), F.lit(".srt"))
+    sink.save_files(writers.write_srt(timed(spark, sf)).select(name.alias("output"), "document"))
+    found = fl.classify(fl.scan_files(spark, [path], [".srt", ".MP4"]))
+    return found.select(F.substring("path", len(path) + 2, 1000).alias("path"), "bytes", "ext", "kind")
 
 
 @query("load_results", needs=("d7",), sql="""

@@ -11,6 +11,7 @@ from cuespark.operators import build, files, infer, jobs, rerank, routing, units
 from cuespark.functions.text import ends_sentence
 from cuespark.plans import stream_queries as sq, tables, workflow as wf
 from cuespark.sources import results, subtitles, writers
+from cuespark.sources.folders import FolderReader
 from cuespark.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +39,27 @@ def test_scan(spark, tmp_path):
     assert {r.bytes for r in got} == {5}
 
 
+def test_walk_of_many_folders(spark, tmp_path):
+    """Links are not followed, folders that can't be read are told, every subtree is walked once whatever the split."""
+    for d in range(40):
+        for k in range(d % 4):
+            p = tmp_path / f"root/d{d % 7}/e{d}/f{k}"
+            p.mkdir(parents=True, exist_ok=True)
+            (p / f"x{k}.SRT").write_text("x" * k)
+            (p / "skip.txt").write_text("no")
+    (tmp_path / "root/own.srt").write_text("own")
+    os.symlink(tmp_path / "root/d1", tmp_path / "root/link")
+    os.symlink(tmp_path / "root/own.srt", tmp_path / "root/alias.srt")
+    want = sorted((str(p), p.stat().st_size) for p in (tmp_path / "root").rglob("*") if p.suffix.lower() == ".srt" and "link" not in p.parts)
+    for split in (1, 6, 256):
+        reader = FolderReader([str(tmp_path / "root")], split)
+        rows = [r for p in reader.partitions() for r in reader.read(p) if r[0].lower().endswith(".srt")]
+        assert sorted(r[:2] for r in rows) == want
+    rows = files.walk_folders(spark, [str(tmp_path / "root"), f"file://{tmp_path}/missing"], ["srt"]).collect()
+    assert sorted((r.path, r.bytes) for r in rows if r.error is None) == want
+    assert [r.error for r in rows if r.error] == [f"Skipped {tmp_path}/missing: No such file or directory"]
+
+
 def test_paths(spark):
     d = spark.createDataFrame([("/a/./b//c/../d.srt",), ("x/../../y",), ("/q",)], "path string")
     assert [r[0] for r in d.select(files.normal_path("path")).collect()] == ["/a/b/d.srt", "../y", "/q"]
