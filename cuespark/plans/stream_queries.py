@@ -9,11 +9,12 @@ from ..functions import script_tables as S
 from ..functions.text import ends_sentence
 from ..operators import infer as inf, rerank as rr, routing as rt, units
 from ..session import fresh_path, settle
-from ..sources import writers
+from ..sources import sink, writers
+from ..sources.folders import local_path
 from ..streaming import streams
 from . import tables as t, workflow as wf
 from .file_queries import STATUS
-from .cue_queries import UNITS_SQL
+from .cue_queries import LINES_SQL, SRT_DOCUMENTS_SQL, TIMED_SQL, UNITS_SQL, timed
 from .quality_queries import PENALTY
 from .registry import query
 
@@ -200,12 +201,13 @@ def q_unit_stream(spark, sf):
     return streams.drain(streams.sentence_unit_stream(staged(c, "cues")), "units", "append").drop("batch")
 
 
-@query("file_arrival_stream", sql="select count(distinct conv_id) as files, 'subtitle' as kind from conversations")
+@query("file_arrival_stream", needs=("d0",), sql=TIMED_SQL + LINES_SQL + f"""
+, dc as ({SRT_DOCUMENTS_SQL})
+select concat('track', track_id, '.srt') as path, strlen(document) as bytes, 'SRT' as ext, 'subtitle' as kind from dc""")
 def q_files_stream(spark, sf):
-    docs = writers.write_srt(t.cues(spark, sf)).select("track_id", "document")
-    path = fresh_path(spark, "arrivals")
-
-    docs.select(F.concat(F.lit("track"), F.col("track_id").cast("string")).alias("name"), F.col("document").alias("value")).write.partitionBy("name").text(path)
-    f = streams.drain(streams.file_arrival_stream(spark, path, "*.txt"), "files", "append")
-    return f.select(F.regexp_extract("path", r"name=([^/]*)/", 1).alias("name")).distinct().agg(
-        F.count(F.lit(1)).alias("files")).withColumn("kind", F.lit("subtitle"))
+    """Subtitle files of all tracks, as they are found in the folder they were written to."""
+    path = local_path(fresh_path(spark, "arrivals"))
+    name = F.concat(F.lit(f"{path}/track"), F.col("track_id").cast("string"), F.lit(".srt"))
+    sink.save_files(writers.write_srt(timed(spark, sf)).select(name.alias("output"), "document"))
+    f = streams.drain(streams.file_arrival_stream(spark, path, "*.srt", forget="1 day"), "files", "append")
+    return f.select(F.substring("path", len(path) + 2, 1000).alias("path"), "bytes", "ext", "kind")

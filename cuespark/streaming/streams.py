@@ -313,13 +313,16 @@ def sentence_unit_stream(cues: DataFrame, timeout_ms: int | None = None) -> Data
 
 # --- files ---------------------------------------------------------------------------------------------
 
-def file_arrival_stream(spark: SparkSession, root: str, pattern: str = "*", files_per_batch: int = 2000) -> DataFrame:
+def file_arrival_stream(spark: SparkSession, root: str, pattern: str = "*", files_per_batch: int = 2000, forget: str | None = None) -> DataFrame:
     """New files under a folder as they are found: (path, bytes, ext, kind), each path once.
 
-    Only names and sizes are read. Paths already seen are dropped by the stream's own state.
+    Only names and sizes are read. Paths already seen are dropped by the stream's own state. With `forget`, a span such as
+    "7 days", a path is remembered only until files that are younger by so much have come, so the state does not grow for ever.
     """
     f = (spark.readStream.format("binaryFile")
          .schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
          .option("maxFilesPerTrigger", files_per_batch).load(root))
-    f = f.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("bytes"))
-    return classify(f.withColumn("path", normal_path("path"))).dropDuplicates(["path"])
+    f = f.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("bytes"), "modificationTime")
+    f = classify(f.withColumn("path", normal_path("path")))
+    seen = f.withWatermark("modificationTime", forget).dropDuplicatesWithinWatermark(["path"]) if forget else f.dropDuplicates(["path"])
+    return seen.drop("modificationTime")

@@ -261,6 +261,18 @@ def test_cue_stream_equals_batch(spark, chunk):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
 
 
+def test_seen_paths_are_forgotten(spark, tmp_path, one_partition):
+    """The state holds the paths of the last while only."""
+    for i in range(6):
+        (tmp_path / f"{i}.srt").write_text("x")
+        os.utime(tmp_path / f"{i}.srt", (1_700_000_000 + i * 86_400,) * 2)
+    s = streams.file_arrival_stream(spark, str(tmp_path), "*.srt", files_per_batch=1, forget="1 day")
+    q = s.writeStream.format("memory").queryName("seen").option("checkpointLocation", session.fresh_path(spark, "s")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("seen").count() == 6
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+
+
 def test_file_stream(spark, tmp_path):
     for p in ("a.srt", "b/c.mp4"):
         (tmp_path / p).parent.mkdir(exist_ok=True)
