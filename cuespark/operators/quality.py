@@ -265,13 +265,16 @@ def speech_report(summary: DataFrame, unsupported: str | None = None) -> DataFra
     s = summary.where(F.col(unsupported).isNull()) if unsupported else summary
     pct = lambda c: F.format_string("%.0f%%", F.bround(F.col(c) * 100, 0))
     rank = F.when(F.col("engine") == "native", 0).otherwise(1)
+
+    def shown(c: str, form: str) -> Column:
+        return F.coalesce(F.when(F.col(c).isNotNull(), F.format_string(form, c)), F.lit("-")) if c in s.columns else F.lit("-")
+
     s = s.select(
         "language", "engine", F.format_string("%.3f", "cer_mean").alias("mean_cer"),
         pct("failed_rate").alias("failed_lines"), pct("babble_rate").alias("babble"),
         F.format_string("%.2fx", "rate_vs_native").alias("rate"),
-        F.coalesce(F.when(F.col("similarity_median").isNotNull(), F.format_string("%.3f", "similarity_median")), F.lit("-")).alias("speaker_sim"),
-        rank.alias("rank"))
-    return s.orderBy("language", "rank", "engine")
+        shown("similarity_median", "%.3f").alias("speaker_sim"), shown("real_time_factor", "%.2f").alias("rtf"))
+    return s.orderBy("language", rank, "engine")
 
 
 # --- benchmark sampling ----------------------------------------------------------------------------------

@@ -152,22 +152,31 @@ def choose_take(takes: DataFrame, keys: Sequence[str] = ("track_id", "line_no"),
 
 def guard_runaway(takes: DataFrame, rate: int = 24000, speed: float = 1.0,
                   keys: Sequence[str] = ("track_id", "line_no")) -> DataFrame:
-    """The first take of plausible length; if all run on, the shortest, cut to a plausible length."""
+    """The first take of plausible length; if all run on, the shortest, cut to a plausible length.
+
+    `frames`, if given, is how many decoder frames a take has: it can only be cut between two of them. The result then has
+    `kept_frames`, and `kept_samples` is their share of the take; else the cut is to the sample.
+    """
+    framed = "frames" in takes.columns
     keys = list(keys)
     expected = F.greatest(F.lit(K.RUNAWAY_MIN_EXPECTED), F.col("n_chars") * K.RUNAWAY_SECONDS_PER_CHAR) / F.lit(speed)
     longest = F.floor((expected * K.RUNAWAY_FACTOR + K.RUNAWAY_MARGIN) * rate)
     ok = F.col("n_samples") <= longest
     t = takes.withColumn("_bad", (~ok).cast("int"))
     best = t.groupBy(*keys).agg(F.min_by(
-        F.struct("attempt", "n_samples", "n_chars", "_bad"),
+        F.struct("attempt", "n_samples", "n_chars", "_bad", *(["frames"] if framed else [])),
         F.struct("_bad", F.when(ok, F.col("attempt").cast("bigint")).otherwise(F.col("n_samples").cast("bigint")), "attempt")).alias("_b"))
     best = best.select(*keys, "_b.*")
-    # The cut is a share of the take, applied to its own length in samples.
-    capped = F.greatest(F.lit(1).cast("bigint"), F.floor(
-        F.col("n_samples") * expected * K.RUNAWAY_CAP * rate / F.col("n_samples")))
+    bad = F.col("_bad") == 1
+    if framed:
+        fit = F.greatest(F.lit(1), F.floor(F.col("frames") * expected * K.RUNAWAY_CAP * rate / F.col("n_samples")))
+        best = best.withColumn("kept_frames", F.when(bad, F.least(fit, F.col("frames"))).otherwise(F.col("frames")).cast("bigint"))
+        kept = F.floor(F.col("kept_frames") * F.col("n_samples") / F.col("frames"))
+    else:
+        kept = F.least(F.greatest(F.lit(1), F.floor(expected * K.RUNAWAY_CAP * rate)), F.col("n_samples"))
     return best.select(
-        *keys, "attempt", "n_samples", (F.col("_bad") == 1).alias("ran_on"),
-        F.when(F.col("_bad") == 1, capped).otherwise(F.col("n_samples")).cast("bigint").alias("kept_samples"))
+        *keys, "attempt", "n_samples", bad.alias("ran_on"), F.when(bad, kept).otherwise(F.col("n_samples")).cast("bigint").alias("kept_samples"),
+        *(["kept_frames"] if framed else []))
 
 
 def track_report(lines: DataFrame, keys: Sequence[str] = ("track_id",), number: str = "line_no") -> DataFrame:

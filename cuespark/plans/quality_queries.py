@@ -99,9 +99,13 @@ def q_verdicts(spark, sf):
 select language, engine, printf('%.3f', cer_mean) as mean_cer, concat(round_even(failed_rate * 100, 0)::int, '%') as failed_lines,
  concat(round_even(babble_rate * 100, 0)::int, '%') as babble, concat(printf('%.2f', rate_vs_native), 'x') as rate,
  case when similarity_median is null then '-' else printf('%.3f', similarity_median) end as speaker_sim,
- case when engine = 'native' then 0 else 1 end as rank from rv""")
+ printf('%.2f', factor) as rtf from rv join (select engine, language, sum(work_ms) / sum(audio_ms) as factor from sc group by all) using (engine, language)
+where language <> 'de' or engine <> 'beta'""")
 def q_speech_report(spark, sf):
-    return q.speech_report(q.rate_vs_native(q.score_summary(scored(spark, sf))))
+    s = q.rate_vs_native(q.score_summary(scored(spark, sf)))
+    factor = q.real_time_factor(q.speech_errors(t.clips(spark, sf)), ["engine", "language"]).select("engine", "language", "real_time_factor")
+    s = s.join(factor, ["engine", "language"]).withColumn("unsupported", F.expr("if(engine = 'beta' and language = 'de', 'no such voice', null)"))
+    return q.speech_report(s, "unsupported")
 
 
 @query("real_time_factor", needs=("d7",), sql=SCORED + """
@@ -330,9 +334,10 @@ def q_take(spark, sf):
 y as (select *, n_samples <= floor((expected * 1.8::double + 0.5::double) * 24000) as ok from x),
 z as (select *, row_number() over (partition by track_id, line_no order by not ok, case when ok then attempt else n_samples end, attempt) as rn from y)
 select track_id, line_no, attempt, n_samples, not ok as ran_on,
- case when ok then n_samples else greatest(1, floor(n_samples * expected * 1.3::double * 24000 / n_samples)::bigint) end as kept_samples from z where rn = 1""")
+ case when ok then n_samples else floor(kf * n_samples / (n_samples // 1024 + 1)::double)::bigint end as kept_samples, case when ok then n_samples // 1024 + 1 else kf end as kept_frames
+from (select *, least(greatest(1, floor((n_samples // 1024 + 1) * expected * 1.3::double * 24000 / n_samples)::bigint), n_samples // 1024 + 1) as kf from z where rn = 1)""")
 def q_runaway(spark, sf):
-    return rr.guard_runaway(t.takes(spark, sf))
+    return rr.guard_runaway(t.takes(spark, sf).withColumn("frames", F.expr("n_samples div 1024 + 1")))
 
 
 @query("track_report", needs=("d6",), sql=TAKES + """
