@@ -276,6 +276,20 @@ def test_katz_split_context_is_known_everywhere(spark):
         assert r.score == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip(["\t", *w[:-1]], w)))
 
 
+def test_katz_splits_the_contexts_of_copies(spark, monkeypatch):
+    """All copies of a text are sampled like other rows: the words of a text that fills a third of the table are dealt over many buckets."""
+    monkeypatch.setattr(katz, "BUCKET", 22_000)
+    texts = spark.range(20_000).selectExpr("id as doc_id", "'the hot text has ten words and comes again now' as text").unionByName(
+        spark.range(40_000).selectExpr("id + 20000 as doc_id", "concat_ws(' ', transform(sequence(1, 10), x -> concat('w', hash(id, x) % 5000))) as text"))
+    model = katz.train(texts)
+    hot = katz.WordHashes().of(b"the hot text has ten words and comes again now")
+    parts = dict(zip(model.deal.split.tolist(), model.deal.parts.tolist()))
+    assert model.deal.buckets >= 25 and all(parts.get(h, 1) > 1 for h in hot.tolist())
+    assert model.tokens == 660_000
+    seen = katz.score(texts.where("doc_id < 20000"), model).selectExpr("min(n_known) a", "max(score) - min(score) b", "count(*) c").first()
+    assert seen.a == 11 and abs(seen.b) < 1e-9 and seen.c == 20_000
+
+
 # --- personal data
 
 def luhn(digits):
