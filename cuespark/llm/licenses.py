@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import free_name, text_of
 
 # Normalised licence sentences (lower case, everything but letters and digits a blank).
 SENTENCES = {
@@ -115,9 +115,10 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None =
     done = F.aggregate(listed, state, lambda s, r: F.when(F.contains(s["seq"], r["run"]), F.struct(
         F.replace(s["seq"], r["run"], F.lit(";")).alias("seq"),
         F.array_append(s["found"], r["name"]).alias("found"))).otherwise(s))
-    d = d.withColumn("__done", F.when(F.size("sentence_ids") == 0, state).otherwise(done))
-    rest = F.filter(F.split("__done.seq", "[,;]+"), lambda x: x != "")
-    return d.withColumns({"licenses": F.array_distinct("__done.found"), "rest": rest}).drop("__done")
+    end = free_name(docs, "end")
+    d = d.withColumn(end, F.when(F.size("sentence_ids") == 0, state).otherwise(done))
+    rest = F.filter(F.split(F.col(end)["seq"], "[,;]+"), lambda x: x != "")
+    return d.withColumns({"licenses": F.array_distinct(F.col(end)["found"]), "rest": rest}).drop(end)
 
 
 def scan_sql(doc: str = "doc_id", sentences: dict[str, str] | None = None, rules=RULES) -> str:

@@ -138,12 +138,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     """The documents' columns and size (words), source_size, target, copies, taken (words).
 
     Null and empty texts have size 0 and get the whole part of their source's ratio. Null sources
-    are one source. Repeated rows are decided each. A result replaces an input column of its name.
+    are one source. Repeated rows are decided each. A result replaces an input column of its name; no other
+    name clashes, since the documents' own columns are numbered until the end.
     A source without words has target 0 and no copies.
     """
-    made = ["size", "source_size", "target", "copies", "taken", "p", "coin", "bucket", "mark"]
-    own = [c for c in docs.columns if c not in made]
-    d = docs.select(*own, word_count(text).alias("size"), F.xxhash64(F.col(text)).alias("mark"))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own = [names[c] for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    docs = docs.toDF(*names.values())
+    doc, text, source = names[doc], names[text], names[source]
+    d = docs.select(*dict.fromkeys([*own, doc, source]), word_count(text).alias("size"), F.xxhash64(F.col(text)).alias("mark"))
     slim = settle(docs.select(F.col(source).alias("source"), word_count(text).alias("size"))
                   .groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-sizes")
     rows = slim.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -178,4 +181,5 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
             .withColumn("p", F.col("last_p")).select(*first.columns))
     both = first.where(~open_rows).unionByName(left)
     copies = (F.col("copies") + F.col("p")).cast("long")
-    return both.select(*own, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    back = [F.col(i).alias(c) for c, i in names.items() if i in own]
+    return both.select(*back, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

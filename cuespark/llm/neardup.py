@@ -223,14 +223,13 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options
     """
     rows = settle(_classes(docs, doc, text, **options).where("label is not null").groupBy("label", "doc", "mark")
                   .agg(F.count("*").alias("rows")), "near-rows")
+    mark, times, at_doc, at_mark = (free_name(docs, n) for n in ("mark", "rows", "at_doc", "at_mark"))
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "mark")).alias("one"))
-    first = first.select("label", F.col("one.doc").alias("at_doc"), F.col("one.mark").alias("at_mark"))
-    stay = rows.join(first, "label").where(F.col("doc").eqNullSafe(F.col("at_doc")) & (F.col("mark") == F.col("at_mark")))
-    stay = stay.select("at_doc", "at_mark", "rows")
-    mark, times = free_name(docs, "mark"), free_name(docs, "rows")
+    first = first.select("label", F.col("one.doc").alias(at_doc), F.col("one.mark").alias(at_mark))
+    stay = rows.join(first, "label").where(F.col("doc").eqNullSafe(F.col(at_doc)) & (F.col("mark") == F.col(at_mark)))
+    stay = stay.select(at_doc, at_mark, F.col("rows").alias(times))
     kept = (docs.withColumn(mark, F.xxhash64(F.col(text)))
-            .join(stay.withColumnRenamed("rows", times),
-                  (F.col(mark) == F.col("at_mark")) & F.col(doc).eqNullSafe(F.col("at_doc")), "left")
+            .join(stay, (F.col(mark) == F.col(at_mark)) & F.col(doc).eqNullSafe(F.col(at_doc)), "left")
             .where(F.col(times).isNotNull() | ~F.coalesce(F.col(text), F.lit("")).rlike(WORDS_SQL)))
     several = F.coalesce(F.col(times) > 1, F.lit(False))
     once, repeated = kept.where(~several), kept.where(several).dropDuplicates([doc, mark])

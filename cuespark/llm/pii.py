@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import weak
-from .common import text_of
+from .common import free_name, text_of
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -252,30 +252,30 @@ def find(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     rows are judged each and each count in training. A result replaces an input column of its name.
     Without any candidate nothing is trained and nothing added.
     """
-    t = text_of(text)
+    t, wide = text_of(text), free_name(docs, "wide")
 
     def candidates(df: DataFrame) -> DataFrame:
         d = df.withColumn("base", base_spans(text_of(text)))
-        return d.withColumn("__wide", wide_spans(text_of(text), F.col("base")))
+        return d.withColumn(wide, wide_spans(text_of(text), F.col("base")))
 
     def coded(column: str, strict: bool) -> Column:
         return F.transform(column, lambda s: _coded(s, t, F.lit(strict)))
 
-    both = F.concat(coded("base", True), coded("__wide", False))
-    counts = (candidates(docs.select(text)).where("size(base) + size(__wide) > 0")
+    both = F.concat(coded("base", True), coded(wide, False))
+    counts = (candidates(docs.select(text)).where(F.size("base") + F.size(wide) > 0)
               .select(F.explode(both).alias("code")).groupBy("code").count().collect())
     p = train([(r["code"], r["count"]) for r in counts])
     chosen = [F.lit(c) for c, x in p.items() if x >= least]
     d = candidates(docs)
     if not chosen:
-        return d.withColumn("spans", F.col("base")).drop("__wide")
+        return d.withColumn("spans", F.col("base")).drop(wide)
     accepted = F.array(*chosen)
-    added = F.filter("__wide", lambda s: F.array_contains(accepted, _coded(s, t, F.lit(False))))
+    added = F.filter(wide, lambda s: F.array_contains(accepted, _coded(s, t, F.lit(False))))
     # of overlapping additions the first stays
     apart = F.aggregate(ordered(added), F.expr("cast(array() as array<struct<kind:string,start:int,end:int,piece:string>>)"),
                         lambda a, s: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["end"] > s["start"]), a)
                         .otherwise(F.concat(a, F.array(s))))
-    return d.withColumn("spans", F.when(F.size("__wide") == 0, F.col("base")).otherwise(ordered(F.concat("base", apart)))).drop("__wide")
+    return d.withColumn("spans", F.when(F.size(wide) == 0, F.col("base")).otherwise(ordered(F.concat("base", apart)))).drop(wide)
 
 
 def listed(spans: str) -> Column:
@@ -303,7 +303,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents, all kept, with personal data in the text replaced; own columns only."""
-    names = {c: f"__own_{c}" for c in ("base", "spans") if c in docs.columns}      # results would replace them
+    names = {c: free_name(docs, f"own_{c}") for c in ("base", "spans") if c in docs.columns}      # results would replace them
     found = find(docs.withColumnsRenamed(names), text, **options)
     found = found.withColumn(text, masked(F.col(text), F.col("spans")))
     return found.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from . import weak
-from .common import text_of, words
+from .common import free_name, text_of, words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -66,24 +66,25 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents' columns and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and
     what the rules look at. Null texts count as empty."""
     t = text_of(text)
+    word, line, h = (free_name(docs, n) for n in ("words", "lines", "hashes"))
     lines = F.transform(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.xxhash64(x))
     made = {
-        "n_words": F.size("__w").cast("long"),
+        "n_words": F.size(h).cast("long"),
         "word_chars": (F.length(t) - removed(t, BLANK_CHARS)).cast("long"),
         "n_symbols": removed(t, SYMBOLS),
-        "n_lines": F.size("__lines").cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("__w")),
-        "n_bare": F.size(F.filter("__words", lambda x: ~x.rlike(r"[\p{L}\p{N}]"))).cast("long"),
+        "n_lines": F.size(line).cast("long"),
+        "n_dup_lines": (F.size(line) - F.size(F.array_distinct(line))).cast("long"),
+        "n_repeat_words": repeated_words(F.col(h)),
+        "n_bare": F.size(F.filter(word, lambda x: ~x.rlike(r"[\p{L}\p{N}]"))).cast("long"),
         "n_stops": removed(t, ".?!…。"),
         "n_shouts": removed(t, "!"),
         "n_upper": (F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}+", ""))).cast("long"),
         "n_letters": (F.length(t) - F.length(F.regexp_replace(t, r"\p{L}+", ""))).cast("long"),
         "has_function_word": t.rlike(rf"(?i)\b(?:{'|'.join(FUNCTION_WORDS)})\b"),
     }
-    d = docs.withColumns({"__words": words(text), "__lines": lines}).withColumn(
-        "__w", F.transform("__words", lambda x: F.xxhash64(x)))
-    return d.withColumns(made).drop("__words", "__w", "__lines")
+    d = docs.withColumns({word: words(text), line: lines}).withColumn(
+        h, F.transform(word, lambda x: F.xxhash64(x)))
+    return d.withColumns(made).drop(word, h, line)
 
 
 def votes() -> list[Column]:

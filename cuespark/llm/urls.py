@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .common import free_name
 
 DEPTH = 8               # deeper segments belong to the template as one open tail
 MANY = 8                # children of a node with variable segments
@@ -152,9 +153,10 @@ def filter_urls(pages: DataFrame, rules: list[Rule], label: Column | None = None
     """
     if label is None:
         label = F.when(F.col("ruled") == "allow", True).when(F.col("ruled") == "block", False)
-    p = ruled(pages, rules, url)
+    own, end = free_name(pages, "own_ruled"), free_name(pages, "judged")       # `ruled` in a label is the rules' verdict
+    p = ruled(pages.withColumnsRenamed({"ruled": own}), rules, url)
     paths = p.withColumn("good_url", label).groupBy("host", "path").agg(
         F.count("*").alias("n"), F.count(F.when(F.col("good_url"), 1)).alias("good"), F.count(F.when(~F.col("good_url"), 1)).alias("bad"))
-    made = judged(paths)
-    return (p.drop("template", "purity", "judged", "verdict").join(made, ["host", "path"], "left")
-            .withColumn("verdict", F.coalesce("ruled", "judged")).drop("ruled", "judged"))
+    made = judged(paths).withColumnRenamed("judged", end)
+    return (p.drop("template", "purity", "verdict").join(made, ["host", "path"], "left")
+            .withColumn("verdict", F.coalesce("ruled", end)).drop("ruled", end).withColumnsRenamed({own: "ruled"}))
