@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import quality as q
 from ..operators import rerank as rr
+from ..session import fresh_path
+from ..sources import results
 from . import tables as t
 from .registry import query
 from .tables_sql import quoted
@@ -219,6 +221,25 @@ def q_skip(spark, sf):
     return q.skip_done(c, done, ["clip_id", "engine"])
 
 
+@query("append_results", needs=("d7",), sql="""
+select engine, language, count(*) as clips, sum(audio_ms)::bigint as audio_ms from d7 group by engine, language""")
+def q_append(spark, sf):
+    """A run in which half of the languages fail, stored twice as by a repeated attempt; then a run of what is missing."""
+    c, keys = t.clips(spark, sf).select("engine", "language", "audio_ms"), ["engine", "language"]
+    jobs, path = c.select(*keys).distinct(), fresh_path(spark, "results")
+    made = "engine string, language string, clips bigint, audio_ms bigint"
+
+    def run(todo):
+        return c.join(todo, keys).groupBy(*keys).agg(F.count("*").alias("clips"), F.sum("audio_ms").cast("long").alias("audio_ms"))
+
+    first = run(jobs).withColumn("failure", F.when(F.col("language") == "fr", "no model"))
+    for _ in range(2):
+        results.append_results(first, path, keys)
+    missing = q.skip_done(jobs, results.stored_results(spark, path, made), keys)
+    results.append_results(run(missing), path, keys)
+    return results.stored_results(spark, path, made)
+
+
 # --- meaning -------------------------------------------------------------------------------------------------
 
 TERM_SQL = r"https?://\S+|\S+@\S+\.\S+|\b[A-Z][a-z]+[A-Z]\w*\b|\b[A-Z]{2,}\b"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,25 @@ def load_results(spark: SparkSession, path: str, schema: str = RESULT, multi_lin
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
+def append_results(results: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Store the results of finished jobs under a folder for each key.
+
+    A job's folder is replaced as a whole, so that a run which is killed half way and repeated stores each
+    result once; the folders of other jobs stay. Rows with a `failure` are not stored: their jobs run again.
+    Keys name jobs, not rows: their number is that of the folders. A null key has a folder of its own, which an
+    empty one shares.
+    """
+    if "failure" in results.columns:
+        results = results.where("failure is null").drop("failure")
+    (results.write.partitionBy(*keys).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path))
+
+
+def stored_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What `append_results` has stored; the schema tells the keys' types, in its own order of columns."""
+    df = spark.read.schema(schema).parquet(path)
+    return df.select(*[f.name for f in spark.createDataFrame([], schema).schema])
+
+
 def parse_utterances(lines: DataFrame, order: str = "n") -> DataFrame:
     """(file, text, gender) of tab-separated lines; the first line of every file name wins.
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuespark.plans import tables
-from cuespark.sources import sink, subtitles, writers
+from cuespark.sources import results, sink, subtitles, writers
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,3 +73,17 @@ def test_two_rows_of_one_name_are_refused(spark, tmp_path):
     assert files_in(tmp_path) == []
     sink.save_files(rows.limit(0), str(tmp_path / "staging"))
     assert files_in(tmp_path) == []
+
+
+def test_results_are_stored_once(spark, tmp_path):
+    """A job's rows are replaced, other jobs' rows stay, failures are left to run again."""
+    path, schema = str(tmp_path / "results"), "engine string, count int, score double"
+
+    def rows(*values):
+        return spark.createDataFrame(list(values), schema + ", failure string")
+
+    results.append_results(rows(("a", 1, 0.5, None), ("a", 1, 0.7, None), ("b", 1, None, "download failed"), (None, 2, 0.1, None)), path, ["engine", "count"])
+    results.append_results(rows(("a", 1, 0.5, None), ("a", 1, 0.7, None), ("b", 1, 0.9, None)), path, ["engine", "count"])
+    results.append_results(rows(("c", 3, None, "no model")), path, ["engine", "count"])
+    got = sorted(map(tuple, results.stored_results(spark, path, schema).collect()), key=str)
+    assert got == sorted([("a", 1, 0.5), ("a", 1, 0.7), ("b", 1, 0.9), (None, 2, 0.1)], key=str)

@@ -1,7 +1,9 @@
+import unicodedata
+
 from pyspark.sql import functions as F
 import pytest
 
-from cuespark.functions import chunks, scripts, text as T
+from cuespark.functions import chunks, script_tables as S, scripts, text as T
 from cuespark.functions.python_text import common_length, spoken_form
 from cuespark.functions.spread import distribute_text
 from cuespark.functions.wrap import wrap_text
@@ -94,6 +96,20 @@ def test_scripts(one):
     assert one(lambda c: scripts.indic_convert(c, "hi", "ur"), "नमस्ते") == ["نمستے"]
 
 
+def test_script_blocks_have_no_holes(one):
+    """Every assigned letter of every block into every other script: only assigned code points come out."""
+    for a in S.BLOCKS:
+        letters = "".join(chr(S.BLOCKS[a] + p) for p in range(0x80) if unicodedata.category(chr(S.BLOCKS[a] + p)) != "Cn")
+        for b in S.BLOCKS:
+            if a != b:
+                table = scripts._shift_table(a, b)
+                assert all(unicodedata.category(c) != "Cn" for v in table.values() for c in v)
+                assert sum(c not in table for c in letters if unicodedata.category(c) in ("Lo", "Nd")) <= 32
+    assert one(lambda c: scripts.shift_script(c, "hi", "ta"), "भारत", "गंगा", "कृपा", "।") == ["பாரத", "கஂகா", "க்ரிபா", "।"]
+    assert one(lambda c: scripts.shift_script(c, "hi", "pa"), "ऋषि", "भाषा") == ["ਰਿਸ਼ਿ", "ਭਾਸ਼ਾ"]
+    assert one(lambda c: scripts.unconverted_letters(c, "hi", "bn"), "भारत", "ॻ", "", None) == [0, 1, 0, None]
+
+
 def test_urdu_to_devanagari(spark):
     cases = {"یہ ایک مکمل دوستانہ کورس ہے۔": "ये एक मुकम्मल दोसताना कोर्स है।", "میرا نام": "मेरा नाम", "کھانا": "खाना",
              "بھائی": "भाई", "اِس": "इस", "لیں": "लें", "آپ": "आप", "کریں گے۔": "करेंगे।", "وہ ہوں گے": "वो होंगे",
