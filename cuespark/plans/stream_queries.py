@@ -141,7 +141,7 @@ def q_route_rerank(spark, sf):
 
     def score(options):
         return options.withColumn("score", 1.0 - F.abs(F.length("text") - F.length("source_text") - 3) / 100.0
-                                  - rr.penalty("source_text", "text", "target"))
+                                  - rr.penalty("source_text", "text", "target", ascii_words=True))
 
     out = inf.infer_route(u, toy_load, toy_run, candidates=toy_options, score=score)
     return out.select("track_id", "unit_id", "translated", "error")
