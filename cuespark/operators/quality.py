@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.python_text import lcs_length, normalize_speech
+from ..functions.python_text import normalize_speech, speech_pair
 from ..session import settle
 
 ACCURACY = 10000
@@ -24,23 +24,20 @@ def spoken_key(text, language) -> Column:
     return F.replace(normalize_speech(text, language), F.lit(" "), F.lit(""))
 
 
-def cer_of(hyp: Column, ref: Column) -> Column:
-    """Edit distance over the reference length; an empty reference scores 0 or 1."""
-    return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(
-        F.levenshtein(hyp, ref) / F.length(ref))
+def cer_of(pair: Column) -> Column:
+    """Edit distance over the reference length, of a `speech_pair`; an empty reference scores 0 or 1."""
+    return F.when(pair["r"] == 0, F.when(pair["h"] == 0, 0.0).otherwise(1.0)).otherwise(pair["distance"] / pair["r"])
 
 
-def run_on_of(hyp: Column, ref: Column) -> Column:
+def run_on_of(pair: Column) -> Column:
     """How much longer the transcript is, as a share of the text."""
-    return F.greatest(F.length(hyp) - F.length(ref), F.lit(0)) / F.greatest(F.length(ref), F.lit(1))
+    return F.greatest(pair["h"] - pair["r"], F.lit(0)) / F.greatest(pair["r"], F.lit(1))
 
 
 def speech_errors(clips: DataFrame, hyp: str = "hyp", ref: str = "ref", language: str = "language") -> DataFrame:
     """Add `cer` and `extra` (run-on share) of every clip."""
-    c = clips.withColumn("_h", spoken_key(F.col(hyp), F.col(language)))
-    c = c.withColumn("_r", spoken_key(F.col(ref), F.col(language)))
-    return c.withColumn("cer", cer_of(F.col("_h"), F.col("_r"))).withColumn(
-        "extra", run_on_of(F.col("_h"), F.col("_r"))).drop("_h", "_r")
+    c = clips.withColumn("_p", speech_pair(F.col(hyp), F.col(ref), F.col(language), F.lit(False)))
+    return c.withColumns({"cer": cer_of(F.col("_p")), "extra": run_on_of(F.col("_p"))}).drop("_p")
 
 
 def line_errors(lines: DataFrame, heard: str = "hyp", text: str = "ref", language: str = "language") -> DataFrame:
@@ -55,20 +52,18 @@ def line_errors(lines: DataFrame, heard: str = "hyp", text: str = "ref", languag
     some = F.size("_names") > 0
 
     def side(col):
-        bare = F.when(some, F.regexp_replace(col, K.LATIN_WORD_PATTERN, " ")).otherwise(F.col(col))
-        return spoken_key(bare, F.col(language))
-
-    c = c.withColumn("_h", side(heard)).withColumn("_r", side(text))
-    h, r = F.col("_h"), F.col("_r")
-    plain = cer_of(h, r)
-    plain = F.when(run_on_of(h, r) > K.RUN_ON, F.greatest(plain, F.lit(K.FAILED_CER))).otherwise(plain)
-    c = c.withColumn("_lcs", lcs_length(F.when(some, h).otherwise(""), F.when(some, r).otherwise("")))
+        return F.when(some, F.regexp_replace(col, K.LATIN_WORD_PATTERN, " ")).otherwise(F.col(col))
+
+    c = c.withColumn("_p", speech_pair(side(heard), side(text), F.col(language), F.coalesce(some, F.lit(False))))
+    p = F.col("_p")
+    plain = cer_of(p)
+    plain = F.when(run_on_of(p) > K.RUN_ON, F.greatest(plain, F.lit(K.FAILED_CER))).otherwise(plain)
     room = F.aggregate("_names", F.lit(0), lambda a, n: a + F.length(n)) * 1.5
-    rest = 1.0 - F.col("_lcs") / F.length(r)
-    rest = F.when((F.length(h) - F.length(r) - room) / F.length(r) > K.RUN_ON,
+    rest = 1.0 - p["common"] / p["r"]
+    rest = F.when((p["h"] - p["r"] - room) / p["r"] > K.RUN_ON,
                   F.greatest(rest, F.lit(K.FAILED_CER))).otherwise(rest)
-    error = F.when(~some, plain).when(F.length(r) == 0, 0.0).otherwise(rest)
-    return c.withColumn("line_error", error).drop("_names", "_h", "_r", "_lcs")
+    error = F.when(~some, plain).when(p["r"] == 0, 0.0).otherwise(rest)
+    return c.withColumn("line_error", error).drop("_names", "_p")
 
 
 def gram_totals(hyp: str, ref: str, order: int) -> list[int]:
