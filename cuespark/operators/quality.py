@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..functions.python_text import normalize_speech, speech_pair
 from ..session import settle
 
 ACCURACY = 10000
+GRAM_CHUNK = 50_000             # characters whose grams are sorted together
 MARGINS = [2.0 ** -k for k in range(12, 1, -1)] + [1.0]
 
 
@@ -75,6 +77,49 @@ def gram_totals(hyp: str, ref: str, order: int) -> list[int]:
     return out
 
 
+def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about GRAM_CHUNK characters."""
+    a = size = 0
+    for b, n in enumerate(sizes, 1):
+        size += n
+        if size >= GRAM_CHUNK or b == len(sizes):
+            yield a, b
+            a, size = b, 0
+
+
+def all_gram_totals(hyp: Sequence[str], ref: Sequence[str], order: int) -> list[list[int]]:
+    """gram_totals of every pair. Where row, side and gram fit 63 bits, a chunk's grams are sorted as numbers, an order at a time."""
+    out: list[list[int]] = []
+    for a, b in _chunks([len(h) + len(r) for h, r in zip(hyp, ref)]):
+        texts = [*hyp[a:b], *ref[a:b]]
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = np.unique(codes)
+        bits, rows = max(1, len(letters) - 1).bit_length(), b - a
+        if order * bits + rows.bit_length() + 1 > 63:
+            out += [gram_totals(h, r, order) for h, r in zip(hyp[a:b], ref[a:b])]
+            continue
+        sizes = np.array([len(t) for t in texts])
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))          # characters from each one to its text's end
+        of = np.repeat(np.arange(2 * rows), sizes)
+        row, side = of % rows, of // rows
+        code = np.searchsorted(letters, codes).astype(np.int64)
+        totals, gram = np.zeros((rows, 3 * order), np.int64), np.zeros(len(codes), np.int64)
+        for n in range(1, order + 1):
+            gram = gram[:len(code) - n + 1] << bits | code[n - 1:]
+            whole = np.flatnonzero(left[:len(gram)] >= n)
+            key = np.sort(row[whole] << (n * bits + 1) | gram[whole] << 1 | side[whole])
+            pair = key >> 1
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(key) else np.zeros(0, np.int64)
+            theirs = np.add.reduceat(key & 1, first) if len(first) else first
+            ours = np.diff(np.append(first, len(key))) - theirs
+            matched = np.bincount(pair[first] >> (n * bits), np.minimum(ours, theirs), rows)
+            totals[:, 3 * n - 3] = np.maximum(sizes[:rows] - n + 1, 0)
+            totals[:, 3 * n - 2] = np.maximum(sizes[rows:] - n + 1, 0)
+            totals[:, 3 * n - 1] = matched.astype(np.int64)
+        out += totals.tolist()
+    return out
+
+
 def chrf(rows: DataFrame, keys: Sequence[str], row_key: str = "clip_id", hyp: str = "hyp", ref: str = "ref",
          order: int = 6, beta: float = 2.0) -> DataFrame:
     """Corpus chrF per group: character n-gram F-score, precision and recall averaged over orders.
@@ -89,7 +134,7 @@ def chrf(rows: DataFrame, keys: Sequence[str], row_key: str = "clip_id", hyp: st
 
     @F.pandas_udf("array<bigint>")
     def totals(h: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([gram_totals(x, y, order) for x, y in zip(h, r)])
+        return pd.Series(all_gram_totals(h.tolist(), r.tolist(), order))
 
     t = rows.select(*keys, totals(bare(hyp), bare(ref)).alias("_t"))
     sums = t.groupBy(*keys).agg(*[F.sum(F.get("_t", F.lit(i))).alias(f"_{i}") for i in range(3 * order)])
