@@ -14,7 +14,8 @@ def whole_words(words: DataFrame) -> DataFrame:
     A clip's words are bounded by its length, and clips by the reference length.
     """
     inside = (F.col("start") > K.PROMPT_EDGE) & (F.col("end") < F.col("clip_seconds") - K.PROMPT_EDGE)
-    w = words.where(inside)
+    # dealt by speaker, not by clip: voice_prompt then puts a speaker's clips together without moving them again
+    w = words.where(inside).repartition("track_id", "speaker")
     return w.groupBy("track_id", "speaker", "clip_no", "clip_seconds").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "word"))).alias("words"))
 
