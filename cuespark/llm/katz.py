@@ -144,7 +144,7 @@ def _deal(rows: DataFrame) -> Deal:
     return Deal(buckets, np.array(keys, np.uint64), np.array([parts[k] for k in keys], np.int64))
 
 
-def _pieces(batch: pa.RecordBatch, hashes: WordHashes):
+def _pieces(batch: pa.RecordBatch, hashes: WordHashes, start: np.uint64 = START, end: np.uint64 = END):
     """(first row, end row, h, w, index of the row) of about CHUNK tokens each."""
     texts = batch.column("text")
     a, rows = 0, batch.num_rows
@@ -156,13 +156,13 @@ def _pieces(batch: pa.RecordBatch, hashes: WordHashes):
             b += 1
         lengths = np.array([len(x) for x in parts], np.int64) + 1
         stops = np.cumsum(lengths) - 1
-        w = np.full(size, END, np.uint64)
+        w = np.full(size, end, np.uint64)
         inner = np.ones(size, bool)
         inner[stops] = False
         w[inner] = np.concatenate(parts)
         h = np.empty_like(w)
         h[1:] = w[:-1]
-        h[np.append(0, stops[:-1] + 1)] = START
+        h[np.append(0, stops[:-1] + 1)] = start
         yield a, b, h, w, np.repeat(np.arange(b - a, dtype=np.int32), lengths)
         a = b
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (chat, decontaminate, katz, langid, licenses, mixing, neardup, negatives, phrases, pii, quality, tokens,
+from . import (chat, decontaminate, katz_trigrams, langid, licenses, mixing, neardup, negatives, phrases, pii, quality, tokens,
                urls)
 from .common import crc_remainder, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
@@ -120,8 +120,8 @@ def op3(spark, sf):
 def op6(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     out = crc_remainder(F.col("doc_id"), 10) == 0
-    model = katz.train(docs.where(~out))
-    return katz.score(docs, model).select("doc_id", out.alias("held_out"), "n_tokens", "n_known",
+    model = katz_trigrams.train(docs.where(~out))
+    return katz_trigrams.score(docs, model).select("doc_id", out.alias("held_out"), "n_tokens", "n_known",
                                           F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
