@@ -78,7 +78,7 @@ def infer(df: DataFrame, load: Callable[[str], Any], run: Callable[[Any, list[st
 
 def _hop(units: DataFrame, hop: int, legs: str, load, run, candidates, batch: int = 8) -> DataFrame:
     """One leg of every row that has one and has not failed: a new `_cur`, or `_options` if it is the last leg and there is
-    something to choose from. Rows sorted by leg, every text given to its model once."""
+    something to choose from. Rows come sorted by route, so those of a leg are together; every text is given to its model once."""
     d = units.withColumn("_leg", F.when(F.col("_err").isNull(), F.get(legs, F.lit(hop)))).withColumn("_last", F.size(legs) == hop + 1)
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,7 +99,7 @@ def _hop(units: DataFrame, hop: int, legs: str, load, run, candidates, batch: in
             yield pdf.drop(columns=["_leg", "_last"]).assign(_cur=now, _err=errors, _options=options)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields)
-    return d.sortWithinPartitions("_leg").mapInPandas(fn, fields)
+    return d.mapInPandas(fn, fields)
 
 
 def infer_route(units: DataFrame, load, run, *, hops: int = 2, legs: str = "legs", text: str = "text",
@@ -107,21 +107,21 @@ def infer_route(units: DataFrame, load, run, *, hops: int = 2, legs: str = "legs
     """Translate along each row's legs, one stage per hop; add `translated` and `error`.
 
     A row carries where it is: its text so far, its error, and the options of its last leg. So every hop is one pass
-    over all rows, without branches, and no model sees a text of a leg twice.
+    over all rows, without branches, and no model sees a text of a leg twice. Rows are sorted by their legs once, before the first hop.
 
     With `candidates` (a run function that returns several options per text) and `score` (takes
     the exploded options, adds `score`), the last leg is re-ranked. The routed rows are then written once, as options and
-    rows are read apart.
+    rows are read apart; what is shuffled to choose has no texts unless they are compared by length.
     """
-    u = units.withColumns({"_cur": F.col(text), "_err": F.lit(None).cast("string"), "_options": F.lit(None).cast("array<string>")})
+    u = units.sortWithinPartitions(legs).withColumns({"_cur": F.col(text), "_err": F.lit(None).cast("string"), "_options": F.lit(None).cast("array<string>")})
     for hop in range(hops):
         u = _hop(u, hop, legs, load, run, candidates)
     left = F.size(legs) - hops          # a longer route ends in a language on the way: that is no translation
     if candidates is not None:
         u = settle(u, "routed")
         options = u.where("_options is not null").select(*keys, "target", F.col(text).alias("source_text"), F.posexplode("_options").alias("cand_ix", "text"))
-        best = choose_candidate(score(options), keys=keys, spoken_from=spoken_from).select(*keys, F.col("text").alias("_best"))
-        u = u.join(best, list(keys), "left").withColumn("_cur", F.coalesce(F.trim("_best"), "_cur")).drop("_best")
+        best = choose_candidate(score(options), keys=keys, spoken_from=spoken_from).select(*keys, F.col("cand_ix").alias("_best"))
+        u = u.join(best, list(keys), "left").withColumn("_cur", F.coalesce(F.trim(F.get("_options", F.col("_best"))), "_cur")).drop("_best")
     unfinished = F.concat(F.lit("the route has "), left.cast("string"), F.lit(" more legs than hops"))
     u = u.withColumn("_err", F.when(F.col("_err").isNull() & (left > 0), unfinished).otherwise(F.col("_err")))
     u = u.withColumn("_cur", F.when(left > 0, F.lit(None)).otherwise(F.col("_cur")))
