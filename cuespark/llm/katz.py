@@ -7,7 +7,7 @@ A token is scored by the bigram if it was seen, else by the weight of its contex
 (add-DELTA over the vocabulary and one unknown word), which is the recursion's end.
 
 Tokens are 64-bit hashes of words. Work is dealt by context into buckets whose number grows with the
-corpus. What goes between tasks are numpy arrays as bytes, a row per bucket, with each context once
+corpus. What goes between tasks are numpy arrays as compressed bytes, a row per bucket, with each context once
 and the length of its run; a context that holds much of the corpus is split over several buckets by
 the next word, and its sums are put together afterwards. Documents are scored in `blocks`, one after the other, so that the space
 that shuffles take is a fraction of the corpus; each step is written before the next begins, and
@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import fresh_path, settle
+from ..session import settle
 from .common import bytes_of, text_of
 
 DELTA = 0.1
@@ -56,13 +57,6 @@ def lean_shuffles(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def _packed(df: DataFrame, name: str) -> DataFrame:
-    """As settle, compressed harder: for the largest table."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _discard(df: DataFrame) -> None:
     """Delete a settled table that no later step reads."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
@@ -167,11 +161,17 @@ def _pieces(batch: pa.RecordBatch, hashes: WordHashes, start: np.uint64 = START,
         a = b
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """The values as compressed bytes: all first bytes, then all second ones, and so on, behind the length of that."""
+    if not len(values):
+        return b""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T)
+    return planes.nbytes.to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
 def _packed_rows(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
-    """The values between each two bounds, as bytes."""
-    values = np.ascontiguousarray(values)
-    offsets = (np.asarray(bounds, np.int64) * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+    """The values between each two bounds, as compressed bytes."""
+    return pa.array([_squeezed(values[a:b]) for a, b in pairwise(np.asarray(bounds).tolist())], pa.binary())
 
 
 def _unpacked(array: pa.Array, kind) -> np.ndarray:
@@ -179,10 +179,15 @@ def _unpacked(array: pa.Array, kind) -> np.ndarray:
     if not len(array):
         return np.empty(0, kind)
     _, offsets, data = array.buffers()
-    offsets = np.frombuffer(offsets, np.int32)[array.offset:array.offset + len(array) + 1]
-    if data is None or offsets[0] == offsets[-1]:
-        return np.empty(0, kind)
-    return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].view(kind)
+    offsets = np.frombuffer(offsets, np.int32)[array.offset:array.offset + len(array) + 1].tolist()
+    parts = []
+    for a, b in pairwise(offsets):
+        if a < b:
+            row = data.slice(a, b - a)
+            raw = pa.decompress(row.slice(4), int.from_bytes(row.slice(0, 4).to_pybytes(), "little"), "zstd")
+            planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+            parts.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, kind)
 
 
 def _runs(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -354,7 +359,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     with lean_shuffles(spark):
         deal = _deal(rows)
         shared = spark.sparkContext.broadcast(deal)
-        bigrams = _packed(rows.mapInArrow(_count(shared), COUNTS).groupBy("bucket").applyInArrow(_merge, COUNTS), "katz-bigrams")
+        bigrams = settle(rows.mapInArrow(_count(shared), COUNTS).groupBy("bucket").applyInArrow(_merge, COUNTS), "katz-bigrams")
         # every token but the end is a context as often as it occurs, and the start as often as the end
         contexts = bigrams.mapInArrow(_context_counts, "w bigint, c bigint")
         start, end = (F.lit(int(x.astype(np.int64))) for x in (START, END))
@@ -416,6 +421,18 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, keys[at] == wanted
 
 
+SUMS = {"at": np.int32, "tokens": np.int32, "known": np.int32, "base": float, "score": float}
+
+
+def _sums(row: np.ndarray, size: int, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> dict[str, bytes]:
+    """Columns of SUMS: which of a chunk's documents have a token here, and the sums of these. A chunk of `size` documents has a row in
+    each bucket, so that one with all of its documents would grow with the number of both."""
+    tokens = np.bincount(row, minlength=size)
+    at = np.flatnonzero(tokens)
+    sums = (at, tokens[at], *(np.bincount(row, x, size)[at] for x in (known, base, score)))
+    return {n: _squeezed(x.astype(kind)) for (n, kind), x in zip(SUMS.items(), sums)}
+
+
 def _score(discounts: list[float], base: float, documents: int, key: pa.DataType):
     d = np.array([*discounts, 1.0])
     end_base = math.log10((documents + DELTA) / base)
@@ -430,8 +447,7 @@ def _score(discounts: list[float], base: float, documents: int, key: pa.DataType
         order = np.argsort(contexts)
         contexts, seen_c, whole, weight = (x[order] for x in (contexts, seen_c, whole, weight))
         start = START.astype(np.int64)
-        kinds = {"tokens": np.int32, "known": np.int32, "base": float, "score": float}
-        out = {n: [] for n in ("chunk", "docs", *kinds, "w", "row")}
+        out = {n: [] for n in ("chunk", "docs", *SUMS, "w", "row")}
         for batch in right.to_batches():
             for chunk, size, docs, (h, n, w, row) in zip(batch.column("chunk").to_pylist(), batch.column("size").to_pylist(), batch.column("docs"),
                                                          _arrays(batch, h=np.int64, n=np.int32, w=np.int64, row=np.int32)):
@@ -451,16 +467,15 @@ def _score(discounts: list[float], base: float, documents: int, key: pa.DataType
                     value[hit] = d[np.minimum(times, CUTOFF + 1)] * times / whole[place[of[hit]]]
                 out["chunk"].append(chunk)
                 out["docs"].append(docs.values)
-                for name, x in (("tokens", np.bincount(row, minlength=size)), ("known", np.bincount(row, told[of], size)),
-                                ("base", np.bincount(row, level[of], size)), ("score", np.bincount(row, np.log10(value), size))):
-                    out[name].append(x.astype(kinds[name]).tobytes())
+                for name, x in _sums(row, size, told[of], level[of], np.log10(value)).items():
+                    out[name].append(x)
                 out["w"].append(w[~seen])
                 out["row"].append(row[~seen])
         types = {"docs": key, "w": pa.int64(), "row": pa.int32()}
         lists = {n: pa.ListArray.from_arrays(
             pa.array(np.cumsum([0, *map(len, out[n])]), pa.int32()),
             pa.concat_arrays([pa.array(x).cast(kind) for x in out[n]]) if out[n] else pa.array([], kind)) for n, kind in types.items()}
-        columns = {"chunk": pa.array(out["chunk"], pa.int64()), **lists, **{n: pa.array(out[n], pa.binary()) for n in kinds}}
+        columns = {"chunk": pa.array(out["chunk"], pa.int64()), **lists, **{n: pa.array(out[n], pa.binary()) for n in SUMS}}
         return pa.table({n: columns[n] for n in out})
 
     return run
@@ -471,12 +486,11 @@ def _add(key: pa.DataType):
         """The parts of a chunk's documents from all buckets."""
         docs = [c.flatten() for c in table.column("docs").chunks]
         docs = pa.concat_arrays(docs).cast(key)
-        kinds = {"tokens": np.int32, "known": np.int32, "base": float, "score": float}
-        sums = {n: np.zeros(len(docs), np.int64 if kind is np.int32 else kind) for n, kind in kinds.items()}
+        sums = {n: np.zeros(len(docs), np.int64 if kind is np.int32 else kind) for n, kind in SUMS.items() if n != "at"}
         for batch in table.to_batches():
-            for parts in _arrays(batch, **kinds):
+            for at, *parts in _arrays(batch, **SUMS):
                 for total, part in zip(sums.values(), parts):
-                    total += part
+                    total[at] += part           # no document comes twice in a part
         return pa.table({"chunk": pa.array(np.full(len(docs), table.column("chunk")[0].as_py())), "row": pa.array(np.arange(len(docs), dtype=np.int32)),
                          "doc": docs, "n_tokens": sums["tokens"], "n_known": sums["known"], "base_score": sums["base"], "score": sums["score"]})
 
@@ -507,7 +521,7 @@ def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text"
                                           "h binary, n binary, w binary, row binary")
             parts = settle(left.groupBy("bucket").cogroup(occurrences.groupBy("bucket")).applyInArrow(
                 _score(model.discounts, model.base, model.documents, key),
-                f"chunk bigint, docs array<{name}>, tokens binary, known binary, base binary, score binary, "
+                f"chunk bigint, docs array<{name}>, at binary, tokens binary, known binary, base binary, score binary, "
                 "w array<bigint>, row array<int>"), "katz-parts")
             whole = parts.drop("w", "row").groupBy("chunk").applyInArrow(
                 _add(key), f"chunk bigint, row int, doc {name}, n_tokens bigint, n_known bigint, base_score double, score double")

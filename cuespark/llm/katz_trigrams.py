@@ -25,8 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..session import settle
 from . import katz
 from .common import bytes_of, text_of
-from .katz import (CUTOFF, DELTA, SAMPLE, SLICE, Deal, WordHashes, _arrays, _bounds, _by_run, _discard, _flat, _lookup, _packed,
-                   _packed_rows, _pieces, by_context, good_turing, lean_shuffles, mixed, pair_key)
+from .katz import (CUTOFF, DELTA, SAMPLE, SLICE, SUMS, Deal, WordHashes, _arrays, _bounds, _by_run, _discard, _flat, _lookup,
+                   _packed_rows, _pieces, _sums, by_context, good_turing, lean_shuffles, mixed, pair_key)
 
 CODES = 65_000                  # frequent words that have codes
 ESCAPE = 65_535                 # stands for a word without one
@@ -62,8 +62,8 @@ def _plan(rows: DataFrame) -> Plan:
     chosen = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SAMPLE)) == 0
     seen = settle(rows.where(chosen).mapInArrow(katz._sampled, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "katz-sample")
     total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(8, math.ceil(total * SAMPLE / katz.BUCKET))
-    least = min(buckets, 2048) * 2
+    buckets = max(8, math.ceil(2 * total * SAMPLE / katz.BUCKET))       # of half the tokens, as a task holds both orders of them
+    least = min(buckets, 2048)
     top = [(r["h"] % (1 << 64), r["n"]) for r in seen.orderBy(F.desc("n"), "h").limit(CODES).collect()]
     often = [h for h, _ in top if h != int(katz.START)]
     code = {h: i + 2 for i, h in enumerate(often)} | {int(katz.START): int(START)}
@@ -130,7 +130,7 @@ def _count(plan):
         for batch in batches:
             for _, _, h, w, row in _pieces(batch, words, START, END):
                 u = _before(h, row)
-                bucket = deal.bucket(h, w) * 2 + (mixed(w) & np.uint64(1)).astype(np.int32)         # halves, as in katz
+                bucket = deal.bucket(h, w)
                 at, pair = mixed(h), None
                 pair = mixed(at + w)
                 key = (bucket.astype(np.uint64) << np.uint64(44)) | ((at >> np.uint64(46)) << np.uint64(26))
@@ -154,23 +154,23 @@ def merged(h: np.ndarray, w: np.ndarray, u: np.ndarray, c: np.ndarray):
     """Distinct trigrams with their summed counts; those of a context are together, and in it those of a pair."""
     if not len(h):
         return h, w, u, c
-    keys = pair_key(h, w)
-    order = np.argsort(keys)
-    new = _changes(keys[order])
-    first = order[new]
-    place = np.empty(len(first), np.uint64)                 # of each pair, by context
-    place[np.argsort(mixed(h[first]))] = np.arange(len(first), dtype=np.uint64)
-    of = np.empty(len(h), np.uint64)
-    of[order] = place[np.cumsum(new) - 1]
-    order = np.lexsort((u, of))
-    of, u = of[order], u[order]
-    at = np.flatnonzero(_changes(of, u))
-    h, w = h[order[at]], w[order[at]]
-    return h, w, u[at], np.add.reduceat(c[order], at)
+    pairs = pair_key(h, w)
+    triples = pair_key(pairs, u)
+    order = np.argsort(triples)
+    at = np.flatnonzero(_changes(triples[order]))
+    first, c = order[at], np.add.reduceat(c[order], at)
+    del triples
+    first, c, pairs = first[order := np.argsort(pairs[first])], c[order], pairs[first[order]]
+    at = np.flatnonzero(_changes(pairs))
+    run, to = np.diff(np.append(at, len(pairs))), np.argsort(mixed(h[first[at]]))       # pairs as they are, and by context
+    ahead = np.cumsum(run[to]) - run[to]
+    order = np.arange(len(pairs)) + np.repeat(at[to] - ahead, run[to])
+    first, c = first[order], c[order]
+    return h[first], w[first], u[first], c
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    bucket = table.column("bucket")[0].as_py() // 2
+    bucket = table.column("bucket")[0].as_py()
     h, n, w, m, u, c = _spread(table)
     del table
     h, w, u, c = merged(np.repeat(np.repeat(h, n), m), np.repeat(w, m), u, c)
@@ -284,6 +284,7 @@ class Bucket:
         at, _ = _lookup(self.two, k)
         self.two_whole[at], self.two_weight[at] = whole, weight
         self.three = (self.kept / self.two_whole[inverse])[self.order]
+        del self.h, self.c, self.kept, self.below, self.of, self.order
 
 
 def _split_sums(plan, discounts: list[np.ndarray]):
@@ -341,7 +342,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     with lean_shuffles(spark):
         plan = _plan(rows)
         shared = spark.sparkContext.broadcast(plan)
-        ngrams = _packed(rows.mapInArrow(_count(shared), NGRAMS).groupBy("bucket").applyInArrow(_merge, NGRAMS), "katz-ngrams")
+        ngrams = settle(rows.mapInArrow(_count(shared), NGRAMS).groupBy("bucket").applyInArrow(_merge, NGRAMS), "katz-ngrams")
         # every token but the end is a context as often as it occurs, and the start as often as the end
         start, end = F.lit(int(START)), F.lit(int(END))
         unigrams = settle(ngrams.mapInArrow(_context_counts, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
@@ -398,8 +399,7 @@ def _score(plan, discounts: list[np.ndarray], base: float, documents: int, key:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         b, deal = Bucket(left, discounts), plan.value.deal
         b.ready(*(_flat(left, n, k) for n, k in (("k", np.uint64), ("kw", float), ("kb", float))))
-        kinds = {"tokens": np.int32, "known": np.int32, "base": float, "score": float}
-        out = {n: [] for n in ("chunk", "docs", *kinds, "w", "row", "k", "krow")}
+        out = {n: [] for n in ("chunk", "docs", *SUMS, "w", "row", "k", "krow")}
         for batch in right.to_batches():
             for chunk, size, docs, (h, hx, n, w, wx, u, ux, row) in zip(batch.column("chunk").to_pylist(), batch.column("size").to_pylist(),
                                                                         batch.column("docs"), _arrays(batch, **asked)):
@@ -428,9 +428,8 @@ def _score(plan, discounts: list[np.ndarray], base: float, documents: int, key:
                 away = away[_split(deal, v[rest[away]])]        # another bucket may know the context
                 out["chunk"].append(chunk)
                 out["docs"].append(docs.values)
-                for name, x in (("tokens", np.bincount(row, minlength=size)), ("known", np.bincount(row, told[of], size)),
-                                ("base", np.bincount(row, level[of], size)), ("score", np.bincount(row, np.log10(value), size))):
-                    out[name].append(x.astype(kinds[name]).tobytes())
+                for name, x in _sums(row, size, told[of], level[of], np.log10(value)).items():
+                    out[name].append(x)
                 out["w"].append(w[rest[~held]].view(np.int64))
                 out["row"].append(row[rest[~held]])
                 out["k"].append(two[away].view(np.int64))
@@ -439,13 +438,13 @@ def _score(plan, discounts: list[np.ndarray], base: float, documents: int, key:
         lists = {n: pa.ListArray.from_arrays(
             pa.array(np.cumsum([0, *map(len, out[n])]), pa.int32()),
             pa.concat_arrays([pa.array(x).cast(kind) for x in out[n]]) if out[n] else pa.array([], kind)) for n, kind in types.items()}
-        columns = {"chunk": pa.array(out["chunk"], pa.int64()), **lists, **{n: pa.array(out[n], pa.binary()) for n in kinds}}
+        columns = {"chunk": pa.array(out["chunk"], pa.int64()), **lists, **{n: pa.array(out[n], pa.binary()) for n in SUMS}}
         return pa.table({n: columns[n] for n in out})
 
     return run
 
 
-def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", blocks: int = 2) -> DataFrame:
+def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", blocks: int = 3) -> DataFrame:
     """doc, n_tokens, n_known, base_score, score: one row for each document, as katz.score."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model.plan)
@@ -461,7 +460,7 @@ def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text"
                                           "n binary, w binary, wx binary, u binary, ux binary, row binary")
             parts = settle(left.groupBy("bucket").cogroup(occurrences.groupBy("bucket")).applyInArrow(
                 _score(shared, model.discounts, model.base, model.documents, key),
-                f"chunk bigint, docs array<{name}>, tokens binary, known binary, base binary, score binary, "
+                f"chunk bigint, docs array<{name}>, at binary, tokens binary, known binary, base binary, score binary, "
                 "w array<bigint>, row array<int>, k array<bigint>, krow array<int>"), "katz-parts")
             done = parts.drop("w", "row", "k", "krow").groupBy("chunk").applyInArrow(
                 katz._add(key), f"chunk bigint, row int, doc {name}, n_tokens bigint, n_known bigint, base_score double, score double")
