@@ -23,6 +23,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -34,27 +35,32 @@ from .common import bytes_of, text_of
 
 DELTA = 0.1
 CUTOFF = 5                      # counts above are taken as they are
-CHUNK = 500_000                 # tokens that a task sorts at a time
+CHUNK = 500_000                 # tokens that a task sorts at a time; bytes of text that it hashes
+BATCH = 8 << 20                 # bytes of rows that go to Python at a time
 BUCKET = 2_000_000              # tokens of a bucket, about
 SLICE = 125_000                 # bigrams of a stored row
-REMEMBERED = 200_000            # words whose hashes a task keeps at hand
+LONG = 512                      # bytes; longer words are hashed one by one
 SAMPLE = 16                     # one row in so many tells how many buckets there are and which contexts are split
 START, END = np.uint64(0x5BF0A8B1457695FD), np.uint64(0xD4E12C77A9B3F06B)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_INSIDE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)        # the first n bytes of eight
 COUNTS = "bucket int, h binary, n binary, w binary, c binary"         # h: each context once, n: how many of w and c are its own
 
 
 @contextmanager
 def lean_shuffles(spark: SparkSession):
-    """Shuffle files of a query go when it ends, not when the driver happens to collect garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    """Shuffle files of a query go when it ends, not when the driver happens to collect garbage; rows reach Python by a few MB."""
+    ours = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH)}
+    before = {key: spark.conf.get(key, None) for key in ours}
+    for key, value in ours.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def _discard(df: DataFrame) -> None:
@@ -75,19 +81,41 @@ def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mixed(mixed(h) + w)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+class WordHashes:
+    """64-bit hashes of the words between ASCII blanks, A-Z lower-cased: of all words of many texts at once, eight bytes after eight."""
 
     def of(self, text: bytes) -> np.ndarray:
-        """Hashes of a text's words between ASCII blanks, A-Z lower-cased."""
-        if len(self) > REMEMBERED:
-            self.clear()
-        words = text.translate(_LOWER).split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return self.of_all(pa.array([text], pa.binary()))[0]
+
+    def of_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words, number of words of each text)."""
+        _, offsets, data = texts.buffers()
+        kind = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
+        at = np.frombuffer(offsets, kind)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        if at[0] == at[-1]:
+            return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+        raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]]
+        at -= at[0]
+        inside = _INSIDE[raw]
+        starts, ends = inside.copy(), inside.copy()
+        starts[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        edges = at[(at > 0) & (at < len(raw))]             # nothing stands between two texts
+        starts[edges], ends[edges - 1] = inside[edges], inside[edges - 1]
+        first = np.flatnonzero(starts)
+        size = np.flatnonzero(ends) + 1 - first
+        low = np.zeros(len(raw) + 8, np.uint8)
+        low[:-8] = _LOWER[raw]
+        eight = np.ndarray(len(raw) + 1, np.dtype("<u8"), low, strides=(1,))         # those that begin at each byte
+        h = mixed(mixed(size.astype(np.uint64) + START) ^ (eight[first] & _FIRST[np.minimum(size, 8)]))
+        rest, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(rest):
+            h[rest] = mixed(h[rest] ^ (eight[first[rest] + k] & _FIRST[np.minimum(size[rest] - k, 8)]))
+            k += 8
+            rest = rest[size[rest] > k]
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(low[first[i]:first[i] + size[i]].tobytes())
+        return h, np.diff(np.searchsorted(first, at))
 
 
 @dataclass
@@ -114,12 +142,10 @@ class Deal:
 
 
 def _sampled(batches):
-    hashes, total = WordHashes(), 0
+    hashes = WordHashes()
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            h = hashes.of(text)
-            total += len(h) + 1
-            keys, n = np.unique(np.append(h, START), return_counts=True)
+        for _, _, h, _, _ in _pieces(batch, hashes):
+            keys, n = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_pydict({"h": keys.view(np.int64), "n": n})
 
 
@@ -138,27 +164,32 @@ def _deal(rows: DataFrame) -> Deal:
     return Deal(buckets, np.array(keys, np.uint64), np.array([parts[k] for k in keys], np.int64))
 
 
+def _tokens(words: np.ndarray, lengths: np.ndarray, start: np.uint64, end: np.uint64):
+    """(h, w, index of the row) of rows with so many tokens."""
+    stops = np.cumsum(lengths) - 1
+    w, inner = np.full(len(words) + len(lengths), end, np.uint64), np.ones(len(words) + len(lengths), bool)
+    inner[stops] = False
+    w[inner] = words
+    h = np.empty_like(w)
+    h[1:] = w[:-1]
+    h[np.append(0, stops[:-1] + 1)] = start
+    return h, w, np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+
+
 def _pieces(batch: pa.RecordBatch, hashes: WordHashes, start: np.uint64 = START, end: np.uint64 = END):
     """(first row, end row, h, w, index of the row) of about CHUNK tokens each."""
-    texts = batch.column("text")
-    a, rows = 0, batch.num_rows
-    while a < rows:
-        parts, size, b = [], 0, a
-        while b < rows and size < CHUNK:
-            parts.append(hashes.of(texts[b].as_py()))
-            size += len(parts[-1]) + 1
-            b += 1
-        lengths = np.array([len(x) for x in parts], np.int64) + 1
-        stops = np.cumsum(lengths) - 1
-        w = np.full(size, end, np.uint64)
-        inner = np.ones(size, bool)
-        inner[stops] = False
-        w[inner] = np.concatenate(parts)
-        h = np.empty_like(w)
-        h[1:] = w[:-1]
-        h[np.append(0, stops[:-1] + 1)] = start
-        yield a, b, h, w, np.repeat(np.arange(b - a, dtype=np.int32), lengths)
-        a = b
+    texts, rows = batch.column("text"), batch.num_rows
+    part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // CHUNK       # hashed at a time
+    a, size, parts, lengths = 0, 0, [], []
+    for i, b in pairwise(_bounds(part).tolist() if rows else []):
+        words, n = hashes.of_all(texts.slice(i, b - i))
+        parts.append(words)
+        lengths.append(n + 1)
+        size += len(words) + b - i
+        if size < CHUNK and b < rows:
+            continue
+        yield a, b, *_tokens(np.concatenate(parts), np.concatenate(lengths), start, end)
+        a, size, parts, lengths = b, 0, [], []
 
 
 def _squeezed(values: np.ndarray) -> bytes:
@@ -169,9 +200,14 @@ def _squeezed(values: np.ndarray) -> bytes:
     return planes.nbytes.to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-def _packed_rows(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
+def _plain(values: np.ndarray) -> bytes:
+    """As _squeezed, for hashes that hardly repeat: nothing is gained by compressing them."""
+    return bytes(4) + values.tobytes() if len(values) else b""
+
+
+def _packed_rows(bounds: np.ndarray, values: np.ndarray, pack=_squeezed) -> pa.Array:
     """The values between each two bounds, as compressed bytes."""
-    return pa.array([_squeezed(values[a:b]) for a, b in pairwise(np.asarray(bounds).tolist())], pa.binary())
+    return pa.array([pack(values[a:b]) for a, b in pairwise(np.asarray(bounds).tolist())], pa.binary())
 
 
 def _unpacked(array: pa.Array, kind) -> np.ndarray:
@@ -184,7 +220,11 @@ def _unpacked(array: pa.Array, kind) -> np.ndarray:
     for a, b in pairwise(offsets):
         if a < b:
             row = data.slice(a, b - a)
-            raw = pa.decompress(row.slice(4), int.from_bytes(row.slice(0, 4).to_pybytes(), "little"), "zstd")
+            size = int.from_bytes(row.slice(0, 4).to_pybytes(), "little")
+            if not size:
+                parts.append(np.frombuffer(row.slice(4).to_pybytes(), kind))
+                continue
+            raw = pa.decompress(row.slice(4), size, "zstd")
             planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
             parts.append(np.ascontiguousarray(planes.T).view(kind).ravel())
     return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, kind)
@@ -215,9 +255,28 @@ def merged(h: np.ndarray, w: np.ndarray, c: np.ndarray | None = None):
     return h[first], w[first], counts.astype(np.int64)
 
 
+def by_key(key: np.ndarray, bucket: np.ndarray | int = 0) -> np.ndarray:
+    """Order by bucket and, within it, by the first bits of the key. The places are sorted along: that is much faster than argsort."""
+    bucket, low = np.asarray(bucket, np.uint64), len(key).bit_length()
+    high = int(bucket.max(initial=0)).bit_length()
+    key = (key >> np.uint64(high + low)) << np.uint64(low)
+    if high:
+        key |= bucket << np.uint64(64 - high)
+    key |= np.arange(len(key), dtype=np.uint64)
+    key.sort()
+    return (key & np.uint64((1 << low) - 1)).astype(np.int64)
+
+
+def in_order(key: np.ndarray) -> np.ndarray:
+    """np.argsort of hashes."""
+    order = by_key(key)
+    there = key[order]
+    return np.argsort(key) if (there[1:] < there[:-1]).any() else order
+
+
 def by_context(h: np.ndarray, bucket: np.ndarray | int = 0) -> np.ndarray:
-    """Order by bucket and, within it, with equal contexts together."""
-    return np.argsort((np.asarray(bucket, np.uint64) << np.uint64(44)) | (mixed(h) >> np.uint64(20)))
+    """Order by bucket and, within it, with equal contexts together, but for a few."""
+    return by_key(mixed(h), bucket)
 
 
 def by_pair(h: np.ndarray, w: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -417,7 +476,9 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Place of each wanted value in sorted keys, and whether it is there."""
     if not len(keys):
         return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    order, at = in_order(wanted) if wanted.dtype == np.uint64 else np.argsort(wanted), np.empty(len(wanted), np.int64)
+    at[order] = np.searchsorted(keys, wanted[order])           # in order, several times as fast
+    np.minimum(at, len(keys) - 1, out=at)
     return at, keys[at] == wanted
 
 

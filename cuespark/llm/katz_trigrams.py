@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,28 +26,36 @@ from ..session import settle
 from . import katz
 from .common import bytes_of, text_of
 from .katz import (CUTOFF, DELTA, SAMPLE, SLICE, SUMS, Deal, WordHashes, _arrays, _bounds, _by_run, _discard, _flat, _lookup,
-                   _packed_rows, _pieces, _sums, by_context, good_turing, lean_shuffles, mixed, pair_key)
+                   _packed_rows, _pieces, _plain, _squeezed, _sums, by_context, by_key, good_turing, in_order,
+                   lean_shuffles, mixed, pair_key)
 
 CODES = 65_000                  # frequent words that have codes
 ESCAPE = 65_535                 # stands for a word without one
+SLOT_BITS = 21                  # of a hash, by which its code is looked up
 START, END = np.uint64(0), np.uint64(1)
 # h: each context word once, n: how many w are its own; m: how many u and c are a pair's own; the x columns hold words without codes
 NGRAMS = "bucket int, h binary, hx binary, n binary, w binary, wx binary, m binary, u binary, ux binary, c binary"
 PAIRS = "r int, bucket int, k binary, c binary, kept binary, below binary"
-WEIGHTS = "bucket int, k binary, whole binary, weight binary, own binary"
+CONTEXTS = "bucket int, ch binary, cc binary, cw binary, cb binary"       # word, its count, whole, weight
+WEIGHTS = "r int, bucket int, k binary, whole binary, weight binary, own binary"
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 class Words(WordHashes):
-    """The code of a frequent word, the hash of any other."""
+    """The code of a frequent word, the hash of any other. often: of each slot, one word at most."""
 
     def __init__(self, often: np.ndarray):
-        super().__init__()
-        self.codes = {h: i + 2 for i, h in enumerate(often.tolist())}
+        self.often = np.append(np.zeros(2, np.uint64), often)           # by code
+        self.codes = np.zeros(1 << SLOT_BITS, np.uint16)
+        self.codes[_slot(often)] = np.arange(2, len(self.often))
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        self[word] = x = self.codes.get(h, max(h, ESCAPE + 1))
-        return x
+    def of_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        h, n = super().of_all(texts)
+        code = self.codes[_slot(h)]
+        return np.where((code > 0) & (self.often[code] == h), code, np.maximum(h, np.uint64(ESCAPE + 1))), n
 
 
 @dataclass
@@ -62,14 +70,15 @@ def _plan(rows: DataFrame) -> Plan:
     chosen = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SAMPLE)) == 0
     seen = settle(rows.where(chosen).mapInArrow(katz._sampled, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "katz-sample")
     total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(8, math.ceil(2 * total * SAMPLE / katz.BUCKET))       # of half the tokens, as a task holds both orders of them
+    buckets = max(8, math.ceil(3 * total * SAMPLE / katz.BUCKET))       # of a third of the tokens, as a task holds both orders of them
     least = min(buckets, 2048)
     top = [(r["h"] % (1 << 64), r["n"]) for r in seen.orderBy(F.desc("n"), "h").limit(CODES).collect()]
-    often = [h for h, _ in top if h != int(katz.START)]
-    code = {h: i + 2 for i, h in enumerate(often)} | {int(katz.START): int(START)}
-    parts = {code[h]: math.ceil(n * least / total) for h, n in top if n * least > total}
+    often = np.array([h for h, _ in top if h != int(katz.START)], np.uint64)
+    often = often[np.sort(np.unique(_slot(often), return_index=True)[1])]       # the most frequent one of a slot
+    code = {h: i + 2 for i, h in enumerate(often.tolist())} | {int(katz.START): int(START)}
+    parts = {code.get(h, max(h, ESCAPE + 1)): math.ceil(n * least / total) for h, n in top if n * least > total}
     keys = sorted(parts)
-    return Plan(Deal(buckets, np.array(keys, np.uint64), np.array([parts[k] for k in keys], np.int64)), np.array(often, np.uint64))
+    return Plan(Deal(buckets, np.array(keys, np.uint64), np.array([parts[k] for k in keys], np.int64)), often)
 
 
 def _split(deal: Deal, h: np.ndarray) -> np.ndarray:
@@ -80,7 +89,7 @@ def _coded(bounds: np.ndarray, words: np.ndarray) -> list[pa.Array]:
     """The words between each two bounds: codes, and what has none."""
     rare = words >= ESCAPE
     codes = np.where(rare, np.uint64(ESCAPE), words).astype(np.uint16)
-    return [_packed_rows(bounds, codes), _packed_rows(np.append(0, np.cumsum(rare))[bounds], words[rare])]
+    return [_packed_rows(bounds, codes), _packed_rows(np.append(0, np.cumsum(rare))[bounds], words[rare], _plain)]
 
 
 def _decoded(codes: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -131,11 +140,10 @@ def _count(plan):
             for _, _, h, w, row in _pieces(batch, words, START, END):
                 u = _before(h, row)
                 bucket = deal.bucket(h, w)
-                at, pair = mixed(h), None
+                at = mixed(h)
                 pair = mixed(at + w)
-                key = (bucket.astype(np.uint64) << np.uint64(44)) | ((at >> np.uint64(46)) << np.uint64(26))
-                key |= ((pair >> np.uint64(48)) << np.uint64(10)) | (mixed(pair + u) >> np.uint64(54))
-                order = np.argsort(key)
+                key = ((at >> np.uint64(48)) << np.uint64(48)) | ((pair >> np.uint64(52)) << np.uint64(36)) | (mixed(pair + u) >> np.uint64(28))
+                order = by_key(key, bucket)
                 h, w, u, bucket = h[order], w[order], u[order], bucket[order]
                 first = np.flatnonzero(_changes(bucket, h, w, u))       # a trigram that comes twice is added up in its bucket
                 c = np.diff(np.append(first, len(h))).astype(np.int64)
@@ -156,13 +164,13 @@ def merged(h: np.ndarray, w: np.ndarray, u: np.ndarray, c: np.ndarray):
         return h, w, u, c
     pairs = pair_key(h, w)
     triples = pair_key(pairs, u)
-    order = np.argsort(triples)
+    order = in_order(triples)
     at = np.flatnonzero(_changes(triples[order]))
     first, c = order[at], np.add.reduceat(c[order], at)
     del triples
-    first, c, pairs = first[order := np.argsort(pairs[first])], c[order], pairs[first[order]]
+    first, c, pairs = first[order := in_order(pairs[first])], c[order], pairs[first[order]]
     at = np.flatnonzero(_changes(pairs))
-    run, to = np.diff(np.append(at, len(pairs))), np.argsort(mixed(h[first[at]]))       # pairs as they are, and by context
+    run, to = np.diff(np.append(at, len(pairs))), in_order(mixed(h[first[at]]))       # pairs as they are, and by context
     ahead = np.cumsum(run[to]) - run[to]
     order = np.arange(len(pairs)) + np.repeat(at[to] - ahead, run[to])
     first, c = first[order], c[order]
@@ -170,6 +178,7 @@ def merged(h: np.ndarray, w: np.ndarray, u: np.ndarray, c: np.ndarray):
 
 
 def _merge(table: pa.Table) -> pa.Table:
+    pa.default_memory_pool().release_unused()       # what earlier buckets took
     bucket = table.column("bucket")[0].as_py()
     h, n, w, m, u, c = _spread(table)
     del table
@@ -201,22 +210,24 @@ def _counts_of_counts(batches):
 
 
 def _followers(batches):
+    """Words without codes that each bucket has to know the counts of."""
     for bucket, _, _, w, _, _ in _each(batches):
-        w = np.unique(w)
+        w = np.unique(w[w > ESCAPE])
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), bucket), pa.int32()), pa.array(w.view(np.int64))], names=["bucket", "w"])
 
 
 @dataclass
 class Model:
-    """Tables: ngrams (NGRAMS), unigrams (w, c), contexts (bucket, h, c, whole, weight), pairs (WEIGHTS; of split words only).
+    """Tables: ngrams (NGRAMS), unigrams (w, c), contexts (CONTEXTS), pairs (WEIGHTS; of split words only).
 
-    discounts: those of bigrams and of trigrams; whole and weight as in katz.Model.
+    often: counts of the words that have codes; discounts: those of bigrams and of trigrams; whole and weight as in katz.Model.
     """
     plan: Plan
     ngrams: DataFrame
     unigrams: DataFrame
     contexts: DataFrame
     pairs: DataFrame
+    often: np.ndarray
     discounts: list[np.ndarray]
     tokens: int
     vocabulary: int
@@ -227,33 +238,56 @@ class Model:
         return self.tokens + DELTA * (self.vocabulary + 1)
 
 
-def _context_sums(d: np.ndarray, base: float):
+def _freed(c: np.ndarray, kept: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(what discounted counts are divided by, backoff weight) of contexts."""
+    whole = np.where(kept < c, c, c + 1).astype(float)
+    return whole, (1 - kept / whole) / (1 - below)
+
+
+def _context_sums(plan, often, d: np.ndarray, base: float):
+    """Contexts of a word as CONTEXTS; if it is split, cw and cb are the sums over this bucket's share of what is kept and what is below."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         h, n, w, m, _, c = _spread(left)
-        c = _by_run(m, c)
-        names = right.column("w").to_numpy().view(np.uint64)
-        order = np.argsort(names)
-        low = right.column("c").to_numpy()[order][np.searchsorted(names[order], w)]
+        c, names, rare = _by_run(m, c), right.column("w").to_numpy().view(np.uint64), w > ESCAPE
+        low, order = np.empty(len(w)), np.argsort(names)
+        low[~rare] = often.value[w[~rare].astype(np.int64)]
+        low[rare] = right.column("c").to_numpy()[order][np.searchsorted(names[order], w[rare])]
         keys, inverse = np.unique(h, return_inverse=True)          # a context's run may be cut by SLICE
-        size, bucket = len(keys), left.column("bucket")[0].as_py()
-        return pa.table({"bucket": pa.array([bucket] * size, pa.int32()), "h": keys.view(np.int64),
-                         "c": np.bincount(inverse, _by_run(n, c), size).astype(np.int64),
-                         "kept": np.bincount(inverse, _by_run(n, d[np.minimum(c, CUTOFF + 1)] * c), size),
-                         "below": np.bincount(inverse, _by_run(n, (low + DELTA) / base), size)})
+        sums = [np.bincount(inverse, _by_run(n, x), len(keys)) for x in (c, d[np.minimum(c, CUTOFF + 1)] * c, (low + DELTA) / base)]
+        split = _split(plan.value.deal, keys)
+        order = np.argsort(split, kind="stable")
+        at = [0, len(keys) - int(split.sum()), len(keys)]
+        columns = (keys, sums[0].astype(np.int64), *(np.where(split, x, y) for x, y in zip(sums[1:], _freed(*sums))))
+        return pa.Table.from_arrays([pa.array([left.column("bucket")[0].as_py()] * 2, pa.int32()), pa.array([False, True]),
+                                     *(_packed_rows(at, x[order]) for x in columns)], names=["bucket", "split", "ch", "cc", "cw", "cb"])
 
     return run
 
 
-def _freed(c: np.ndarray, kept: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(what discounted counts are divided by, backoff weight) of contexts."""
-    whole = np.where(kept < c, c, c + 1).astype(float)
-    return whole, (1 - kept / whole) / (1 - below)
+def _rows_of_sums(batches):
+    for batch in batches:
+        for h, c, kept, below in _arrays(batch, ch=np.int64, cc=np.int64, cw=float, cb=float):
+            yield pa.RecordBatch.from_pydict({"h": h, "c": c, "kept": kept, "below": below})
+
+
+def _split_contexts(deal: Deal, sums: DataFrame) -> list[tuple]:
+    """Rows of CONTEXTS of the split words, a few thousand at most: known wherever a bigram of them can be asked for, not only where one was seen."""
+    rows = (sums.where("split").mapInArrow(_rows_of_sums, "h bigint, c bigint, kept double, below double")
+            .groupBy("h").agg(F.sum("c"), F.sum("kept"), F.sum("below")).collect())
+    found = {h: (c, *map(float, _freed(c, kept, below))) for h, c, kept, below in rows}
+    homes = {}
+    for bucket, h in deal.homes():
+        if h in found:
+            homes.setdefault(bucket, []).append((h, *found[h]))
+    return [(bucket, *(bytearray(_squeezed(np.array(x, kind))) for x, kind in zip(zip(*rows), (np.int64, np.int64, float, float))))
+            for bucket, rows in homes.items()]
 
 
 class Bucket:
     """Trigrams and bigrams of a bucket with their probabilities, and its contexts of two words."""
 
     def __init__(self, left: pa.Table, discounts: list[np.ndarray]):
+        pa.default_memory_pool().release_unused()
         two, three = discounts
         h, n, w, m, u, c = _spread(left)
         contexts, seen_c, whole, weight = (_flat(left, x, k) for x, k in (("ch", np.int64), ("cc", np.int64), ("cw", float), ("cb", float)))
@@ -265,16 +299,21 @@ class Bucket:
         value = two[np.minimum(times, CUTOFF + 1)] * times / self.whole[place] if len(h) else np.empty(0)
         triples, self.of = pair_key(np.repeat(pairs, m), u), pair_key(u, np.repeat(h, m))
         self.h, self.c = np.repeat(h, m), c
+        del u, w, n, times
         self.kept = three[np.minimum(c, CUTOFF + 1)] * c
         self.below = np.repeat(value, m)
-        order = np.argsort(pairs)
+        order = in_order(pairs)
         self.pairs, self.value = pairs[order], value[order]
-        self.order = np.argsort(triples)
+        self.order = in_order(triples)
         self.triples = triples[self.order]
 
     def sums(self, chosen=slice(None)):
         """(contexts of two words, c, kept, below, which of them each chosen trigram has)."""
-        keys, inverse = np.unique(self.of[chosen], return_inverse=True)
+        of = self.of[chosen]
+        order, inverse = in_order(of), np.empty(len(of), np.int64)
+        keys = of[order]
+        new = _changes(keys)
+        keys, inverse[order] = keys[new], np.cumsum(new) - 1
         return (keys, *(np.bincount(inverse, x[chosen], len(keys)) for x in (self.c, self.kept, self.below)), inverse)
 
     def ready(self, k: np.ndarray, whole: np.ndarray, weight: np.ndarray) -> None:
@@ -291,7 +330,7 @@ def _split_sums(plan, discounts: list[np.ndarray]):
     def run(table: pa.Table) -> pa.Table:
         b, deal = Bucket(table, discounts), plan.value.deal
         keys, c, kept, below, _ = b.sums(_split(deal, b.h))
-        r = (keys % np.uint64(deal.buckets)).astype(np.int32)
+        r = ((keys >> np.uint64(1)) % np.uint64(deal.buckets)).astype(np.int32)
         order = np.argsort(r, kind="stable")
         at = _bounds(r[order]) if len(r) else np.zeros(1, np.int64)
         bucket = table.column("bucket")[0].as_py()
@@ -310,29 +349,25 @@ def _pair_weights(table: pa.Table) -> pa.Table:
     own = np.zeros(len(k), np.uint8)
     own[first] = 1
     at = np.cumsum([0, *(len(p[0]) for p in parts)])
-    return pa.Table.from_arrays([table.column("bucket").combine_chunks(), *(_packed_rows(at, x) for x in (k, whole[inverse], weight[inverse], own))],
-                                names=["bucket", "k", "whole", "weight", "own"])
+    return pa.Table.from_arrays([*(table.column(n).combine_chunks() for n in ("r", "bucket")), *(_packed_rows(at, x) for x in (k, whole[inverse], weight[inverse], own))],
+                                names=["r", "bucket", "k", "whole", "weight", "own"])
 
 
-def _owned(batches):
-    for batch in batches:
-        for k, weight, own in _arrays(batch, k=np.int64, weight=float, own=np.uint8):
-            yield pa.RecordBatch.from_pydict({"k": k[own == 1], "log": np.log10(weight[own == 1])})
+def _logs_of_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Logarithms of the weights of those contexts of two words (left) that are known (right, as WEIGHTS)."""
+    own = _flat(right, "own", np.uint8) == 1
+    keys, weight = _flat(right, "k", np.uint64)[own], _flat(right, "weight", float)[own]
+    order, wanted = np.argsort(keys), left.column("k").to_numpy()
+    at, known = _lookup(keys[order], wanted.view(np.uint64))
+    return pa.table({"k": wanted[known], "log": np.log10(weight[order][at[known]])})
 
 
 def _left(ngrams: DataFrame, contexts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """What a bucket needs to know, in rows of its own: NGRAMS, arrays of its contexts, packed contexts of two words."""
-    none, numbers, empty = F.expr("cast(array() as array<bigint>)"), F.expr("cast(array() as array<double>)"), F.expr("X''")
-    stored = [c for c in ngrams.columns if c != "bucket"]
-    extra = {"ch": none, "cc": none, "cw": numbers, "cb": numbers, "k": empty, "kw": empty, "kb": empty}
-
-    def rows(df, **given):
-        return df.select("bucket", *[given.get(n, F.col(n) if n in df.columns and n in stored and not given else empty).alias(n) for n in stored],
-                         *[given.get(n, e).alias(n) for n, e in extra.items()])
-
-    packed = contexts.groupBy("bucket").agg(F.collect_list(F.struct("h", "c", "whole", "weight")).alias("x"))
-    out = rows(ngrams).unionByName(rows(packed, ch=F.col("x.h"), cc=F.col("x.c"), cw=F.col("x.whole"), cb=F.col("x.weight")))
-    return out if pairs is None else out.unionByName(rows(pairs, k=F.col("k"), kw=F.col("whole"), kb=F.col("weight")))
+    """What a bucket needs to know, in rows of their own: NGRAMS, CONTEXTS, packed contexts of two words."""
+    tables = [ngrams, contexts] + ([pairs.select("bucket", "k", F.col("whole").alias("kw"), F.col("weight").alias("kb"))] if pairs is not None else [])
+    names = list(dict.fromkeys([*ngrams.columns, *contexts.columns, "k", "kw", "kb"]))
+    tables = [t.select([n if n in t.columns else F.expr("X''").alias(n) for n in names]) for t in tables]
+    return reduce(DataFrame.unionByName, tables)
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
@@ -351,20 +386,17 @@ def train(docs: DataFrame, text: str = "text") -> Model:
                                               F.coalesce(F.sum(F.when(F.col("w") == end, F.col("c"))), F.lit(0))).first()
         counts = ngrams.mapInArrow(_counts_of_counts, "o bigint, r bigint, n bigint").groupBy("o", "r").agg(F.sum("n").alias("n")).collect()
         discounts = [np.array([*good_turing({c["r"]: c["n"] for c in counts if c["o"] == o}), 1.0]) for o in (2, 3)]
-        model = Model(plan, ngrams, unigrams, None, None, discounts, total, size, documents)
+        often = np.zeros(ESCAPE, np.int64)
+        for w, c in unigrams.where(F.col("w").between(1, ESCAPE - 1)).collect():
+            often[w] = c
+        model = Model(plan, ngrams, unigrams, None, None, often, discounts, total, size, documents)
 
         known = ngrams.mapInArrow(_followers, "bucket int, w bigint").join(unigrams, "w")
         sums = settle(ngrams.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(
-            _context_sums(discounts[0], model.base), "bucket int, h bigint, c bigint, kept double, below double"), "katz-sums")
-        whole = F.when(F.sum("kept") < F.sum("c"), F.sum("c")).otherwise(F.sum("c") + 1).cast("double")
-        weights = sums.groupBy("h").agg(F.sum("c").alias("c"), whole.alias("whole"),
-                                        F.sum("kept").alias("kept"), F.sum("below").alias("below"))
-        weights = weights.select("h", "c", "whole", ((1 - F.col("kept") / F.col("whole")) / (1 - F.col("below"))).alias("weight"))
-        # a split context is known wherever a bigram of it can be asked for, not only where one was seen
-        homes = spark.createDataFrame(plan.deal.homes(), "bucket int, h bigint")        # `least` of _plan and the number of split contexts at most
-        places = sums.select("bucket", "h").join(homes.select("h").distinct(), "h", "left_anti").select("bucket", "h").unionByName(homes)
-        model.contexts = settle(places.join(weights, "h"), "katz-contexts")
-        _discard(sums)
+            _context_sums(shared, spark.sparkContext.broadcast(often), discounts[0], model.base), CONTEXTS.replace(",", ", split boolean,", 1)), "katz-contexts")
+        model.contexts = sums.where("not split").drop("split")
+        if len(plan.deal.split):
+            model.contexts = model.contexts.unionByName(spark.createDataFrame(_split_contexts(plan.deal, sums), CONTEXTS))
         if len(plan.deal.split):
             model.pairs = settle(_left(ngrams, model.contexts).groupBy("bucket").applyInArrow(_split_sums(shared, discounts), PAIRS)
                                  .groupBy("r").applyInArrow(_pair_weights, WEIGHTS), "katz-pairs")
@@ -392,7 +424,7 @@ def _occurrences(plan, key: pa.DataType):
     return run
 
 
-def _score(plan, discounts: list[np.ndarray], base: float, documents: int, key: pa.DataType):
+def _score(plan, often, discounts: list[np.ndarray], base: float, documents: int, key: pa.DataType):
     end_base = math.log10((documents + DELTA) / base)
     asked = {"h": np.uint16, "hx": np.uint64, "n": np.int32, "w": np.uint16, "wx": np.uint64, "u": np.uint16, "ux": np.uint64, "row": np.int32}
 
@@ -423,15 +455,19 @@ def _score(plan, discounts: list[np.ndarray], base: float, documents: int, key:
                 two = pair_key(u[rest], v[rest])
                 at, here = _lookup(b.two, two)
                 low[here] *= b.two_weight[at[here]]
-                value[rest] = low
                 away = np.flatnonzero(~here)
                 away = away[_split(deal, v[rest[away]])]        # another bucket may know the context
+                lost = np.flatnonzero(~held)
+                common = w[rest[lost]] < ESCAPE
+                low[lost[common]] *= (often.value[w[rest[lost[common]]].astype(np.int64)] + DELTA) / base
+                lost = rest[lost[~common]]
+                value[rest] = low
                 out["chunk"].append(chunk)
                 out["docs"].append(docs.values)
                 for name, x in _sums(row, size, told[of], level[of], np.log10(value)).items():
                     out[name].append(x)
-                out["w"].append(w[rest[~held]].view(np.int64))
-                out["row"].append(row[rest[~held]])
+                out["w"].append(w[lost].view(np.int64))
+                out["row"].append(row[lost])
                 out["k"].append(two[away].view(np.int64))
                 out["krow"].append(row[rest[away]])
         types = {"docs": key, "w": pa.int64(), "row": pa.int32(), "k": pa.int64(), "krow": pa.int32()}
@@ -447,7 +483,7 @@ def _score(plan, discounts: list[np.ndarray], base: float, documents: int, key:
 def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", blocks: int = 3) -> DataFrame:
     """doc, n_tokens, n_known, base_score, score: one row for each document, as katz.score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model.plan)
+    shared, often = spark.sparkContext.broadcast(model.plan), spark.sparkContext.broadcast(model.often)
     kind = docs.schema[doc].dataType
     key, name = to_arrow_type(kind), kind.simpleString()
     left = _left(model.ngrams, model.contexts, model.pairs)
@@ -459,7 +495,7 @@ def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text"
             occurrences = rows.mapInArrow(_occurrences(shared, key), f"bucket int, chunk bigint, size int, docs array<{name}>, h binary, hx binary, "
                                           "n binary, w binary, wx binary, u binary, ux binary, row binary")
             parts = settle(left.groupBy("bucket").cogroup(occurrences.groupBy("bucket")).applyInArrow(
-                _score(shared, model.discounts, model.base, model.documents, key),
+                _score(shared, often, model.discounts, model.base, model.documents, key),
                 f"chunk bigint, docs array<{name}>, at binary, tokens binary, known binary, base binary, score binary, "
                 "w array<bigint>, row array<int>, k array<bigint>, krow array<int>"), "katz-parts")
             done = parts.drop("w", "row", "k", "krow").groupBy("chunk").applyInArrow(
@@ -469,7 +505,10 @@ def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text"
             backed = unseen.join(model.unigrams, "w", "left").select("chunk", "row", end.alias("log"))
             if model.pairs is not None:
                 asked = parts.select("chunk", F.explode(F.arrays_zip("k", "krow")).alias("x")).select("chunk", F.col("x.krow").alias("row"), "x.k")
-                backed = backed.unionByName(asked.join(model.pairs.mapInArrow(_owned, "k bigint, log double"), "k").select("chunk", "row", "log"))
+                buckets = model.plan.deal.buckets
+                wanted = asked.select("k").distinct().withColumn("r", F.expr(f"cast(shiftrightunsigned(k, 1) % {buckets} as int)"))     # r as in _split_sums
+                logs = wanted.groupBy("r").cogroup(model.pairs.select("r", "k", "weight", "own").groupBy("r")).applyInArrow(_logs_of_pairs, "k bigint, log double")
+                backed = backed.unionByName(asked.join(logs, "k").select("chunk", "row", "log"))
             backed = backed.groupBy("chunk", "row").agg(F.sum("log").alias("backed"))
             done = settle(done.join(backed, ["chunk", "row"], "left").withColumn("score", F.col("score") + F.coalesce("backed", F.lit(0.0)))
                           .select("doc", "n_tokens", "n_known", "base_score", "score"), "katz-scores")
